@@ -82,9 +82,9 @@ def blocks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """All words of the texts data[offsets[i]:offsets[i + 1]]."""
-    low = LOWER[data]
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
+    """All words of the texts data[offsets[i]:offsets[i + 1]]; with A-Z as they are if not lower."""
+    low = LOWER[data] if lower else data
     n = len(low)
     solid = ~SPACE[low]
     before, after = np.zeros(n, bool), np.zeros(n, bool)

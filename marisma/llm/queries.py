@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import bpe_tree, exact_dedup, jaccard_join, line_dedup, url_filter
+from marisma.llm import bpe_tree, exact_dedup, jaccard_join, line_dedup, url_filter, wavelet
+from marisma.llm.scratch import place
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +33,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_stream(spark, f"{sf_dir}/documents.parquet")
 
 
+def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = place(spark, "wavelet")
+    wavelet.write_shards(_documents(spark, sf_dir), at)
+    return wavelet.read_documents(spark, at).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op9_wavelet_tokens, op10_url_filter)}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
