@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import bpe_tree, exact_dedup, jaccard_join, line_dedup, url_filter, wavelet
+from marisma.llm import bpe_tree, exact_dedup, jaccard_join, language_id, line_dedup, quality_cnn, url_filter, wavelet
 from marisma.llm.scratch import place
 
 
@@ -20,6 +20,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.predict_languages(_documents(spark, sf_dir))
+    return out.select("doc_id", (language_id.fold(5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_tree.encode_documents(_documents(spark, sf_dir))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -33,6 +38,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_stream(spark, f"{sf_dir}/documents.parquet")
 
 
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_cnn.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", (language_id.fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = place(spark, "wavelet")
     wavelet.write_shards(_documents(spark, sf_dir), at)
@@ -43,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op9_wavelet_tokens, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_language_id, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op8_quality_cnn, op9_wavelet_tokens, op10_url_filter)}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
