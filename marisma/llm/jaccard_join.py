@@ -19,7 +19,7 @@ from marisma.session import ship
 BLOCK_BYTES = 2 << 20
 FLUSH = 1_000_000
 BLOCK_MEMBERS = 2048
-BINS = 64
+BINS = 128
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 ID = np.dtype("S16")
@@ -237,51 +237,66 @@ def _linked(sign: np.ndarray, member: np.ndarray, pivot: np.ndarray) -> pd.DataF
 
 
 def _sets(size: int):
+    """Full sets of texts, with their size and a histogram over equal ranges of the hash domain (held at 255)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bytetext.column(batch.column(0))
             for i, j in bytetext.blocks(offsets, BLOCK_BYTES):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(list(_cells(_ids(sets).tobytes())), pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "elements"])
+                lengths = np.array([len(x) for x in sets], np.int32)
+                at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                cell = np.repeat(np.arange(len(sets)), lengths) * BINS + (flat >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+                bins = np.minimum(np.bincount(cell, minlength=len(sets) * BINS), 255).astype(np.int16)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(_cells(_ids(sets).tobytes())), pa.binary()), pa.array(lengths), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BINS), pa.array(bins)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))],
+                    ["id", "size", "bins", "elements"],
+                )
 
     return run
 
 
 def _across(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between members of different components, enough to connect what similar pairs connect.
+        """Pairs of members in different components that sizes and histograms don't rule out.
 
-        The rows are two blocks of the members of one signature (or one block twice). Sizes and histograms of
-        the hash ranges bound the similarity from above, so that few pairs are compared in full.
+        The rows are two blocks of the members of one signature, or one block. Where histograms differ in d, sets
+        of sizes n and n' differ in at least d: they share at most (n + n' - d) / 2 and have at least (n + n' + d) / 2 together.
         """
-        rows = rows.drop_duplicates(["member", "part"])
-        sets = [np.asarray(x).view(np.uint64) for x in rows["elements"]]
-        n = np.array([len(x) for x in sets])
-        bins = np.stack([np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=BINS) for x in sets]).astype(np.int32)
-        names, part = list(rows["member"]), rows["part"].to_numpy()
-        group = pd.factorize(rows["component"])[0]
+        bins = np.stack(rows["bins"].to_numpy()).astype(np.int16)
+        n, part = rows["size"].to_numpy().astype(np.int64), rows["part"].to_numpy()
+        names, group = rows["member"].to_numpy(), pd.factorize(rows["component"])[0]
         two = part.max() > part.min()
         found = []
-        for i in range(len(sets)):
-            if two and part[i] != part.min():
-                continue
-            far = np.abs(bins - bins[i]).sum(1)
-            # differ in d: shared = (n + n' - d) / 2 at most, union = (n + n' + d) / 2 at least
-            may = (group != group[i]) & (100 * (n + n[i] - far) >= percent * (n + n[i] + far))
-            may &= (part != part[i]) if two else (np.arange(len(sets)) > i)
-            for j in np.flatnonzero(may):
-                if group[j] != group[i]:
-                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * shared >= percent * (n[i] + n[j] - shared):
-                        found.append((names[i], names[j]))
-                        group[group == group[j]] = group[i]
+        for i in np.flatnonzero(part == part.min()):
+            may = (group != group[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
+            may &= (part != part[i]) if two else (np.arange(len(n)) > i)
+            may = np.flatnonzero(may)
+            far = np.abs(bins[may] - bins[i]).sum(1, dtype=np.int64)
+            may = may[100 * (n[may] + n[i] - far) >= percent * (n[may] + n[i] + far)]
+            found += [(max(names[i], x), min(names[i], x)) for x in names[may]]
         return pd.DataFrame(found, columns=["member", "pivot"])
 
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are similar: sizes and histograms first, then the full sets of what is left."""
+
+    def side(column: str, mark: str, *what: str) -> DataFrame:
+        return sets.select(F.col("id").alias(column), *[F.col(x).alias(f"{mark}_{x}") for x in what])
+
+    rough = pairs.join(side("member", "r", "size", "bins"), "member").join(side("pivot", "s", "size", "bins"), "pivot")
+    far = F.aggregate(F.zip_with("r_bins", "s_bins", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda acc, x: acc + x)
+    both = (F.col("r_size") + F.col("s_size")).cast("long")
+    rough = rough.where(F.least("r_size", "s_size").cast("long") * 100 >= percent * F.greatest("r_size", "s_size").cast("long"))
+    rough = keep(rough.where(100 * (both - far) >= percent * (both + far)).select("member", "pivot"), "jaccard-rough")
+    full = rough.join(side("member", "r", "size", "elements"), "member").join(side("pivot", "s", "size", "elements"), "pivot")
+    common = F.size(F.array_intersect("r_elements", "s_elements"))
+    return keep(full.where(100 * common >= percent * (both - common)).select("member", "pivot"), "jaccard-links")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Connected components of documents whose sets of word shingles have 100 * intersection >= percent * union.
 
@@ -294,7 +309,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     2. Rows with one signature are linked to the smallest: a star, not all pairs. Stars are verified on the full sets, and
        their components found.
     3. Signatures whose members are still in several components are searched for further links in blocks of
-       a fixed number of members, every block against every other, so that no link is lost and no group is one task's.
+       a fixed number of members, every block against every other, so that no link is lost and no group is one task's. Only
+       pairs that sizes and histograms allow leave a block, and are verified like those of the stars.
 
     Returns one row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links
     reach). Defined cases: an empty set is linked with nothing, not even another empty one; rows that repeat a text are
@@ -313,26 +329,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     named = pairs.select(F.col("member").alias("id")).union(pairs.select(F.col("pivot").alias("id"))).distinct()
     chosen = owners.join(named, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("rep")).select(F.col("rep")).distinct()
     texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(size), "id binary, elements array<bigint>")
+    sets = texts.mapInArrow(_sets(size), "id binary, size int, bins array<smallint>, elements array<bigint>")
     sets = keep(sets.join(named, "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
-
-    both = pairs.join(sets.select(F.col("id").alias("member"), F.col("elements").alias("r")), "member")
-    both = both.join(sets.select(F.col("id").alias("pivot"), F.col("elements").alias("s")), "pivot")
-    near = (F.least(F.size("r"), F.size("s")) * 100 >= percent * F.greatest(F.size("r"), F.size("s")))
-    common = F.size(F.array_intersect("r", "s"))
-    links = both.where(near).where(100 * common >= percent * (F.size("r") + F.size("s") - common)).select("member", "pivot")
-    links = keep(links, "jaccard-links")
+    links = _verified(pairs, sets, percent)
     roots = components(links, "member", "pivot")
 
     members = shared.select("sign", "member").union(shared.select("sign", F.col("pivot").alias("member"))).distinct()
     members = keep(members.join(roots, F.col("member") == F.col("node"), "left").select("sign", "member", F.coalesce("root", "member").alias("component")), "jaccard-members")
-    torn = members.groupBy("sign").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sign", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    placed = members.join(torn, "sign").withColumn("part", own)
+    # of two members their only pair has been tried
+    torn = members.groupBy("sign").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    torn = keep(torn.where("low <> high and m > 2").select("sign", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks")), "jaccard-torn")
+    placed = members.join(torn, "sign").withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("sign", "member", "component", "part", F.least("part", "other").alias("b1"), F.greatest("part", "other").alias("b2"))
-    placed = placed.join(sets.withColumnRenamed("id", "member"), "member")
-    further = keep(placed.groupBy("sign", "b1", "b2").applyInPandas(_across(percent), "member binary, pivot binary").distinct(), "jaccard-further")
+    placed = placed.join(sets.select(F.col("id").alias("member"), "size", "bins"), "member")
+    untried = placed.groupBy("sign", "b1", "b2").applyInPandas(_across(percent), "member binary, pivot binary").distinct()
+    further = _verified(keep(untried.join(pairs, ["member", "pivot"], "left_anti"), "jaccard-untried"), sets, percent)
     if not further.isEmpty():
         roots = components(links.union(further), "member", "pivot")
 
