@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import bpe_tree, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, quality_cnn, url_filter, wavelet
+from marisma.llm import bpe_tree, decontam, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, quality_cnn, url_filter, wavelet
 from marisma.llm.scratch import place
 
 
@@ -42,6 +42,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_stream(spark, f"{sf_dir}/documents.parquet")
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontam.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.select("doc_id", "item_id", "cosine", "lcs_share", "answer_share")
+
+
 def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_cnn.score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", (language_id.fold(3) == 1).alias("held_out"), "score", "predicted")
@@ -57,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_language_id, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op8_quality_cnn, op9_wavelet_tokens, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_language_id, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op7_decontam, op8_quality_cnn, op9_wavelet_tokens, op10_url_filter)}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
