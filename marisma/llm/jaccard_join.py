@@ -19,6 +19,7 @@ from marisma.session import ship
 BLOCK_BYTES = 2 << 20
 FLUSH = 1_000_000
 BLOCK_MEMBERS = 2048
+SLOT = 20_000
 BINS = 128
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -259,23 +260,31 @@ def _sets(size: int):
 
 def _across(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of members in different components that sizes and histograms don't rule out.
+        """Pairs of members in different components that sizes and histograms don't rule out, each from the smallest signature that the two share.
 
-        The rows are two blocks of the members of one signature, or one block. Where histograms differ in d, sets
-        of sizes n and n' differ in at least d: they share at most (n + n' - d) / 2 and have at least (n + n' + d) / 2 together.
+        Rows of one (sign, b1, b2) are two blocks of the members of one signature, or one block. Where histograms differ in
+        d, sets of sizes n and n' differ in at least d: they share at most (n + n' - d) / 2 and have at least (n + n' + d) / 2 together.
         """
-        bins = np.stack(rows["bins"].to_numpy()).astype(np.int16)
-        n, part = rows["size"].to_numpy().astype(np.int64), rows["part"].to_numpy()
-        names, group = rows["member"].to_numpy(), pd.factorize(rows["component"])[0]
-        two = part.max() > part.min()
+        keys = [rows[c].to_numpy() for c in ("b2", "b1", "sign")]
+        order = np.lexsort(keys)
+        key = np.stack([k[order] for k in keys])
+        edges = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
+        all_bins = np.stack(rows["bins"].to_numpy()).astype(np.int16)[order]
+        all_n, all_part = rows["size"].to_numpy().astype(np.int64)[order], rows["part"].to_numpy()[order]
+        all_names, all_groups, all_signs = rows["member"].to_numpy()[order], pd.factorize(rows["component"])[0][order], rows["signs"].to_numpy()[order]
         found = []
-        for i in np.flatnonzero(part == part.min()):
-            may = (group != group[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
-            may &= (part != part[i]) if two else (np.arange(len(n)) > i)
-            may = np.flatnonzero(may)
-            far = np.abs(bins[may] - bins[i]).sum(1, dtype=np.int64)
-            may = may[100 * (n[may] + n[i] - far) >= percent * (n[may] + n[i] + far)]
-            found += [(max(names[i], x), min(names[i], x)) for x in names[may]]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            bins, n, part, group, names, signs = (x[lo:hi] for x in (all_bins, all_n, all_part, all_groups, all_names, all_signs))
+            sign, two = key[2, lo], part.max() > part.min()
+            for i in np.flatnonzero(part == part.min()):
+                may = (group != group[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
+                may &= (part != part[i]) if two else (np.arange(len(n)) > i)
+                may = np.flatnonzero(may)
+                if not len(may):
+                    continue
+                far = np.abs(bins[may] - bins[i]).sum(1, dtype=np.int64)
+                may = may[100 * (n[may] + n[i] - far) >= percent * (n[may] + n[i] + far)]
+                found += [(max(names[i], names[j]), min(names[i], names[j])) for j in may if np.intersect1d(signs[i], signs[j])[0] == sign]
         return pd.DataFrame(found, columns=["member", "pivot"])
 
     return run
@@ -340,10 +349,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     torn = members.groupBy("sign").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
     torn = keep(torn.where("low <> high and m > 2").select("sign", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks")), "jaccard-torn")
     placed = members.join(torn, "sign").withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+    own = placed.groupBy("member").agg(F.collect_list("sign").alias("signs")).join(sets.select(F.col("id").alias("member"), "size", "bins"), "member")
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("sign", "member", "component", "part", F.least("part", "other").alias("b1"), F.greatest("part", "other").alias("b2"))
-    placed = placed.join(sets.select(F.col("id").alias("member"), "size", "bins"), "member")
-    untried = placed.groupBy("sign", "b1", "b2").applyInPandas(_across(percent), "member binary, pivot binary").distinct()
+    # several signatures are one task's group, of about SLOT rows together
+    slots = max(buckets, placed.count() // SLOT + 1)
+    placed = placed.join(own, "member").withColumn("slot", F.pmod(F.xxhash64("sign", "b1", "b2"), F.lit(slots)))
+    placed = placed.repartition(slots, "slot")
+    untried = placed.groupBy("slot").applyInPandas(_across(percent), "member binary, pivot binary").distinct()
     further = _verified(keep(untried.join(pairs, ["member", "pivot"], "left_anti"), "jaccard-untried"), sets, percent)
     if not further.isEmpty():
         roots = components(links.union(further), "member", "pivot")
