@@ -32,3 +32,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     spark.sparkContext.addPyFile(at)
     _shipped.add(app)
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that spark.checkpoint.dir names; to one of this process only where it is unset, as in tests."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marisma-checkpoints-"))
