@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,43 +104,97 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
 class WordMemory:
     """Small results for words seen before, by hash: a ragged row of integers for each word.
 
-    Holds at most `most` words; beyond that it starts anew, which costs time and changes nothing.
+    A table of fixed size with two slots for each word; one that finds both taken takes the first, and a word that lost its
+    slot is made anew when it comes again. That costs time and changes nothing.
     """
 
-    def __init__(self, dtype, most: int = 1_200_000):
-        self.dtype, self.most = dtype, most
+    def __init__(self, dtype, bits: int = 21, most: int = 12_000_000):
+        self.dtype, self.mask, self.most = dtype, np.uint64((1 << bits) - 1), most
         self._clear()
 
     def _clear(self) -> None:
-        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.flat = np.zeros(0, self.dtype)
-
-    def rows(self, w: Words, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of each word's result in .at and .size, for words of w; those two arrays). make(list of words) gives lists."""
-        unique, sample, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.key) + len(unique) > self.most:
-            self._clear()
-        spot = np.searchsorted(self.key, unique)
-        known = np.zeros(len(unique), bool)
-        inside = spot < len(self.key)
-        known[inside] = self.key[spot[inside]] == unique[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            made = make([w.word(i) for i in sample[new]])
-            size = np.fromiter(map(len, made), np.int32, len(made))
-            flat = np.fromiter((x for row in made for x in row), self.dtype, int(size.sum()))
-            at = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-            self.flat = np.concatenate([self.flat, flat])
-            self.key = np.insert(self.key, spot[new], unique[new])
-            self.at = np.insert(self.at, spot[new], at)
-            self.size = np.insert(self.size, spot[new], size)
-            spot = np.searchsorted(self.key, unique)
-        return spot[inverse], self.at, self.size
+        n = int(self.mask) + 1
+        self.key, self.row = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def ids(self, w: Words, make) -> tuple[np.ndarray, np.ndarray]:
-        """The results of all words of w, one after another, and their count for each word."""
-        row, at, size = self.rows(w, make)
-        return ragged(self.flat, at[row], size[row]), size[row]
+        """The results of all words of w, one after another, and their count for each word. make(list of words) gives lists."""
+        if self.used > self.most:
+            self._clear()
+        slot = (w.hash & self.mask).astype(np.int64)
+        away = np.flatnonzero(self.key[slot] != w.hash)
+        second = ((w.hash[away] >> np.uint64(40)) & self.mask).astype(np.int64)
+        there = self.key[second] == w.hash[away]
+        slot[away[there]] = second[there]
+        row, miss = self.row[slot], away[~there]
+        if len(miss):
+            new, sample, inverse = np.unique(w.hash[miss], return_index=True, return_inverse=True)
+            made = make([w.word(i) for i in miss[sample]])
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            flat = np.fromiter(chain.from_iterable(made), self.dtype, int(size.sum()))
+            if self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(flat), len(self.flat)), self.dtype)])
+            self.flat[self.used : self.used + len(flat)] = flat
+            packed = ((self.used + np.cumsum(size) - size) << 24 | size).astype(np.uint64)
+            self.used += len(flat)
+            row[miss] = packed[inverse]
+            own, other = slot[miss[sample]], ((new >> np.uint64(40)) & self.mask).astype(np.int64)
+            own = np.where((self.key[own] != 0) & (self.key[other] == 0), other, own)
+            self.key[own], self.row[own] = new, packed
+        size = (row & np.uint64(0xFFFFFF)).astype(np.int64)
+        return ragged(self.flat, (row >> np.uint64(24)).astype(np.int64), size), size
+
+
+class HashIndex:
+    """Places of hashes in an array of distinct ones, by a table with open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, len(keys).bit_length() + 2)
+        self.keys, self.mask = np.concatenate([keys, np.zeros(1, np.uint64)]), np.uint64((1 << bits) - 1)
+        self.table = np.full(1 << bits, len(keys), np.int32)
+        left, probe = np.arange(len(keys)), np.uint64(0)
+        while len(left):
+            slot = ((keys[left] + probe) & self.mask).astype(np.int64)
+            free = self.table[slot] == len(keys)
+            self.table[slot[free]] = left[free]
+            left, probe = left[self.table[slot] != left], probe + np.uint64(1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash; the number of keys for those that are none."""
+        none = len(self.keys) - 1
+        out = self.table[(h & self.mask).astype(np.int64)]
+        left, probe = np.flatnonzero((self.keys[out] != h) & (out != none)), np.uint64(1)
+        while len(left):
+            out[left] = self.table[((h[left] + probe) & self.mask).astype(np.int64)]
+            left, probe = left[(self.keys[out[left]] != h[left]) & (out[left] != none)], probe + np.uint64(1)
+        return out
+
+
+class WordCounts:
+    """Counts of hashes in a table of fixed size; a hash that loses its slot is handed out with its count so far."""
+
+    def __init__(self, bits: int = 20):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.key, self.n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+
+    def add(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count h; returns hashes and counts that have no slot any more."""
+        slot = (h & self.mask).astype(np.int64)
+        hit = self.key[slot] == h
+        self.n += np.bincount(slot[hit], minlength=len(self.n))
+        new, n = np.unique(h[~hit], return_counts=True)
+        slot = (new & self.mask).astype(np.int64)
+        slot, first = np.unique(slot, return_index=True)
+        old = self.n[slot] > 0
+        rest = np.ones(len(new), bool)
+        rest[first] = False
+        out = np.concatenate([self.key[slot[old]], new[rest]]), np.concatenate([self.n[slot[old]], n[rest]])
+        self.key[slot], self.n[slot] = new[first], n[first]
+        return out
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.n)
+        return self.key[at], self.n[at]
 
 
 def ragged(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
