@@ -155,7 +155,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.6, weigh
     3. Overlapping windows of all documents meet windows of all items by cosine in that space. Windows whose
        weight lies for less than weight_share in words of items can't be close to one and are not projected.
     4. Candidates are checked on the words around them: the longest common subsequence has at least the share `whole` of the
-       item, or the share `part` and at least 0.8 of the answer (the item's last fifth, three words at least).
+       item, or the share `part` and at least 0.8 of the answer (the item's last fifth, three words at least). An item of fewer than
+       12 words, which prose may come near by chance, is there in whole.
 
     Items are taken in blocks of 5,000. Defined cases: items and documents that are null or without a word match nothing;
     items that repeat a text are each reported; an item shorter than 12 words is searched with shorter windows;
@@ -251,7 +252,7 @@ def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str,
                         share = lcs(own.codes[item], there) / n
                         answer = own.codes[item][-max(3, n // 5) :]
                         found[t, item] = max(held, (float(near[a, q]), share, lcs(answer, there) / len(answer)), key=lambda v: (v[1], v[2], v[0]))
-            sure = [(t, k, *v) for (t, k), v in sorted(found.items()) if v[1] >= whole or v[1] >= part and v[2] >= 0.8]
+            sure = [(t, k, *v) for (t, k), v in sorted(found.items()) if v[1] == 1 or len(own.codes[k]) >= PASSAGE // 2 and (v[1] >= whole or v[1] >= part and v[2] >= 0.8)]
             if sure:
                 t, k, near, share, answer = map(list, zip(*sure, strict=True))
                 yield pa.RecordBatch.from_arrays(
