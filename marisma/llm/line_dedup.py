@@ -39,6 +39,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     lines = lines.select("doc_id", "content", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     lines = keep(lines.select("doc_id", "content", "pos", F.unhex(F.md5("key")).alias("hash")), "lines")
     shared = lines.groupBy("hash", "doc_id").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("owner")).where(F.col("n") >= min_docs).select("hash", "owner")
+    shared = keep(shared, "shared-lines")  # read back, so that both sides of the join come straight from an exchange
     drops = lines.join(shared, "hash").where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy(F.col("doc_id").alias("drop_id"), F.col("content").alias("drop_content")).agg(F.collect_set("pos").alias("drops"))
 
     whole = docs.select("doc_id", text.alias("whole"), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in extra]).alias("extra"), F.xxhash64(text).alias("own_content"))
