@@ -76,10 +76,13 @@ def dedup_stream(spark: SparkSession, path: str, max_batch_bytes: int = 256 << 2
     state = logged.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("last")).select("digest", "last.*")
 
     rows = _located(spark.read.parquet(path))
-    hits = keep(rows.join(state.where("n > 1"), "digest").select("digest", "bare", "place", "chars", "doc_id", (F.col("place") == F.col("best.place")).alias("at_locator")), "dedup-hits")
-    at_locator = hits.where("at_locator").select("digest", F.col("bare").alias("found"))
+    hits = keep(rows.join(state.where("n > 1"), "digest").select("digest", "bare", "place", "chars", "doc_id", "n", (F.col("place") == F.col("best.place")).alias("at_locator")), "dedup-hits")
+    # a large group meets its locator's bytes in several parts of about 500 rows
+    parts = F.ceil(F.col("n") / 500)
+    at_locator = hits.where("at_locator").select("digest", F.col("bare").alias("found"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    compared = hits.where("not at_locator").withColumn("part", F.pmod(F.xxhash64("place"), parts))
     # unlike bytes under one digest: whole groups of such digests are told apart by their bytes
-    unlike = hits.where("not at_locator").join(at_locator, "digest").where(F.col("bare") != F.col("found")).select("digest").distinct()
+    unlike = compared.join(at_locator, ["digest", "part"]).where(F.col("bare") != F.col("found")).select("digest").distinct()
     told = hits.join(unlike, "digest", "left_semi")
     own = told.groupBy("digest", "bare").agg(F.min(_rank()).alias("own_best"), F.count(F.lit(1)).alias("own_n"))
     apart = told.join(own, ["digest", "bare"]).select("place", "own_best", "own_n")
