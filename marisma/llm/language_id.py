@@ -209,12 +209,22 @@ def train(texts: list[bytes], langs: list[str], rounds: int = 6, span: int = 12,
     return crf
 
 
+def drawn(rows: DataFrame, by: str, most: int, seed: int) -> DataFrame:
+    """Of each value of `by` at most `most` rows, in the order of a hash of doc_id.
+
+    The counts of the values say which share of the hashes leaves about four times as many; only these are ranked.
+    """
+    counts = F.broadcast(rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n")))
+    mark = F.xxhash64("doc_id", F.lit(seed))
+    near = rows.join(counts, F.col(by) == F.col("_by")).where(F.pmod(mark, F.lit(1 << 40)) <= (F.lit(float(1 << 40)) * (4 * most + 50)) / F.col("_n"))
+    turn = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod(mark, F.lit(1 << 40)), "doc_id"))
+    return near.withColumn("turn", turn).where(F.col("turn") <= most).select(*rows.columns)
+
+
 def sample(docs: DataFrame, per_language: int, chars: int) -> tuple[list[bytes], list[str]]:
     """Of each language at most per_language texts, in the order of a hash of doc_id, and of each one a stretch of at most `chars` code points from anywhere in it."""
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(fold(5) != 0)
-    mark = F.xxhash64("doc_id", F.lit(5))
-    chosen = labelled.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(mark, "doc_id")).alias("turn")).where(F.col("turn") <= per_language)
-    ids = chosen.select("doc_id").distinct().limit(per_language * 200)
+    ids = drawn(labelled.select("doc_id", "lang"), "lang", per_language, 5).select("doc_id").distinct().limit(per_language * 200)
     begin = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
     rows = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", F.substr("text", begin.cast("int") + 1, F.lit(chars)).alias("text"))
     got = sorted((r.lang, r.doc_id, r.text) for r in rows.limit(per_language * 200).collect())

@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marisma.llm import bytetext
-from marisma.llm.language_id import fold
+from marisma.llm.language_id import drawn, fold
 from marisma.session import ship
 
 BLOCK_BYTES = 1 << 20
@@ -154,8 +154,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int =
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, chars: int) -> tuple[list[bytes], np.ndarray]:
     """At most per_class labelled texts of each class, in the order of a hash of doc_id, and of each one a stretch of at most `chars` code points from anywhere in it."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(fold(3) != 1).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    turn = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id"))
-    chosen = known.withColumn("turn", turn).where(F.col("turn") <= per_class).select("doc_id", "quality").limit(2 * per_class)
+    chosen = drawn(known, "quality", per_class, 8).limit(2 * per_class)
     begin = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substr("text", begin.cast("int") + 1, F.lit(chars)).alias("text"))
     got = sorted((x.doc_id, x.text, x.quality) for x in rows.limit(4 * per_class).collect())
