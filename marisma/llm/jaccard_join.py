@@ -362,6 +362,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         roots = components(links.union(further), "member", "pivot")
 
     classes = owners.join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "id").alias("class"))
-    smallest = classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    smallest = keep(classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id")), "jaccard-smallest")
     full = classes.where("n > 0").join(smallest, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return full.union(classes.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
