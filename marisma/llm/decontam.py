@@ -19,6 +19,8 @@ BLOCK_CODES = 400_000
 PASSAGE = 24
 RANK, MORE = 64, 8
 ITEMS_AT_ONCE = 5000
+#: Windows that lie near an item, whose words are compared together.
+CANDIDATES = 300_000
 _SUM = "n bigint, total binary"
 
 
@@ -66,13 +68,35 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def windows(first: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, begin and end of windows of `size` words each `step` words; the last window of a text ends with it, a shorter text is one."""
+def lcs_bounds(item: np.ndarray, codes: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Upper bounds of lcs(item, codes[left:right]) for many ranges together, exact for items of at most 64 words.
+
+    A longer item's is at most the sum over its pieces of 64 words. row has a zero for each code, before and after.
+    """
+    out = np.zeros(len(left), np.int64)
+    for i in range(0, len(item), 64):
+        piece = item[i : i + 64]
+        np.bitwise_or.at(row, piece, np.uint64(1) << np.arange(len(piece), dtype=np.uint64))
+        full = np.uint64((1 << len(piece)) - 1)
+        for j in range(0, len(left), 2048):
+            at = left[j : j + 2048] + np.arange((right[j : j + 2048] - left[j : j + 2048]).max(initial=0))[:, None]
+            places = row[np.where(at < right[j : j + 2048], codes[np.minimum(at, len(codes) - 1)], 0)]
+            v = np.full(places.shape[1], full)
+            for u in places:
+                u &= v
+                v = (v + u) | (v ^ u)
+            out[j : j + 2048] += len(piece) - np.bitwise_count(v & full).astype(np.int64)
+        row[piece] = 0
+    return out
+
+
+def windows(first: np.ndarray, size: int, step: int, overlap: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, begin and end of windows of `size` words each `step` words; the last window of a text ends with it (is shorter, without overlap), a shorter text is one."""
     n = np.diff(first)
     count = np.where(n > 0, np.maximum(0, -(-(n - size) // step)) + 1, 0)
     text = np.repeat(np.arange(len(n)), count)
     turn = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    begin = first[text] + np.minimum(turn * step, np.maximum(n[text] - size, 0))
+    begin = first[text] + (np.minimum(turn * step, np.maximum(n[text] - size, 0)) if overlap else turn * step)
     return text, begin, np.minimum(begin + size, first[text + 1])
 
 
@@ -103,6 +127,16 @@ def _total(rows: DataFrame) -> tuple[int, np.ndarray | None]:
     return sum(r["n"] for r in got), sum((np.frombuffer(r["total"]) for r in got), np.zeros(1)) if got else None
 
 
+def _project(table: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Sums of the rows of table at the codes begin..end, of which there are at most `length`; row 0 is zero."""
+    out = np.zeros((len(begin), table.shape[1]), np.float32)
+    for i in range(0, len(begin), 4096):
+        at = begin[i : i + 4096, None] + np.arange(length)
+        inside = np.where(at < end[i : i + 4096, None], codes[np.minimum(at, len(codes) - 1)], 0)
+        out[i : i + 4096] = table[inside].sum(1)
+    return out
+
+
 def _sums(coded: DataFrame, dtype: str, weight: np.ndarray, basis: np.ndarray, back: bool) -> np.ndarray:
     """With A the TF-IDF matrix of all passages: A' A basis if back, else basis' A' A basis."""
     spark = coded.sparkSession
@@ -112,21 +146,19 @@ def _sums(coded: DataFrame, dtype: str, weight: np.ndarray, basis: np.ndarray, b
         table = shared.value
         total = np.zeros((len(table) if back else table.shape[1], table.shape[1]))
         for _, codes, first in _blocks(batches, 0, dtype):
-            place = np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))
-            passage = np.cumsum(place % PASSAGE == 0) - 1
             known = np.flatnonzero(codes)
             if not len(known):
                 continue
-            code, of = codes[known], passage[known]
-            begin = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            y = np.add.reduceat(table[code], begin)
+            _, begin, end = windows(first, PASSAGE, PASSAGE, overlap=False)
+            y = _project(table, codes, begin, end, PASSAGE)
             if not back:
                 total += y.T @ y
                 continue
-            row = np.cumsum(np.r_[False, of[1:] != of[:-1]])
+            code, of = codes[known].astype(dtype), np.searchsorted(begin, known, side="right") - 1
             order = np.argsort(code, kind="stable")
-            begin = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
-            total[code[order][begin]] += np.add.reduceat(y[row[order]], begin)
+            edges = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0, True])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                total[code[order[lo]]] += y[of[order[lo:hi]]].sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
 
     total = _total(coded.select("codes").mapInArrow(run, _SUM))[1]
@@ -143,7 +175,7 @@ def latent_basis(coded: DataFrame, dtype: str, weight: np.ndarray) -> np.ndarray
     return basis @ vectors[:, np.argsort(-values)[:RANK]]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.6, weight_share: float = 0.45, whole: float = 0.7, part: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.6, whole: float = 0.7, part: float = 0.5) -> DataFrame:
     """Documents that hold a benchmark item or a paraphrase of one: doc_id, content (xxhash64 of text), item_id, cosine, lcs_share, answer_share.
 
     docs has doc_id and text, benchmark has item_id and text; other columns are not read. Words are lower-cased (A-Z) runs
@@ -152,8 +184,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.6, weigh
     1. Each word of each document becomes its number among the items' words (0 for all others), one table.
     2. TF-IDF weights of these words come from their counts in all passages (runs of 24 words); a randomised SVD of the matrix
        of all passages gives a latent space. Sums are formed in tasks, of a size that the items alone determine.
-    3. Overlapping windows of all documents meet windows of all items by cosine in that space. Windows whose
-       weight lies for less than weight_share in words of items can't be close to one and are not projected.
+    3. Overlapping windows of all documents meet windows of all items by cosine in that space. Words
+       that no item has weigh nothing there, so that only windows without a word of an item are left out.
     4. Candidates are checked on the words around them: the longest common subsequence has at least the share `whole` of the
        item, or the share `part` and at least 0.8 of the answer (the item's last fifth, three words at least). An item of fewer than
        12 words, which prose may come near by chance, is there in whole.
@@ -173,11 +205,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.6, weigh
         block = got[at : at + ITEMS_AT_ONCE]
         items = Items.of([i for i, _ in block], [t for _, t in block])
         if len(items.words):
-            out = out.union(_find(rows, items, schema, kind, item_kind, cosine, weight_share, whole, part))
+            out = out.union(_find(rows, items, schema, kind, item_kind, cosine, whole, part))
     return out
 
 
-def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str, cosine: float, weight_share: float, whole: float, part: float) -> DataFrame:
+def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str, cosine: float, whole: float, part: float) -> DataFrame:
     spark = rows.sparkSession
     shared, dtype = spark.sparkContext.broadcast(items), items.dtype
 
@@ -207,7 +239,6 @@ def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str,
     share = -np.expm1(-counts / max(passages, 1))
     weight = np.log((1 + passages) / (1 + passages * share)) + 1e-3
     weight[0] = 0.0
-    other = float(np.log(1 + passages)) + 1e-3
     basis = latent_basis(coded, dtype, weight)
     table = (weight[:, None] * basis).astype(np.float32)
     queries = {}
@@ -220,38 +251,52 @@ def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str,
     for length, some in queries.items():
         vectors = np.stack([q[3] for q in some])
         queries[length] = (np.array([q[:3] for q in some]), vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12))
-    search = spark.sparkContext.broadcast((items, weight, table, queries))
+    search = spark.sparkContext.broadcast((items, table, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, heavy, table, queries = search.value
+        own, table, queries = search.value
+        row = np.zeros(len(table), np.uint64)
+        sizes = np.array([len(c) for c in own.codes])
+        # what an item's longest common subsequence has at least where it counts as found
+        least = np.where(sizes < PASSAGE // 2, sizes, np.ceil(min(whole, part) * sizes - 1e-9))
         for batch, codes, first in _blocks(batches, 2, dtype):
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            mass = np.concatenate([[0], np.cumsum(heavy[codes] ** 2)])
-            rest = np.concatenate([[0], np.cumsum(codes == 0)]) * other**2
+            known = np.concatenate([[0], np.cumsum(codes != 0)])
             for length, (which, vectors) in queries.items():
                 text, begin, end = windows(first, length, max(1, length // 3))
-                inner, outer = mass[end] - mass[begin], rest[end] - rest[begin]
-                likely = np.flatnonzero((inner > 0) & (inner >= weight_share**2 * (inner + outer)))
+                likely = np.flatnonzero(known[end] > known[begin])
+                tried: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for i in range(0, len(likely), 4096):
                     some = likely[i : i + 4096]
-                    at = begin[some, None] + np.arange(length)
-                    inside = np.where(at < end[some, None], codes[np.minimum(at, len(codes) - 1)], 0)
-                    x = table[inside].sum(1)
+                    x = _project(table, codes, begin[some], end[some], length)
                     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                     near = x @ vectors.T
-                    for a, q in zip(*np.nonzero(near >= cosine), strict=True):
-                        item, lo, hi = which[q]
-                        n, t = len(own.codes[item]), int(text[some[a]])
-                        # the words around the window where the whole item would stand, and a window more
-                        left = max(int(first[t]), int(begin[some[a]]) - int(lo) - length)
-                        right = min(int(first[t + 1]), int(begin[some[a]]) + n - int(lo) + length)
-                        held = found.get((t, item), (0.0, 0.0, 0.0))
+                    a, q = np.nonzero(near >= cosine)
+                    tried.append((some[a], q, near[a, q]))
+                    if i + 4096 < len(likely) and sum(len(t[0]) for t in tried) < CANDIDATES:
+                        continue
+                    at, q, close = map(np.concatenate, zip(*tried, strict=True))
+                    tried.clear()
+                    item, lo = which[q, 0], which[q, 1]
+                    # the words around the window where the whole item would stand, and a window more
+                    left = np.maximum(first[text[at]], begin[at] - lo - length)
+                    right = np.minimum(first[text[at] + 1], begin[at] - lo + sizes[item] + length)
+                    may = np.flatnonzero(known[right] - known[left] >= least[item])
+                    order = may[np.argsort(item[may], kind="stable")]
+                    edges = np.flatnonzero(np.r_[True, np.diff(item[order]) != 0, True]) if len(order) else []
+                    good = [np.zeros(0, np.int64)]
+                    for e, f in zip(edges[:-1], edges[1:], strict=True):
+                        k, group = item[order[e]], order[e:f]
+                        good.append(group[lcs_bounds(own.codes[k], codes, left[group], right[group], row) >= least[k]])
+                    for c in np.sort(np.concatenate(good)):
+                        k, t = int(item[c]), int(text[at[c]])
+                        held = found.get((t, k), (0.0, 0.0, 0.0))
                         if held[1] == 1.0:
                             continue
-                        there = codes[left:right]
-                        share = lcs(own.codes[item], there) / n
-                        answer = own.codes[item][-max(3, n // 5) :]
-                        found[t, item] = max(held, (float(near[a, q]), share, lcs(answer, there) / len(answer)), key=lambda v: (v[1], v[2], v[0]))
+                        there = codes[left[c] : right[c]]
+                        share = lcs(own.codes[k], there) / len(own.codes[k])
+                        answer = own.codes[k][-max(3, len(own.codes[k]) // 5) :]
+                        found[t, k] = max(held, (float(close[c]), share, lcs(answer, there) / len(answer)), key=lambda v: (v[1], v[2], v[0]))
             sure = [(t, k, *v) for (t, k), v in sorted(found.items()) if v[1] == 1 or len(own.codes[k]) >= PASSAGE // 2 and (v[1] >= whole or v[1] >= part and v[2] >= 0.8)]
             if sure:
                 t, k, near, share, answer = map(list, zip(*sure, strict=True))

@@ -257,6 +257,18 @@ def test_lcs():
         assert decontam.lcs(a, b) == table[-1, -1]
 
 
+def test_lcs_bounds():
+    r = np.random.default_rng(11)
+    codes, row = r.integers(0, 9, 400), np.zeros(9, np.uint64)
+    left = r.integers(0, 380, 60)
+    right = np.minimum(left + r.integers(0, 150, 60), 400)
+    for n in (1, 3, 40, 64, 65, 150):
+        item = r.integers(1, 9, n)
+        want = np.array([decontam.lcs(item, codes[a:b]) for a, b in zip(left, right)])
+        got = decontam.lcs_bounds(item, codes, left, right, row)
+        assert (got >= want).all() and (n > 64 or (got == want).all()) and not row.any()
+
+
 def test_decontamination(spark, awkward):
     r = np.random.default_rng(9)
     word = lambda: "".join(r.choice(["ba", "ko", "ti", "ru", "se"], r.integers(1, 5)))
@@ -280,6 +292,26 @@ def test_decontamination(spark, awkward):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n_docs", [60, 600, 2400])
+def test_paraphrases_are_found_at_any_corpus_size(spark, n_docs):
+    """Words that no item has get rarer as the corpus grows; items in which they replace a quarter of the words are still found."""
+    r = np.random.default_rng(n_docs)
+    vocabulary = [f"w{i}" for i in range(100)]
+    items = [list(r.choice(vocabulary, 40)) for _ in range(10)]
+    mixed = lambda n: [str(r.choice(vocabulary)) if r.random() < 0.4 else f"x{r.integers(1 << 40)}" for _ in range(n)]
+    docs = [mixed(48) for _ in range(n_docs)]
+    for item in items:
+        changed = [f"y{r.integers(1 << 40)}" if i % 18 in (1, 5, 8, 12, 16) else w for i, w in enumerate(item)]
+        docs.append(mixed(30) + changed + mixed(30))
+    number = {w: i + 1 for i, w in enumerate(vocabulary)}
+    coded = lambda ws: np.array([number.get(w, 0) for w in ws])
+    want = {(i, k) for i, d in enumerate(docs) for k, item in enumerate(items) if decontam.lcs(coded(item), coded(d)) >= 0.7 * len(item)}
+    assert len(want) >= len(items)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(df, bench).collect()} >= want
+
+
 def test_urls(spark):
     rows = [(1, "https://A.Example.ORG/es/1"), (2, "http://example.org/en/17?x"), (3, "http://b.org/q"), (4, "https://x.com/fr/1#a"), (5, "https://x.com/de/"), (6, "https://com/fr/"), (7, None), (8, "nonsense"), (9, "http://notexample.org/es/1"), (10, "https://x.net/de/1?a=1&b=2"), (10, "https://x.net/de/1?a=1&b=2"), (11, "http://host"), (12, "http://h.org" + "/a" * 20000)]
     got = url_filter.judge_urls(spark.createDataFrame([(*r, "z") for r in rows], "page_id bigint, url string, label string")).collect()
