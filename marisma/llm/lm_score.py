@@ -253,7 +253,7 @@ def _log_share(logits: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.nd
 
 
 def _gather(path: str):
-    """Of training texts: word counts, subword counts, and training windows, as rows of kind, key, n, payload."""
+    """Of training texts: word counts, subword counts, and the subword ids of blocks of texts, as rows of kind, key, n, payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
@@ -277,8 +277,8 @@ def _gather(path: str):
                 lost.append(table.add(w.hash))
                 held += len(lost[-1][0])
                 counts += np.bincount(ids, minlength=own.size)
-                chosen = _windows(ids, first, marks[i:j])
-                yield rows(_WINDOWS, np.array([int(bytetext.mix(marks[i : i + 1].astype(np.uint64))[0] >> np.uint64(1))], np.int64), np.array([len(chosen)], np.int64), [chosen.astype("<i4").tobytes()])
+                key = int(bytetext.mix(marks[i : i + 1].astype(np.uint64))[0] >> np.uint64(1))
+                yield rows(_WINDOWS, np.array([key], np.int64), np.array([len(first) - 1], np.int64), [first.astype("<i4").tobytes() + ids.astype(_width(own.size)).tobytes()])
                 if held > 1_500_000:
                     held = 0
                     yield flush()
@@ -290,48 +290,54 @@ def _gather(path: str):
     return run
 
 
-def _windows(ids: np.ndarray, first: np.ndarray, marks: np.ndarray) -> np.ndarray:
+def _windows(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Training windows (n, WINDOW + 1) of subword ids, of which the last NEW are learned (-2: before the text, -1: after it).
 
-    Each text gives one window and one more for each 16 windows that it has, at places drawn from its mark.
+    Windows follow each other by NEW, as in scores(), so that every id of every text is learned in one of them.
     """
     size = np.diff(first)
-    take = 1 + size // (WINDOW * 16)
+    take = -(-size // NEW)
     text = np.repeat(np.arange(len(size)), take)
     turn = np.arange(len(text)) - np.repeat(np.cumsum(take) - take, take)
-    draw = bytetext.mix(marks[text].astype(np.uint64) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
-    begin = draw.astype(np.int64) % size[text] - (WINDOW - NEW) - 1
-    at = begin[:, None] + np.arange(WINDOW + 1)
+    at = turn[:, None] * NEW + np.arange(NEW - WINDOW - 1, NEW)
     out = ids[np.clip(first[text][:, None] + at, 0, len(ids) - 1)].astype(np.int32)
     out[at >= size[text][:, None]] = -1
     out[at < 0] = -2
     return out
 
 
-def _numbered(model: Model, raw: bytes) -> np.ndarray:
-    w = np.frombuffer(raw, "<i4").reshape(-1, WINDOW + 1)
+def _width(size: int) -> str:
+    return "<u2" if size <= 65536 else "<u4"
+
+
+def _numbered(model: Model, texts: int, raw: bytes) -> np.ndarray:
+    """Windows of a gathered block, as numbers of the model."""
+    first = np.frombuffer(raw, "<i4", texts + 1).astype(np.int64)
+    w = _windows(np.frombuffer(raw, _width(len(model.number)), offset=4 * (texts + 1)), first)
     return np.where(w == -1, -1, np.where(w == -2, BEGIN, model.number[np.maximum(w, 0)]))
 
 
 def train(gathered: DataFrame, size: int) -> Model:
-    """A model of the gathered counts and windows.
+    """A model of the gathered counts and blocks of texts.
 
     First steps over at most START windows on the driver set out from the subword frequencies of the whole training corpus.
-    Then, in ROUNDS rounds, every task trains on its windows of the round and the weights are averaged, in two steps,
-    so that the driver gets few of them. Windows grow with the corpus; a task's weights don't.
+    Then, in ROUNDS rounds, every task trains on all windows of its blocks of the round and the weights are averaged, in two
+    steps, so that the driver gets few of them. Each block is one round's: every id of the corpus is learned once. Blocks grow
+    with the corpus; a task's weights don't.
     """
     spark = gathered.sparkSession
     counts = np.zeros(size)
     for row in gathered.where(F.col("kind") == _PIECES).groupBy("key").agg(F.sum("n").alias("n")).collect():
         counts[row["key"]] = row["n"]
     model = Model(counts)
-    windows = gathered.where(F.col("kind") == _WINDOWS).select("key", "payload")
+    windows = gathered.where(F.col("kind") == _WINDOWS).select("key", "n", "payload")
     # keys first: with their payloads eight rows of every task would come to the driver
     few = [r["key"] for r in windows.select("key").orderBy("key").limit(8).collect()]
-    start = [_numbered(model, bytes(r["payload"])) for r in windows.where(F.col("key").isin(few)).orderBy("key").collect()] if few else []
+    start = [_numbered(model, r["n"], bytes(r["payload"])) for r in windows.where(F.col("key").isin(few)).orderBy("key").collect()] if few else []
     if not start:
         return model
-    first = np.concatenate(start)[:START]
+    first = np.concatenate(start)
+    first = first[:: -(-len(first) // START)]
     model.fit(first, 0.02, 0, min(STEPS, REPEATS * -(-len(first) // BATCH)))
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
@@ -345,8 +351,8 @@ def train(gathered: DataFrame, size: int) -> Model:
                 held.clear()
 
             for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    held.append(_numbered(own, raw))
+                for texts, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held.append(_numbered(own, texts, raw))
                     seen += len(held[-1])
                     if sum(map(len, held)) >= AT_ONCE:
                         fit()
@@ -364,7 +370,7 @@ def train(gathered: DataFrame, size: int) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["weights", "n"])
 
         schema = "weights binary, n bigint"
-        mine = windows.where(F.pmod(F.col("key"), F.lit(ROUNDS)) == turn).select("payload").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        mine = windows.where(F.pmod(F.col("key"), F.lit(ROUNDS)) == turn).select("n", "payload").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
         some = mine.mapInArrow(learn, schema)
         got = some.repartition(max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))).mapInArrow(average, schema).collect()
         if got:

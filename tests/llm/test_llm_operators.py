@@ -227,6 +227,28 @@ def test_each_id_is_scored_once(monkeypatch):
     assert (seen == 1).all()
 
 
+def test_each_id_is_learned_once(spark):
+    """Windows hold every id of every text as one target, and each gathered block is in one round."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    r = np.random.default_rng(12)
+    docs = spark.createDataFrame([(" ".join(r.choice(["alpha", "beta", "gamma"], n)), i) for i, n in enumerate((0, 1, 22, 23, 24, 700, 5000))], "text string, mark bigint")
+    rows = docs.mapInArrow(lm_score._gather(path), "kind int, key bigint, n bigint, payload binary").collect()
+    counts = collections.Counter()
+    for x in rows:
+        if x.kind == lm_score._PIECES:
+            counts[x.key] += x.n
+    model = lm_score.Model(np.arange(lm_score.pieces(path).size, 0, -1.0))
+    model.number = np.arange(len(model.number))
+    got = collections.Counter()
+    for x in rows:
+        if x.kind == lm_score._WINDOWS:
+            target = lm_score._numbered(model, x.n, bytes(x.payload))[:, -lm_score.NEW :]
+            got.update(target[target >= 0].tolist())
+    assert got == counts
+
+
 def test_word_tables():
     r = np.random.default_rng(8)
     texts = [" ".join(f"w{x}" for x in r.zipf(1.2, 400) % 5000) for _ in range(30)]
