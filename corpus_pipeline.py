@@ -29,14 +29,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle sets of similarity 0.8 or more stays, that of the smallest doc_id.
+    """One row of each component of five-word shingle sets of similarity 0.8 or more stays, that of the smallest doc_id.
 
-    Texts without a word are linked with nothing and stay. Of rows that repeat a doc_id all or none stay; rows with a null
-    doc_id stay where nothing with an id is like them.
+    Rows are told apart by a number of their own, not by doc_id, which may be null or stand twice. Null comes after all ids;
+    of rows with one doc_id that of the smallest hash of the text stays, of equal rows any one. Texts without a word are linked
+    with nothing and stay.
     """
-    classes = jaccard_join.jaccard_components(docs, size=5, percent=80)
-    others = keep(classes.where("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_other")).distinct(), "pipeline-others")
-    return docs.join(others, F.col("doc_id").cast("long").eqNullSafe(F.col("_other")), "left_anti").select(*docs.columns)
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    classes = jaccard_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), size=5, percent=80)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), "_row").alias("order")
+    named = classes.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", order), "_row")
+    stay = keep(named.groupBy("component_id").agg(F.min("order").alias("order")).select("order._row"), "pipeline-stay")
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -366,3 +366,19 @@ def test_pipeline(spark, tmp_path, awkward):
         assert out.columns == awkward.columns
         assert stage(spark, awkward.limit(0), f"file://{tmp_path}").count() == 0
         out.count()
+
+
+def test_near_stage_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"t{k}x{i}" for i in range(40))
+    rows = [
+        (1, text(1)), (None, text(1) + " end"),  # a null id linked to an id
+        (None, text(2)), (None, text(3)), (None, None), (None, ""),  # null ids linked to nothing
+        (None, text(4)), (None, text(4) + " end"), (None, text(4)),  # null ids alone
+        (5, text(5)), (5, text(6)), (4, text(5) + " end"),  # an id that stands twice, one of them linked
+        (7, text(7)), (7, text(7)),  # equal rows
+    ]
+    got = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert collections.Counter((x.doc_id, x.text) for x in got if not (x.text or "").startswith("t4")) == collections.Counter([(1, text(1)), (None, text(2)), (None, text(3)), (None, None), (None, ""), (5, text(6)), (4, text(5) + " end"), (7, text(7))])
+    assert len([x for x in got if (x.text or "").startswith("t4")]) == 1
