@@ -306,25 +306,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return keep(full.where(100 * common >= percent * (both - common)).select("member", "pivot"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Connected components of documents whose sets of word shingles have 100 * intersection >= percent * union.
-
-    docs has doc_id (taken as long) and text; other columns are not read. Words are runs outside
-    [\\x20\\x09-\\x0D], A-Z lower-cased; a set holds the distinct shingles of `size` words, the whole sequence where there
-    are fewer words, nothing for a null or empty text. Shingles are compared by 64-bit hashes.
-
-    1. Each task signs its sets (see Scheme), links sets that share a signature to one of them, and sends on one row of
-       each signature, packed; a signature that a third of all documents share is one row of each task.
-    2. Rows with one signature are linked to the smallest: a star, not all pairs. Stars are verified on the full sets, and
-       their components found.
-    3. Signatures whose members are still in several components are searched for further links in blocks of
-       a fixed number of members, every block against every other, so that no link is lost and no group is one task's. Only
-       pairs that sizes and histograms allow leave a block, and are verified like those of the stars.
+def _search(docs: DataFrame, size: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of documents (doc_id, id, n), verified links (member, pivot), components of those (node, root).
 
-    Returns one row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links
-    reach). Defined cases: an empty set is linked with nothing, not even another empty one; rows that repeat a text are
-    linked; rows with a null doc_id take part and get the smallest id of their component, null if it has none; an
-    empty table gives an empty table.
+    With every, all pairs of distinct similar sets are links; without it enough of them for the components.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -344,7 +329,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     roots = components(links, "member", "pivot")
 
     members = shared.select("sign", "member").union(shared.select("sign", F.col("pivot").alias("member"))).distinct()
-    members = keep(members.join(roots, F.col("member") == F.col("node"), "left").select("sign", "member", F.coalesce("root", "member").alias("component")), "jaccard-members")
+    members = keep(members.join(roots, F.col("member") == F.col("node"), "left").select("sign", "member", (F.col("member") if every else F.coalesce("root", "member")).alias("component")), "jaccard-members")
     # of two members their only pair has been tried
     torn = members.groupBy("sign").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
     torn = keep(torn.where("low <> high and m > 2").select("sign", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks")), "jaccard-torn")
@@ -359,9 +344,50 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     untried = placed.groupBy("slot").applyInPandas(_across(percent), "member binary, pivot binary").distinct()
     further = _verified(keep(untried.join(pairs, ["member", "pivot"], "left_anti"), "jaccard-untried"), sets, percent)
     if not further.isEmpty():
-        roots = components(links.union(further), "member", "pivot")
+        links = links.union(further)
+        roots = components(links, "member", "pivot")
+    return owners, links, roots
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Connected components of documents whose sets of word shingles have 100 * intersection >= percent * union.
 
+    docs has doc_id (taken as long) and text; other columns are not read. Words are runs outside
+    [\\x20\\x09-\\x0D], A-Z lower-cased; a set holds the distinct shingles of `size` words, the whole sequence where there
+    are fewer words, nothing for a null or empty text. Shingles are compared by 64-bit hashes.
+
+    1. Each task signs its sets (see Scheme), links sets that share a signature to one of them, and sends on one row of
+       each signature, packed; a signature that a third of all documents share is one row of each task.
+    2. Rows with one signature are linked to the smallest: a star, not all pairs. Stars are verified on the full sets, and
+       their components found.
+    3. Signatures whose members are still in several components are searched for further links in blocks of
+       a fixed number of members, every block against every other, so that no link is lost and no group is one task's. Only
+       pairs that sizes and histograms allow leave a block, and are verified like those of the stars.
+
+    Returns one row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links
+    reach). Defined cases: an empty set is linked with nothing, not even another empty one; rows that repeat a text are
+    linked; rows with a null doc_id take part and get the smallest id of their component, null if it has none; an
+    empty table gives an empty table.
+    """
+    owners, _, roots = _search(docs, size, percent, every=False)
     classes = owners.join(roots, F.col("id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "id").alias("class"))
     smallest = keep(classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("component_id")), "jaccard-smallest")
     full = classes.where("n > 0").join(smallest, "class").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     return full.union(classes.where("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
+
+
+def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links that jaccard_components follows: pairs of distinct sets (a, b), and for each row of docs its set and number of links.
+
+    The second table has doc_id, id (name of the row's set, as in a and b), n_shingles, n_links: the other rows whose
+    sets are similar, those with an equal set among them. It comes from the number of rows of each set, so that equal
+    texts are one member of a pair. An empty set has no links. Pairs grow with the square of a group of distinct similar sets.
+    """
+    owners, links, _ = _search(docs, size, percent, every=True)
+    links = links.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b")).distinct()
+    rows = owners.where("n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    both = links.union(links.select("b", "a")).toDF("id", "near")
+    near = both.join(rows.withColumnRenamed("id", "near"), "near").groupBy("id").agg(F.sum("rows").alias("others"))
+    degree = rows.join(near, "id", "left").select("id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    counts = owners.join(degree, "id", "left").select("doc_id", "id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return links, counts

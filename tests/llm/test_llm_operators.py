@@ -97,6 +97,28 @@ def test_jaccard_components(spark, size, percent):
     assert got == {i: (len(sets[i]), root[i]) for i in range(len(texts))}
 
 
+def test_jaccard_links(spark):
+    """All links inside a component, between different texts and copies."""
+    r = np.random.default_rng(13)
+    texts = [None, "", "one", "one"]
+    for n in (15, 60):
+        base = [f"b{n}x{i}" for i in range(n)]
+        for k in range(10):
+            copy = list(base)
+            for at in r.integers(0, n, k % 5):
+                copy[at] = "x" + str(r.integers(99))
+            texts += [" ".join(copy)] * (1 + k % 3)
+    sets, _ = links(texts, 1, 80)
+    similar = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    pairs, counts = jaccard_join.jaccard_links(df, 1, 80)
+    counts = counts.collect()
+    assert {x.doc_id: (x.n_shingles, x.n_links) for x in counts} == {i: (len(a), sum(bool(similar(a, b)) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets)}
+    name = {bytes(x.id): frozenset(sets[x.doc_id]) for x in counts}
+    distinct = set(name.values())
+    assert sorted(sorted(map(sorted, (name[bytes(x.a)], name[bytes(x.b)]))) for x in pairs.collect()) == sorted(sorted(map(sorted, (a, b))) for a in distinct for b in distinct if sorted(a) < sorted(b) and similar(a, b))
+
+
 def test_jaccard_awkward(awkward):
     got = jaccard_join.jaccard_components(awkward, 5, 80).collect()
     assert len(got) == awkward.count()
