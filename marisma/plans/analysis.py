@@ -186,7 +186,7 @@ def mirror_partial_update(spark, d):
 def stream_dedup_first(spark, d):
     src = table(spark, d, "events")
     rows = spark.readStream.schema(src.schema).parquet(f"{d}/events.parque[t]").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    return batches.run_to_table(rows, f"first_{abs(hash(d)) % 10**8}")
+    return batches.run_to_files(rows, ["user_id", "event_type"], "stream-first")
 
 
 @query("""with g as (select user_id, ts, case when date_diff('microsecond', lag(ts) over (partition by user_id order by ts), ts) >= 21600000000 or lag(ts) over (partition by user_id order by ts) is null then 1 else 0 end as s from events), i as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) as k from g)

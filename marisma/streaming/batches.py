@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -36,3 +40,27 @@ def run_to_table(result: DataFrame, name: str, mode: str = "complete") -> DataFr
     """Run a stream over all that is there and return its result (in memory: for small aggregates)."""
     result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return result.sparkSession.table(name)
+
+
+def run_to_files(result: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run a stream of one aggregate by keys over all that is there and return its result; no row of it comes to the driver.
+
+    Each batch writes the keys that it changed to the shared folder; of each key the row of the last batch counts.
+    """
+    spark = result.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='marisma-')}"
+    target = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    schema, whole = result.schema, StructType([*result.schema.fields, StructField("batch", IntegerType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+
+    result.writeStream.outputMode("update").option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    try:
+        rows = spark.read.option("basePath", f"{target}/rows").schema(whole).parquet(f"{target}/rows")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    last = F.max_by(F.struct(*[c for c in result.columns if c not in keys]), "batch").alias("r")
+    return rows.groupBy(*keys).agg(last).select(*keys, "r.*").select(*result.columns)

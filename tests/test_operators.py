@@ -91,3 +91,18 @@ def test_stream_dedup(spark, tmp_path):
     stream = batches.stream(spark, f"file://{tmp_path}/in", "i int, k string")
     batches.dedup_batches(stream, "k", "i", f"file://{tmp_path}/out", f"file://{tmp_path}/check")
     assert sorted(x.k for x in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["a", "b"]
+
+
+def test_stream_aggregate_in_files(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(9 - k, "a"), (k, f"b{k}")], "i int, k string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    rows = batches.stream(spark, f"file://{tmp_path}/in", "i int, k string").groupBy("k").agg(F.min("i").alias("i"), F.count("i").alias("n"))
+    got = batches.run_to_files(rows, ["k"], "test")
+    assert got.columns == ["k", "i", "n"]
+    assert {(r.k, r.i, r.n) for r in got.collect()} == {("a", 7, 3), ("b0", 0, 1), ("b1", 1, 1), ("b2", 2, 1)}
+
+
+def test_stream_dedup_first_is_read_from_files(spark):
+    from marisma import registry
+
+    assert registry.queries()["stream_dedup_first"](spark, "/root/testdata/sf0.001").inputFiles()
