@@ -157,6 +157,11 @@ def explain_contrib(spark, d):
     return table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", F.format_string("%s %d × %.2f", F.lit("Discrepancia"), "l_linenumber", F.lit(scoring.WEIGHTS["evidence_contradiction"])).alias("explain"))
 
 
+@query("""select l_orderkey, l_linenumber, printf('%s %d × %.2f', 'Discrepancia', l_linenumber, 0.28) as explain from lineitem""")
+def explain_contrib_all(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%s %d × %.2f", F.lit("Discrepancia"), "l_linenumber", F.lit(scoring.WEIGHTS["evidence_contradiction"])).alias("explain"))
+
+
 @query("""select page_id, case when regexp_matches(trim(url), '^https?://[^/?#]+\\.[^/?#]+') then trim(url) end as safe, case when regexp_matches(lower(url), 'example|localhost') then true else false end as fake from pages""")
 def url_sanitise(spark, d):
     return table(spark, d, "pages").select("page_id", urls.public(F.col("url")).alias("safe"), F.lower("url").rlike("example|localhost").alias("fake"))
@@ -199,3 +204,8 @@ def session_windows(spark, d):
 @query("""select doc_id, sha256(substr(text, 1, 200)) as h, case when length(text) >= 500 then 'full' else 'short' end as kind from documents where lang in ('fr', 'de')""")
 def worker_composition(spark, d):
     return docs(spark, d).where(F.col("lang").isin("fr", "de")).select("doc_id", hashing.sha(F.substring("text", 1, 200)).alias("h"), F.when(F.length("text") >= 500, "full").otherwise("short").alias("kind"))
+
+
+@query("""select doc_id, sha256(text) as h, case when length(text) >= 500 then 'full' else 'short' end as kind from documents""")
+def worker_composition_all(spark, d):
+    return docs(spark, d).select("doc_id", hashing.sha(F.col("text")).alias("h"), F.when(F.length("text") >= 500, "full").otherwise("short").alias("kind"))

@@ -172,6 +172,11 @@ def normalise_fold(spark, d):
     return docs(spark, d).select("doc_id", (text.normalise(F.col("text")) == F.lower("text")).alias("is_flat"), text.fold_accents(F.substring("text", 1, 40)).alias("folded"))
 
 
+@query(f"""select doc_id, {collapse_sql('lower(text)')} = lower(text) as is_flat, translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}') as folded from documents""")
+def normalise_fold_whole(spark, d):
+    return docs(spark, d).select("doc_id", (text.normalise(F.col("text")) == F.lower("text")).alias("is_flat"), text.fold_accents(F.col("text")).alias("folded"))
+
+
 @query(f"select (count(*) filter (where {word_sql('lower(text)', 'is')}))::bigint as bare, (count(*) filter (where {word_sql(chr(39).join(['replace(lower(text), ', 'that is', ', ', ' ', ')']), 'is')}))::bigint as masked from documents")
 def mask_then_match(spark, d):
     return docs(spark, d).agg(F.count_if(text.has_word(F.col("text"), "is")).alias("bare"), F.count_if(text.has_word(text.mask(F.col("text"), ["that is"]), "is")).alias("masked"))
