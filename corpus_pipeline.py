@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of five-word shingle sets of similarity 0.8 or more stays, that of the smallest doc_id.
 
-    Rows are told apart by a number of their own, not by doc_id, which may be null or stand twice. Null comes after all ids;
+    Rows are told apart by a 64-bit hash of their file and place in it, not by doc_id, which may be null or stand twice. Null comes after all ids;
     of rows with one doc_id that of the smallest hash of the text stays, of equal rows any one. Texts without a word are linked
     with nothing and stay.
     """
-    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    key = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    try:
+        rows = docs.withColumn("_row", key)
+    except AnalysisException:  # not read from Parquet
+        rows = keep(docs, "pipeline-rows").withColumn("_row", key)
     classes = jaccard_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), size=5, percent=80)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text"), "_row").alias("order")
     named = classes.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", order), "_row")
