@@ -88,9 +88,10 @@ def features(w: bytetext.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return feature[order], owner[order]
 
 
-def marginals(emission: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+def marginals(emission: np.ndarray, first: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Forward-backward: probability of each label for each word. emission: (words, labels); first: first word of each text, one more at the end.
 
+    What each pair of labels of neighbours is expected to number is added to pairs; before a text's first word any label may stand.
     Texts are cut into segments. The matrix of each segment carries the chain over it, so that the values at its ends follow
     by one step a segment, and all segments are filled in at once; the result is that of the whole chains.
     """
@@ -137,6 +138,9 @@ def marginals(emission: np.ndarray, first: np.ndarray, transitions: np.ndarray)
         forward[t] = cur
     cur = leave
     for t in reversed(range(SEGMENT)):
+        if pairs is not None:
+            joint = (forward[t - 1] if t else enter)[:, :, None] * step * (psi[t] * cur)[:, None, :]
+            pairs += (joint / joint.sum((1, 2), keepdims=True))[there[t]].sum(0)
         forward[t] *= cur
         back = (psi[t] * cur) @ step.T
         back /= back.max(1, keepdims=True)
@@ -188,20 +192,20 @@ def train(texts: list[bytes], langs: list[str], rounds: int = 6, span: int = 12,
                 score[have] = np.add.reduceat(crf.weights[used], (np.cumsum(rows) - rows)[have])
             score += np.where((entry[word] >= 0)[:, None], crf.lexicon_weights[np.maximum(entry[word], 0)], 0)
             emission = score[place]
-            p = marginals(emission, first, crf.transitions)
-            wrong = -p
+            expected = np.zeros((k, k))
+            wrong = -marginals(emission, first, crf.transitions, expected)
             wrong[np.arange(len(at)), truth[at]] += 1
             by_word = np.stack([np.bincount(place, wrong[:, c], len(word)) for c in range(k)], 1)
             touched, number = np.unique(used, return_inverse=True)
             grad = np.stack([np.bincount(number, np.repeat(by_word[:, c], rows), len(touched)) for c in range(k)], 1)
             in_lexicon = entry[word] >= 0
-            # pairs of neighbours: what is there, less what the words' own marginals and the transitions expect
+            # pairs of neighbours: what is there, less what is expected; what stands before a first word is known by its label alone
             inner = np.ones(len(at), bool)
             inner[first[:-1]] = False
             b = np.flatnonzero(inner)
-            joint = p[b - 1][:, :, None] * np.exp(crf.transitions)[None] * p[b][:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            pairs = np.bincount(truth[at[b - 1]] * k + truth[at[b]], minlength=k * k).reshape(k, k) - joint.sum(0)
+            pairs = np.bincount(truth[at[b - 1]] * k + truth[at[b]], minlength=k * k).reshape(k, k) - expected
+            begin = np.exp(crf.transitions)
+            pairs += begin / begin.sum(0) * np.bincount(truth[at[first[:-1]]], minlength=k)
             for x, sq, rows_of, g in ((crf.weights, squares[0], touched, grad), (crf.lexicon_weights, squares[1], entry[word][in_lexicon], by_word[in_lexicon]), (crf.transitions, squares[2], slice(None), pairs)):
                 g = (g / len(chosen) - 1e-5 * x[rows_of]).astype(np.float32)
                 sq[rows_of] += g * g
