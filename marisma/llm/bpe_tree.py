@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from marisma.llm import bytetext
 from marisma.session import ship
 
-LEAF_CHARS = 4096
+#: Longer texts, runs, matches and lists of ids are halved.
+LEAF_CHARS = 128
 LEAF_BYTES = 96
 BLOCK_BYTES = 2 << 20
 
@@ -28,22 +29,21 @@ class TreeBpe:
     Encodings form a monoid: the encoding of a text follows from those of its halves. Two facts say when tokens outside
     a boundary window can't change.
 
-    - Text: the pattern never matches a character that is not white space and then white space. So where such a pair stands, a match
-      ends in any text, and what follows depends only on characters to the right. The window runs from the last such place
-      of the left half to the first one of the right half.
+    - Text: the pattern (that of public_tokenizers, for which alone this holds) never matches a character that is not white space and
+      then white space. So where such a pair stands, a match ends in any text, and what follows depends only on characters to the right.
+      The window runs from the last such place of the left half to the first one of the right half.
     - Bytes of one long match: a token sequence is the encoding exactly if each two neighbours, encoded together, stay those two.
       The window takes more tokens on both sides until that holds at its two ends.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             self.bytes_of[i] = token
-        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
-        self.pattern = regex.compile(pattern)
-        self.place = regex.compile(r"\S(?=\s)")
+        self.leaf = tiktoken.Encoding("leaf", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.stay = lru_cache(1 << 16)(self._stay)
 
     # texts
@@ -54,42 +54,29 @@ class TreeBpe:
     def _encode(self, text: str, lo: int, hi: int) -> list[int]:
         if hi - lo <= LEAF_CHARS:
             return self.leaf(text[lo:hi])
-        mid = self._middle(text, lo, hi)
-        if mid is None:
-            return self._run(text[lo:hi])
-        return self._join(text, lo, mid, hi, self._encode(text, lo, mid), self._encode(text, mid, hi))
-
-    def _middle(self, text: str, lo: int, hi: int) -> int | None:
-        """The middle; an end of the run that it lies in, if that run is longer than a leaf; None if there is only this run."""
         mid = (lo + hi) // 2
-        a, b = self._last(text, lo, mid), self._first(text, mid, hi)
-        if b - a <= LEAF_CHARS:
-            return mid
-        return a if a > lo else b if b < hi else None
-
-    def _last(self, text: str, lo: int, before: int) -> int:
-        """The last place under `before` where a match ends in any text; lo if there is none."""
-        step, top = 64, before
-        while top > lo:
-            low = max(lo, top - step)
-            found = [m.end() for m in self.place.finditer(text, low, top + 1) if m.end() < before]
-            if found:
-                return found[-1]
-            top, step = low, step * 2
-        return lo
-
-    def _first(self, text: str, after: int, hi: int) -> int:
-        """The first place over `after` where a match ends in any text; hi if there is none."""
-        m = self.place.search(text, after, hi)
-        return m.end() if m else hi
-
-    def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
-        a, b = self._last(text, lo, mid), self._first(text, mid, hi)
+        a, b = self._around(text, lo, mid, hi)
+        if b - a > LEAF_CHARS:
+            # the middle lies in a long run: cut at an end of it
+            if a == lo and b == hi:
+                return self._run(text[lo:hi])
+            mid = a if a > lo else b
+            a, b = self._around(text, lo, mid, hi)
+        left, right = self._encode(text, lo, mid), self._encode(text, mid, hi)
         window = self._run(text[a:b]) if b - a > LEAF_CHARS else self.leaf(text[a:b])
         keep = len(left) - self._count(reversed(left), len(text[a:mid].encode()))
         skip = self._count(right, len(text[mid:b].encode()))
         return left[:keep] + window + right[skip:]
 
+    def _around(self, text: str, lo: int, mid: int, hi: int) -> tuple[int, int]:
+        """The last place before mid and the first one behind it where a space follows what is none; lo and hi where there is none."""
+        a, b = text.rfind(" ", lo, mid), text.find(" ", mid + 1, hi)
+        while a > lo and text[a - 1].isspace():
+            a = text.rfind(" ", lo, a)
+        while b > 0 and text[b - 1].isspace():
+            b = text.find(" ", b + 1, hi)
+        return max(a, lo), b if b > 0 else hi
+
     def _count(self, tokens, size: int) -> int:
         n = 0
         for t in tokens:
@@ -155,15 +142,15 @@ class TreeBpe:
 
 
 @lru_cache(4)
-def tree(path: str, pattern: str) -> TreeBpe:
-    return TreeBpe(path, pattern)
+def tree(path: str) -> TreeBpe:
+    return TreeBpe(path)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode every text and decode it again: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (bytes).
 
     docs has doc_id and text; other columns are not read. path is a file of ranks that every executor has. Each task
-    works on blocks of texts; a long text is one tree. Defined cases: a null or empty text has no tokens and decodes
+    works on blocks of texts; every text of more than 128 characters is a tree. Defined cases: a null or empty text has no tokens and decodes
     to no bytes; each of repeated rows is encoded; white space and white-space-free runs of any length are
     exact; an empty table gives an empty table.
     """
@@ -171,7 +158,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tree(path, pattern)
+        bpe = tree(path)
         for batch in batches:
             data, offsets = bytetext.column(batch.column(1))
             for i, j in bytetext.blocks(offsets, BLOCK_BYTES):

@@ -16,7 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 @pytest.fixture(scope="module")
 def bpe():
-    return bpe_tree.TreeBpe(PATH, public_tokenizers.PATTERN)
+    return bpe_tree.TreeBpe(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +31,9 @@ def texts():
     for n in (0, 1, 3, 40, 300, 2500):
         for _ in range(12):
             yield "".join(r.choice(alphabet) for _ in range(n))
+    odd = ["x", "!", " ", "\x1c", "\x1f", "\x85", "\u2028", "\u3000", "\n", "\t", "7"]
+    for _ in range(30):
+        yield "".join(r.choice(odd) for _ in range(200))
     yield "x" * 9000
     yield " " * 9000 + "a"
     yield "ab" * 7000 + " tail"
