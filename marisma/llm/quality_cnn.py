@@ -17,24 +17,15 @@ from marisma.session import ship
 BLOCK_BYTES = 1 << 20
 FILTERS = 16
 WIDTH = 6
-#: Bytes share one of 64 classes: letters of either case, digits, white space, marks, and parts of longer characters.
-CLASS = np.zeros(256, np.uint8)
-CLASS[97:123] = np.arange(1, 27)
-CLASS[65:91] = 27 + np.arange(26) // 5
-CLASS[48:58] = 33
-CLASS[[9, 11, 12, 13]] = 34
-CLASS[10], CLASS[32] = 35, 36
-for _i, _c in enumerate(b".,!?;:'\"-_|#$%&*@/<>()"):
-    CLASS[_c] = 37 + _i
-CLASS[128:192], CLASS[192:224], CLASS[224:] = 60, 61, 62
-CLASSES = 64
+#: Filters see each of the 256 byte values, and what stands after a text's end as one value more.
+AFTER, VALUES = 256, 257
 #: A chunk is four cells of 256 bytes; the next one begins three cells on, so that neighbours overlap by one.
 CELL, CELLS, STRIDE = 256, 4, 3
 
 
 @dataclass
 class Cnn:
-    """taps: filter weights for each of WIDTH places and byte classes; head: weights of the mean and the maximum over chunks."""
+    """taps: filter weights for each of WIDTH places and byte values; head: weights of the mean and the maximum over chunks."""
 
     taps: np.ndarray
     bias: np.ndarray
@@ -49,15 +40,15 @@ class Cnn:
         return self
 
     def cells(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Greatest response of each filter in each cell, each text's first cell (one more at the end), and the padded classes."""
+        """Greatest response of each filter in each cell, each text's first cell (one more at the end), and the padded bytes."""
         size = np.diff(offsets)
         cells = np.maximum(1, -(-size // CELL))
         first = np.concatenate([[0], np.cumsum(cells)])
-        # each text is padded with class 0 to whole cells; filters reach WIDTH - 1 bytes into the next cell of the same text
-        padded = np.zeros(int(first[-1]) * CELL + WIDTH, np.uint8)
-        padded[np.arange(len(data)) + np.repeat(first[:-1] * CELL - offsets[:-1], size)] = CLASS[data]
+        # each text is padded to whole cells; filters reach WIDTH - 1 bytes into the next cell of the same text
+        padded = np.full(int(first[-1]) * CELL + WIDTH, AFTER, np.int32)
+        padded[np.arange(len(data)) + np.repeat(first[:-1] * CELL - offsets[:-1], size)] = data
         n = int(first[-1]) * CELL
-        two = padded[:-1].astype(np.int32) * CLASSES + padded[1:]
+        two = padded[:-1] * VALUES + padded[1:]
         response = self.pairs[0][two[:n]]
         for k in (1, 2):
             response += self.pairs[k][two[2 * k : n + 2 * k]]
@@ -102,7 +93,7 @@ def combine(hidden: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def train(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int = 64, seed: int = 11) -> Cnn:
     """Fit by Adam on the cross-entropy, both classes weighing the same; gradients pass through the maxima to the windows that gave them."""
     r = np.random.default_rng(seed)
-    net = Cnn((r.normal(size=(WIDTH, CLASSES, FILTERS)) * 0.15).astype(np.float32), np.zeros(FILTERS, np.float32), (r.normal(size=2 * FILTERS) * 0.1).astype(np.float32), 0.0)
+    net = Cnn((r.normal(size=(WIDTH, VALUES, FILTERS)) * 0.15).astype(np.float32), np.zeros(FILTERS, np.float32), (r.normal(size=2 * FILTERS) * 0.1).astype(np.float32), 0.0)
     if not len(labels) or labels.min() == labels.max():
         net.fixed = 0.5 if not len(labels) else float(labels[0])
         return net
