@@ -19,11 +19,65 @@ from marisma.session import ship
 
 BLOCK_BYTES = 2 << 20
 SHARD_TOKENS = 1 << 21
+CELL_BYTES = 64 << 20
 END = 2
-_MAGIC = b"WVLT1"
+_MAGIC = b"WVLT2"
 _RANK_BITS = 512
 
 
+class Plane:
+    """Bits with the number of ones before every 512 of them; unpacked when they are first looked at."""
+
+    def __init__(self, n: int, packed: np.ndarray | None, ones: np.ndarray, raw: bytes | None = None):
+        self.n, self._packed, self._raw, self.ones, self._words = n, packed, raw, ones, None
+        self.zeros = n - int(ones[-1])
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        packed = np.packbits(bits, bitorder="little")
+        per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), _RANK_BITS // 8), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
+        return cls(len(bits), packed, np.concatenate([[0], np.cumsum(per)]))
+
+    @property
+    def packed(self) -> np.ndarray:
+        if self._packed is None:
+            self._packed = np.frombuffer(pa.Codec("zstd").decompress(self._raw, (self.n + 7) // 8, asbytes=True), np.uint8)
+        return self._packed
+
+    @property
+    def words(self) -> np.ndarray:
+        """Eight words for each count, and one block of zeros after them."""
+        if self._words is None:
+            padded = np.zeros((self.n // _RANK_BITS + 2) * _RANK_BITS // 8, np.uint8)
+            padded[: len(self.packed)] = self.packed
+            self._words = padded.view("<u8")
+        return self._words
+
+    def bit(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones among the first i bits: those before the block, and those of its words."""
+        block = i // _RANK_BITS
+        left = np.clip((i - block * _RANK_BITS)[:, None] - np.arange(0, _RANK_BITS, 64), 0, 64)
+        words = self.words[block[:, None] * (_RANK_BITS // 64) + np.arange(_RANK_BITS // 64)]
+        mask = np.where(left == 64, ~np.uint64(0), (np.uint64(1) << (left & 63).astype(np.uint64)) - np.uint64(1))
+        return self.ones[block] + np.bitwise_count(words & mask).sum(1, dtype=np.int64)
+
+    def select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """The places of the k-th ones (or zeros)."""
+        count = self.ones if one else np.minimum(np.arange(len(self.ones)) * _RANK_BITS, self.n) - self.ones
+        block = np.searchsorted(count, k, side="right") - 1
+        out = np.empty(len(k), np.int64)
+        for i in range(0, len(k), 4096):
+            at = block[i : i + 4096]
+            words = self.words[at[:, None] * (_RANK_BITS // 64) + np.arange(_RANK_BITS // 64)]
+            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+            hit = np.cumsum(bits if one else 1 - bits, axis=1, dtype=np.int32) > (k[i : i + 4096] - count[at])[:, None]
+            out[i : i + 4096] = at * _RANK_BITS + hit.argmax(1)
+        return out
+
+
 class WaveletMatrix:
     """A sequence of token ids as bit planes over its own alphabet.
 
@@ -32,13 +86,8 @@ class WaveletMatrix:
     stands before a place) and select (where it stands for the k-th time) each take one step a plane.
     """
 
-    def __init__(self, n: int, alphabet: np.ndarray, planes: list[np.ndarray]):
+    def __init__(self, n: int, alphabet: np.ndarray, planes: list[Plane]):
         self.n, self.alphabet, self.planes = n, alphabet, planes
-        self.ones = []
-        for p in planes:
-            per = np.add.reduceat(np.bitwise_count(p), np.arange(0, len(p), _RANK_BITS // 8)) if len(p) else np.zeros(0)
-            self.ones.append(np.concatenate([[0], np.cumsum(per, dtype=np.int64)]))
-        self.zeros = [n - int(o[-1]) for o in self.ones]
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -52,95 +101,75 @@ class WaveletMatrix:
         planes = []
         for level in reversed(range(max(1, (len(alphabet) - 1).bit_length()) if len(alphabet) else 0)):
             bits = ((cur >> level) & 1).astype(bool)
-            planes.append(np.packbits(bits, bitorder="little"))
+            planes.append(Plane.of(bits))
             cur = np.concatenate([cur[~bits], cur[bits]])
         return cls(len(ids), alphabet, planes)
 
-    def _bit(self, level: int, i: np.ndarray) -> np.ndarray:
-        return (self.planes[level][i >> 3] >> (i & 7).astype(np.uint8)) & 1
-
-    def _rank1(self, level: int, i: np.ndarray) -> np.ndarray:
-        """Ones among the first i bits."""
-        i = np.asarray(i, np.int64)
-        block = i // _RANK_BITS
-        out = self.ones[level][block].copy()
-        bits = np.concatenate([self.planes[level], np.zeros(_RANK_BITS // 8 + 1, np.uint8)])
-        first = block * (_RANK_BITS // 8)
-        for k in range(_RANK_BITS // 8):
-            left = np.clip(i - (first + k) * 8, 0, 8)
-            if not left.any():
-                break
-            out += np.bitwise_count(bits[first + k] & ((1 << left) - 1).astype(np.uint8))
-        return out
-
     def access(self, places) -> np.ndarray:
         """Ids at the places."""
         i = np.array(places, np.int64, ndmin=1)
         number = np.zeros(len(i), np.int64)
-        for level in range(len(self.planes)):
-            one = self._bit(level, i).astype(bool)
-            before = self._rank1(level, i)
+        for plane in self.planes:
+            one, before = plane.bit(i), plane.rank(i)
             number = number * 2 + one
-            i = np.where(one, self.zeros[level] + before, i - before)
+            i = np.where(one, plane.zeros + before, i - before)
         return self.alphabet[number]
 
-    def _number(self, token: int) -> int | None:
+    def _bits(self, token: int) -> list[bool] | None:
+        """The bits of a token's number, one for each plane; None if it is not in the alphabet."""
         k = int(np.searchsorted(self.alphabet, token))
-        return k if k < len(self.alphabet) and self.alphabet[k] == token else None
+        if k == len(self.alphabet) or self.alphabet[k] != token:
+            return None
+        return [bool(k >> level & 1) for level in reversed(range(len(self.planes)))]
 
     def rank(self, token: int, end: int | None = None) -> int:
         """How often token stands before place end (in all, if None)."""
-        number = self._number(token)
-        if number is None:
+        bits = self._bits(token)
+        if bits is None:
             return 0
-        lo, hi = 0, self.n if end is None else end
-        for level in range(len(self.planes)):
-            a, b = self._rank1(level, np.array([lo, hi]))
-            one = number >> (len(self.planes) - 1 - level) & 1
-            lo, hi = (self.zeros[level] + int(a), self.zeros[level] + int(b)) if one else (lo - int(a), hi - int(b))
-        return hi - lo
-
-    def select(self, token: int, k: int) -> int:
-        """The place where token stands for the k-th time, from 0."""
-        number = self._number(token)
-        if number is None or not 0 <= k < self.rank(token):
-            raise IndexError(f"token {token} does not stand {k + 1} times")
-        lo = 0
-        for level in range(len(self.planes)):
-            a = int(self._rank1(level, np.array([lo]))[0])
-            lo = self.zeros[level] + a if number >> (len(self.planes) - 1 - level) & 1 else lo - a
-        at = lo + k
-        for level in reversed(range(len(self.planes))):
-            one = number >> (len(self.planes) - 1 - level) & 1
-            at = self._place(level, at - self.zeros[level], True) if one else self._place(level, at, False)
+        ends = np.array([0, self.n if end is None else end], np.int64)
+        for plane, one in zip(self.planes, bits, strict=True):
+            before = plane.rank(ends)
+            ends = plane.zeros + before if one else ends - before
+        return int(ends[1] - ends[0])
+
+    def select(self, token: int, k) -> np.ndarray:
+        """The places where token stands for the k-th time, from 0, for each k of an array."""
+        k, bits = np.array(k, np.int64, ndmin=1), self._bits(token)
+        if len(k) and (bits is None or k.min() < 0 or k.max() >= self.rank(token)):
+            raise IndexError(f"token {token} does not stand {int(k.max()) + 1} times")
+        if not len(k):
+            return k
+        start = np.zeros(1, np.int64)
+        for plane, one in zip(self.planes, bits, strict=True):
+            before = plane.rank(start)
+            start = plane.zeros + before if one else start - before
+        at = start + k
+        for plane, one in zip(reversed(self.planes), reversed(bits), strict=True):
+            at = plane.select(at - plane.zeros if one else at, one)
         return at
 
-    def _place(self, level: int, k: int, one: bool) -> int:
-        """The place of the k-th one (or zero) of a plane."""
-        ones = self.ones[level]
-        count = ones if one else np.minimum(np.arange(len(ones)) * _RANK_BITS, self.n) - ones
-        block = int(np.searchsorted(count, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * (_RANK_BITS // 8) : (block + 1) * (_RANK_BITS // 8)], bitorder="little")[: self.n - block * _RANK_BITS]
-        return block * _RANK_BITS + int(np.flatnonzero(bits == one)[k - int(count[block])])
-
     def occurrences(self, token: int) -> np.ndarray:
         """All places of a token, in order."""
-        return np.array([self.select(token, k) for k in range(self.rank(token))], np.int64)
+        return self.select(token, np.arange(self.rank(token)))
 
     def all(self) -> np.ndarray:
         """The whole sequence: the planes undone from the last to the first."""
         cur = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 65536 else np.uint32)
-        for k, level in enumerate(reversed(range(len(self.planes)))):
-            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+        for k, plane in enumerate(reversed(self.planes)):
+            bits = np.unpackbits(plane.packed, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(cur)
-            up[~bits] = cur[: self.zeros[level]]
-            up[bits] = cur[self.zeros[level] :] | cur.dtype.type(1 << k)
+            up[~bits] = cur[: plane.zeros]
+            up[bits] = cur[plane.zeros :] | cur.dtype.type(1 << k)
             cur = up
         return self.alphabet[cur] if len(self.alphabet) else np.zeros(0, "<u4")
 
     def to_bytes(self) -> bytes:
+        """Head, sizes of the parts, and the parts: alphabet, then each plane's counts and bits, all compressed."""
         zstd = pa.Codec("zstd")
-        parts = [zstd.compress(p.tobytes(), asbytes=True) for p in (self.alphabet, *self.planes)]
+        parts = [zstd.compress(self.alphabet.tobytes(), asbytes=True)]
+        for p in self.planes:
+            parts += [zstd.compress(p.ones.astype("<u4").tobytes(), asbytes=True), zstd.compress(p.packed.tobytes(), asbytes=True)]
         head = struct.pack("<5sQII", _MAGIC, self.n, len(self.alphabet), len(self.planes))
         return head + struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
 
@@ -150,13 +179,12 @@ class WaveletMatrix:
         if magic != _MAGIC:
             raise ValueError("not a wavelet shard")
         at = struct.calcsize("<5sQII")
-        sizes = struct.unpack_from(f"<{planes + 1}Q", raw, at)
-        at += 8 * (planes + 1)
-        zstd, out = pa.Codec("zstd"), []
-        for i, size in enumerate(sizes):
-            out.append(np.frombuffer(zstd.decompress(raw[at : at + size], 4 * k if i == 0 else (n + 7) // 8, asbytes=True), "<u4" if i == 0 else np.uint8))
-            at += size
-        return cls(n, out[0], out[1:])
+        sizes = struct.unpack_from(f"<{2 * planes + 1}Q", raw, at)
+        ends = np.cumsum([at + 8 * len(sizes), *sizes]).tolist()
+        parts = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        zstd, counts = pa.Codec("zstd"), 4 * (-(-n // _RANK_BITS) + 1)
+        made = [Plane(n, None, np.frombuffer(zstd.decompress(parts[i], counts, asbytes=True), "<u4").astype(np.int64), parts[i + 1]) for i in range(1, len(parts), 2)]
+        return cls(n, np.frombuffer(zstd.decompress(parts[0], 4 * k, asbytes=True), "<u4"), made)
 
 
 class WordTokens:
@@ -269,7 +297,12 @@ def read_documents(spark: SparkSession, at: str) -> DataFrame:
                 first, sizes = batch.column(0)[k].as_py(), batch.column(2).slice(k, 1).flatten().to_numpy()
                 ids = WaveletMatrix.from_bytes(batch.column(3)[k].as_py()).all().astype("<u4", copy=False)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                cells = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(k, 1).flatten(), pa.array(first + ends[:-1]), pa.array(sizes), cells], ["doc_id", "start", "n_tokens", "ids"])
+                names = batch.column(1).slice(k, 1).flatten()
+                # Arrow counts bytes of one array in 32 bits
+                for i, j in bytetext.blocks(ends * 4, CELL_BYTES):
+                    if (ends[j] - ends[i]) * 4 >= 1 << 31:
+                        raise ValueError(f"document {names[i]} has {sizes[i]} ids, too many for one cell")
+                    cells = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(((ends[i : j + 1] - ends[i]) * 4).astype(np.int32)), pa.py_buffer(ids[ends[i] : ends[j]])])
+                    yield pa.RecordBatch.from_arrays([names.slice(i, j - i), pa.array(first + ends[i:j]), pa.array(sizes[i:j]), cells], ["doc_id", "start", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")

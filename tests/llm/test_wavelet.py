@@ -24,6 +24,7 @@ def test_matrix(n, top):
     for token in {*ids[:20].tolist(), 65000}:
         at = np.flatnonzero(ids == token)
         assert m.rank(token) == len(at) and m.rank(token, n // 2) == np.count_nonzero(ids[: n // 2] == token)
+        assert np.array_equal(m.occurrences(token), at)
         for k in {0, len(at) // 2, len(at) - 1} & set(range(len(at))):
             assert m.select(token, k) == at[k]
     with pytest.raises(IndexError):
