@@ -10,11 +10,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marisma.llm.scratch import keep
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The rules of the query (verdict, host, path).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "params", "hyphens", "labels", "host_rate", "segment_rate", "tail_rate")
-BUCKETS = 4096
+#: Parts of the labelled urls; the rates of a labelled url come from the other parts.
+FOLDS = 5
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -42,12 +45,8 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.aggregate(share, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0))).otherwise(0.0)
 
 
-def _bucket(x: Column) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(BUCKETS))
-
-
 def with_features(pages: DataFrame) -> DataFrame:
-    """Adds the lexical columns and the hashed suffixes, whose statistics are learned."""
+    """Adds the lexical columns and the suffixes whose statistics are learned."""
     url = F.coalesce("url", F.lit(""))
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
@@ -61,9 +60,9 @@ def with_features(pages: DataFrame) -> DataFrame:
             "params": F.size(F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda s: s != "")).cast("double"),
             "hyphens": F.length(F.regexp_replace("host", "[^-]", "")).cast("double"),
             "labels": F.size(F.filter(F.split("host", r"\."), lambda s: s != "")).cast("double"),
-            "host_bucket": _bucket(F.substring_index("host", ".", -2)),
-            "segment_bucket": _bucket(F.concat_ws("/", F.substring_index("host", ".", -1), F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit("")))),
-            "tail_bucket": _bucket(F.regexp_extract("path", r"(\.[A-Za-z0-9]+|/)$", 1)),
+            "host_suffix": F.substring_index("host", ".", -2),
+            "segment_suffix": F.concat_ws("/", F.substring_index("host", ".", -1), F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit(""))),
+            "tail_suffix": F.regexp_extract("path", r"(\.[A-Za-z0-9]+|/)$", 1),
         }
     )
 
@@ -72,10 +71,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     """Verdict for each url: the rule's where one fits, else that of boosted trees trained on the urls that rules fit.
 
     pages has page_id and url. Features: length, depth, digit ratio, entropy, parameter count and the like,
-    and the share of allowed urls among those with the same host suffix, first path segment and path ending.
-    These shares are kept for 4096 hash buckets each, so that what is broadcast has a fixed size; they are sums
-    over all labelled urls, combined before the exchange, smoothed towards the overall share. The trees
-    are trained on all labelled urls.
+    and the share of allowed urls among those with the same host suffix, first path segment and path ending,
+    smoothed towards the overall share, which a suffix without a labelled url has. These shares are sums over all labelled urls,
+    combined before the exchange, one row a suffix; Spark broadcasts them where their files are small and splits hot suffixes
+    where not. A labelled url's shares leave out the fifth of the labelled urls that it is in, so that none tells its own label. The
+    trees are trained on all labelled urls, from a table of features that is written once.
 
     Returns page_id, host, path, rule, verdict, allow_score. Defined cases: a null url has empty host and path,
     no rule, and goes to the trees; a rule list whose hits are all of one verdict (or an empty one, or an empty table)
@@ -93,11 +93,18 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         only = "block" if seen["n"] and not allowed else "allow"
         return answer.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit(only)).alias("verdict"), F.lit(float(only == "allow")).alias("allow_score"))
     prior = allowed / seen["n"]
-    features, training = with_features(rows), with_features(labelled)
+    fold = F.when(F.col("hit").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    features = with_features(rows).withColumn("fold", fold)
+    training = features.where("hit is not null").withColumn("label", (F.col("hit.rule_verdict") == "allow").cast("double"))
     for kind in ("host", "segment", "tail"):
-        rate = training.groupBy(f"{kind}_bucket").agg(((F.sum("label") + 8 * prior) / (F.count(F.lit(1)) + 8)).alias(f"{kind}_rate"))
-        features = features.join(F.broadcast(rate), f"{kind}_bucket", "left").fillna(prior, [f"{kind}_rate"])
+        key = f"{kind}_suffix"
+        parts = training.groupBy(key, "fold").agg(F.sum("label").alias("label"), F.count(F.lit(1)).alias("n"))
+        sums = parts.groupBy(key).agg(F.sum("label").alias("rate_labels"), F.sum("n").alias("rate_all"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("label", "n")))).alias("rate_own"))
+        own = F.try_element_at("rate_own", "fold")
+        rate = (F.coalesce("rate_labels", F.lit(0.0)) - F.coalesce(own["label"], F.lit(0.0)) + 8 * prior) / (F.coalesce("rate_all", F.lit(0)) - F.coalesce(own["n"], F.lit(0)) + 8)
+        features = features.join(keep(sums, "url-rates"), key, "left").withColumn(f"{kind}_rate", rate).drop("rate_labels", "rate_all", "rate_own")
     features = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features)
+    features = keep(features.select("page_id", "host", "path", "hit", "features"), "url-features")
     fit = features.where("hit is not null").select("features", (F.col("hit.rule_verdict") == "allow").cast("double").alias("label"))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.3, seed=7, maxMemoryInMB=64).fit(fit)
     judged = model.transform(features)
