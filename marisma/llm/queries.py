@@ -68,6 +68,18 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL: dict[str, str] = {
+    "op5_jaccard_join": f"""
+with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+keyed as (select doc_id, len(s) as n, list_sort(s) as k, s from sets),
+classes as (select k, min(doc_id) as rep, any_value(n) as n, any_value(s) as s from keyed where n > 0 group by k),
+elements as (select rep, n, unnest(s) as e from classes),
+pairs as (select a.rep as a, b.rep as b, count(*) as c, any_value(a.n) as n, any_value(b.n) as m from elements a join elements b on a.e = b.e and a.rep < b.rep and least(a.n, b.n) * 100 >= 90 * greatest(a.n, b.n) group by 1, 2),
+links as (select a, b from pairs where 100 * c >= 90 * (n + m - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(node, root) as (select rep, rep from classes union select x.b, r.root from reach r join both_ways x on x.a = r.node),
+roots as (select node, min(root) as root from reach group by node)
+select keyed.doc_id, keyed.n::bigint as n_shingles, coalesce(roots.root, keyed.doc_id) as component_id from keyed left join classes using (k) left join roots on roots.node = classes.rep""",
     "op2_line_dedup": f"""
 with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
 lines as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos from split),
