@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCENTED, PLAIN = "áéíóúüñàâäèêëìîïòôöùûçãõ", "aeiouunaaaeeeiiiooouucao"
@@ -76,9 +77,73 @@ def overlap_share(a: Column, b: Column, shortest: int = 5) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(long_a, long_b)), F.size(long_a)), F.lit(0.0))
 
 
-def has_word(x: Column, word: str, letters: str = "a-z0-9áéíóúñ") -> Column:
-    """Whether lower-cased x has word with no letter before or after it."""
-    return F.lower(x).rlike(f"(^|[^{letters}]){word}([^{letters}]|$)")
+LETTERS = "a-z0-9áéíóúñ"
+
+
+def quoted(term: str) -> str:
+    """The term as a pattern that matches itself alone."""
+    return re.sub(r"([^\w\s])", r"\\\1", term)
+
+
+def has_word(x: Column, word: str, letters: str = LETTERS) -> Column:
+    """Whether lower-cased x has word, taken literally, with no letter before or after it."""
+    return F.lower(x).rlike(f"(^|[^{letters}]){quoted(word.lower())}([^{letters}]|$)")
+
+
+def _tree(terms: Sequence[str]) -> str:
+    """A pattern of the terms that shares their beginnings; longer terms are tried first."""
+    rest: dict[str, list[str]] = {}
+    for t in sorted(set(terms)):
+        if t:
+            rest.setdefault(t[0], []).append(t[1:])
+    branches = "|".join(quoted(c) + _tree(tails) for c, tails in rest.items())
+    if not branches:
+        return ""
+    return f"(?:{branches})" + ("?" if "" in terms else "")
+
+
+def found_terms(x: Column, terms: Sequence[str], letters: str | None = LETTERS) -> Column:
+    """The longest of the terms that stands at each place of lower-cased x, in one pass; null where x is.
+
+    With letters, no letter may stand before or after a term; without, terms are found inside words too. All terms of x are these
+    and the ones that `implied` adds.
+    """
+    tree = _tree([t.lower() for t in terms])
+    if not tree:
+        return F.when(x.isNotNull(), F.array().cast("array<string>"))
+    pattern = f"(?<![{letters}])(?=({tree})(?![{letters}]))" if letters else f"(?=({tree}))"
+    return F.regexp_extract_all(F.lower(x), F.lit(pattern), F.lit(1))
+
+
+def implied(terms: Sequence[str], letters: str | None = LETTERS) -> dict[str, list[str]]:
+    """For each term all terms that stand at its place where it does: itself and terms that it begins with."""
+    low = sorted({t.lower() for t in terms})
+    ends = re.compile(f"[{letters}]") if letters else None
+    return {t: [s for s in low if t.startswith(s) and (s == t or ends is None or not ends.match(t[len(s)]))] for t in low}
+
+
+def labels_of(x: Column, named: Mapping[str, Sequence[str]], letters: str | None = LETTERS) -> Column:
+    """The names of which a term stands in x, in the order of `named`."""
+    names, of = list(named), {}
+    for i, name in enumerate(names):
+        for t in named[name]:
+            of.setdefault(t.lower(), []).append(i)
+    table = {t: sorted({i for s in ts for i in of[s]}) for t, ts in implied(list(of), letters).items()}
+    return F.transform(numbers_of(found_terms(x, list(of), letters), table), lambda i: F.element_at(F.array(*[F.lit(n) for n in names]), i + 1))
+
+
+def numbers_of(found: Column, table: Mapping[str, Sequence[int]]) -> Column:
+    """Ordered distinct numbers of found terms."""
+    by_term = F.create_map(*[c for t, numbers in table.items() for c in (F.lit(t), F.array(*[F.lit(i) for i in numbers]))])
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda t: F.element_at(by_term, t)))))
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once for each row, however often they are used later.
+
+    The optimizer copies an expression into every filter above it; it does not where a generator stands between.
+    """
+    return rows.select("*", F.explode_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_once")).select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col("_once")[k].alias(k) for k in columns])
 
 
 def mask(x: Column, phrases: Sequence[str]) -> Column:

@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 VERDICT_ALIASES = {"respaldado": ("respald", "supported"), "insuficiente": ("insufic",), "contradicho": ("contrad",), "engañoso": ("engañ", "engan", "mislead"), "revision_humana": ("humana", "revision", "review"), "sin_verificar": ("unknown", "sin verificar", "sin_verificar")}
 
 
+# Hosts and words that tell where an article comes from, and other names of an origin.
+ORIGINS = ("youtube", "cientifico", "oficial", "social", "prensa")
+ORIGIN_ALIASES = {"redes": "social", "red": "social"}
+SCIENCE, OFFICIAL = ("openalex.org", "pubmed", "doi.org"), ("woah.org", "oie.int", "senasica", "gob.mx", "fao.org", "who.int", "cdc.gov", "usda.gov")
+SOCIAL, SOCIAL_KINDS = ("twitter.com", "x.com", "facebook.com", "linkedin.com", "reddit.com"), ("social", "twitter", "linkedin", "facebook")
+
+
+def origin_id(value: str | None) -> str | None:
+    """The origin that a request means; None, which filters nothing, for a name that is none."""
+    key = (value or "").strip().lower().replace(" ", "_")
+    key = ORIGIN_ALIASES.get(key, key)
+    return key if key in ORIGINS else None
+
+
 def origin(url: Column, kind: Column, title: Column) -> Column:
     """Where an article comes from; the first test that holds decides."""
     u, k, t = (F.lower(F.coalesce(c, F.lit(""))) for c in (url, kind, title))
@@ -23,9 +37,9 @@ def origin(url: Column, kind: Column, title: Column) -> Column:
 
     return (
         F.when(has(u, "youtube", "youtu.be") | has(k, "youtube"), "youtube")
-        .when(has(u, "openalex.org", "pubmed", "doi.org") | has(t, "pubmed", "openalex") | has(k, "cientif", "investig"), "cientifico")
-        .when(has(u, "woah.org", "oie.int", "senasica", "gob.mx", "fao.org", "who.int", "cdc.gov", "usda.gov") | has(t, "senasica", "official portal") | has(k, "oficial"), "oficial")
-        .when(has(u, "twitter.com", "x.com", "facebook.com", "linkedin.com", "reddit.com") | has(k, "social", "twitter", "linkedin", "facebook"), "social")
+        .when(has(u, *SCIENCE) | has(t, "pubmed", "openalex") | has(k, "cientif", "investig"), "cientifico")
+        .when(has(u, *OFFICIAL) | has(t, "senasica", "official portal") | has(k, "oficial"), "oficial")
+        .when(has(u, *SOCIAL) | has(k, *SOCIAL_KINDS), "social")
         .otherwise("prensa")
     )
 
@@ -64,6 +78,10 @@ class ArticleQuery:
 
     source: str | None = None
     lang: str | None = None
+    disease: str | None = None
+    country: str | None = None
+    stance: str | None = None
+    raw_format: str | None = None
     text: str | None = None
     verdict: str | None = None
     origin: str | None = None
@@ -74,6 +92,7 @@ class ArticleQuery:
     until: str | None = None
     page: int = 1
     size: int = 12
+    source_column: str = "source"
 
     @classmethod
     def parse(cls, **given) -> ArticleQuery:
@@ -92,13 +111,24 @@ class ArticleQuery:
         return cls(**{k: v for k, v in clean.items() if k in cls.__dataclass_fields__})
 
     def condition(self) -> Column:
-        """All conditions as one: columns source, lang, title, text, verdict, origin, risk, day."""
+        """All conditions as one: columns source or source_id, lang, title, text, verdict, origin, risk, day, diseases (ids), country, nli, raw_format.
+
+        A disease is named by its id, in any case and with spaces. An origin that is none filters nothing.
+        """
         out = F.lit(True)
-        for column, value in (("source", self.source), ("lang", self.lang), ("origin", self.origin)):
+        for column, value in (("source", self.source), ("lang", self.lang), ("origin", origin_id(self.origin))):
             if value is not None:
                 out = out & (F.col(column) == value)
+        if self.disease is not None:
+            out = out & F.array_contains("diseases", self.disease.lower().replace(" ", "_"))
+        if self.country is not None:
+            out = out & (F.upper("country") == self.country.upper())
+        if self.stance is not None:
+            out = out & stance_matches(F.col("nli"), self.stance)
+        if self.raw_format is not None:
+            out = out & (F.lower("raw_format") == self.raw_format.lower())
         if self.text is not None:
-            out = out & F.contains(F.lower(F.concat_ws(" ", "title", "text", "source")), F.lit(self.text.lower()))
+            out = out & F.contains(F.lower(F.concat_ws(" ", "title", "text", self.source_column)), F.lit(self.text.lower()))
         if self.verdict is not None:
             out = out & verdict_matches(F.col("verdict"), self.verdict)
         if self.risk_null:

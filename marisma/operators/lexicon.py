@@ -16,11 +16,15 @@ Lexicon = Sequence[tuple[str, str, int]]
 def hits(x: Column, lexicon: Lexicon) -> Column:
     """Terms of the lexicon that stand in x as whole words: array of struct(term, category, weight), in the lexicon's order.
 
+    Terms are literal, of one word or several. All are looked for in one pass over x; what it costs hardly depends on their number.
     The lexicon is a literal of the plan: its size is that of an editable list, and no join is needed.
     """
-    low = F.lower(x)
-    every = F.array(*[F.when(text.has_word(low, term), F.struct(F.lit(term).alias("term"), F.lit(category).alias("category"), F.lit(weight).alias("weight"))) for term, category, weight in lexicon])
-    return F.filter(every, lambda h: h.isNotNull())
+    of: dict[str, list[int]] = {}
+    for i, (term, _, _) in enumerate(lexicon):
+        of.setdefault(term.lower(), []).append(i)
+    table = {t: [i for s in ts for i in of[s]] for t, ts in text.implied(list(of)).items()}
+    rows = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(c).alias("category"), F.lit(w).alias("weight")) for t, c, w in lexicon])
+    return F.transform(text.numbers_of(text.found_terms(x, list(of)), table), lambda i: F.element_at(rows, i + 1))
 
 
 def relevance(n: Column, enough: int = 3) -> Column:
@@ -32,19 +36,20 @@ def relevance_bucket(score: Column) -> Column:
 
 
 def sentence_hits(docs: DataFrame, key: str, lexicon: Lexicon, column: str = "text") -> DataFrame:
-    """One row for each sentence with hits: key, sentence, hits."""
-    rows = docs.select(key, F.posexplode(text.sentences(F.col(column))).alias("pos", "sentence"))
-    return rows.withColumn("hits", hits(F.col("sentence"), lexicon)).where(F.size("hits") > 0)
+    """One row for each sentence with hits: key, pos, sentence, hits."""
+    rows = docs.select(key, F.posexplode_outer(text.sentences(F.col(column))).alias("pos", "sentence"))
+    return text.once(rows, hits=hits(F.col("sentence"), lexicon)).where(F.size("hits") > 0)
 
 
 def category_pairs(found: DataFrame, key: str) -> DataFrame:
     """Unordered pairs of categories of a sentence: how many sentences hold both, in how many documents, the force of the pair."""
     from marisma.functions.scoring import pair_force
 
-    own = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["category"])))
-    rows = found.select(key, own.alias("c")).where(F.size("c") > 1)
+    rows = text.once(found.select(key, "hits"), c=F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["category"])))).where(F.size("c") > 1)
     rows = rows.select(key, "c", F.explode("c").alias("a")).select(key, "a", F.explode("c").alias("b")).where("a < b")
-    out = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("docs"))
+    # counted within documents first: one row of each document and pair goes on
+    rows = rows.groupBy("a", "b", key).agg(F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
     return out.withColumn("force", pair_force(F.col("n"), F.lit(True)))
 
 

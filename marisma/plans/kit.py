@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marisma.functions import text
 from marisma.sources.tables import table
 
-LETTERS = "a-z0-9áéíóúñ"
-LEXICON = [("the", "en", 2), ("and", "en", 3), ("that", "en", 1), ("les", "fr", 2), ("des", "fr", 3), ("que", "romance", 1), ("der", "de", 2), ("die", "de", 3), ("und", "de", 1), ("los", "es", 2), ("del", "es", 3), ("con", "es", 1)]
+LETTERS = text.LETTERS
+# Frequent words of four languages, and what animal health is written about.
+_WORDS = {
+    ("en", 2): "the and that for with this from are was not have which their been will would there what when your",
+    ("fr", 2): "les des que dans pour une sur pas par est avec plus sont mais nous vous cette ces aux elle",
+    ("de", 3): "der die und das den nicht von mit sich auf für eine auch als dem nach werden über noch oder",
+    ("es", 1): "los del las con por para una como más pero sus este cuando muy sin sobre también entre hasta donde",
+    ("enfermedad", 3): "brucelosis rabia influenza gripe ántrax triquinosis leptospirosis tuberculosis miasis newcastle aftosa fiebre",
+    ("animal", 2): "aves ganado bovino porcino ovino equino gallinas cerdos vacas caballos cabras perros",
+    ("lugar", 1): "méxico chiapas oaxaca texas yucatán durango sonora jalisco veracruz puebla españa francia",
+    ("novedad", 1): "primer primera nuevo nueva inédito siglo first outbreak",
+}
+_PHRASES = {
+    ("en", 3): "of the;in the;to the;and the;on the;for the", ("fr", 3): "de la;dans les;pour les;et les;sur les", ("de", 2): "in der;auf der;mit der;an der;aus der", ("es", 2): "de los;en los;por los;con los;a los",
+    ("enfermedad", 5): "gripe aviar;peste porcina;gusano barrenador;fiebre aftosa;influenza aviar;avian influenza", ("lugar", 2): "nuevo méxico;estados unidos;new mexico;united states", ("novedad", 2): "primer caso;este siglo",
+}
+LEXICON = [(w, c, n) for (c, n), words in _WORDS.items() for w in words.split()] + [(t, c, n) for (c, n), terms in _PHRASES.items() for t in terms.split(";")]
 STOP = ("the", "and", "for", "that", "with", "from", "this", "are", "was", "los", "las", "del", "por", "con", "para", "que")
 
 
@@ -15,8 +31,8 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def word_sql(x: str, term: str) -> str:
-    return f"regexp_matches({x}, '(^|[^{LETTERS}]){term}([^{LETTERS}]|$)')"
+def word_sql(x: str, term: str, letters: str = LETTERS) -> str:
+    return f"regexp_matches({x}, '(^|[^{letters}]){text.quoted(term)}([^{letters}]|$)')"
 
 
 def lexicon_sql() -> str:
@@ -26,7 +42,9 @@ def lexicon_sql() -> str:
 
 def hits_sql(source: str, key: str, column: str) -> str:
     """key, pos, term, category, weight: one row for each term that stands in a text."""
-    return " union all ".join(f"select {key}, {i} as pos, '{t}' as term, '{c}' as category, {w} as weight from {source} where {word_sql(f'lower({column})', t)}" for i, (t, c, w) in enumerate(LEXICON))
+    tests = ", ".join(f"case when {word_sql('l', t)} then {i} end" for i, (t, _, _) in enumerate(LEXICON))
+    found = f"select {key}, unnest(list_filter([{tests}], lambda i: i is not null)) as pos from (select {key}, lower({column}) as l from {source})"
+    return f"select f.{key}, pos, lex.term, lex.category, lex.weight from ({found}) f join {lexicon_sql()} using (pos)"
 
 
 #: Sentences of documents: doc_id, pos, s. DuckDB's patterns can't look behind, so a mark is put after the stop first.

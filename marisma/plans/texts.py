@@ -42,8 +42,7 @@ def split_assign(spark, d):
 @query(f"select min(doc_id) as doc_id, h as text_sha256, count(*)::bigint as copies from (select doc_id, sha256({collapse_sql('lower(text)')}) as h from documents) group by h")
 def dedup_text_first(spark, d):
     rows = docs(spark, d).select("doc_id", hashing.sha(text.normalise(F.col("text"))).alias("text_sha256"))
-    n = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("copies"))
-    return dedup.first_seen(rows, "text_sha256", "doc_id").join(n, "text_sha256")
+    return rows.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "text_sha256", "copies")
 
 
 @query(f"""with recursive s as (select doc_id, substr(sha256({collapse_sql('lower(text)')}), 1, 16) as t, n_chars % 97 || ':' || lang || ':' || source as u from documents),
@@ -60,7 +59,7 @@ def dedup_cascade(spark, d):
 
 @query(f"select doc_id, count(*)::bigint as n, max(length(s))::bigint as longest from ({SENTENCES}) group by doc_id")
 def sentence_split_count(spark, d):
-    s = docs(spark, d).select("doc_id", F.explode(text.sentences(F.col("text"))).alias("s"))
+    s = docs(spark, d).select("doc_id", F.explode_outer(text.sentences(F.col("text"))).alias("s")).where("s is not null")
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
@@ -104,7 +103,7 @@ _HITS = hits_sql("documents", "doc_id", "text")
 
 @query(f"select term, category, count(*)::bigint as docs from ({_HITS}) group by term, category")
 def lexicon_hits(spark, d):
-    h = docs(spark, d).select("doc_id", F.explode(lexicon.hits(F.col("text"), LEXICON)).alias("h"))
+    h = docs(spark, d).select("doc_id", F.explode_outer(lexicon.hits(F.col("text"), LEXICON)).alias("h")).where("h is not null")
     return h.groupBy(F.col("h.term").alias("term"), F.col("h.category").alias("category")).agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -128,18 +127,7 @@ def disease_multilabel(spark, d):
     return docs(spark, d).select(F.explode_outer(own).alias("label")).groupBy(F.coalesce("label", F.lit("otras")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_GAZETTEER = [("tion", "SUFFIX", "nominal"), ("ment", "SUFFIX", "nominal"), ("heit", "SUFFIX", "nominal"), ("the", "WORD", "article"), ("der", "WORD", "article"), ("les", "WORD", "article")]
-
-
-@query("select doc_id, kind, canonical, min(pos)::bigint as rank from (" + " union all ".join(f"select doc_id, '{k}' as kind, '{c}' as canonical, {i} as pos from documents where {word_sql('lower(text)', t)}" for i, (t, k, c) in enumerate(sorted(_GAZETTEER, key=lambda g: (-len(g[0]), g[0])))) + ") group by doc_id, kind, canonical")
-def entity_gazetteer(spark, d):
-    longest = sorted(_GAZETTEER, key=lambda g: (-len(g[0]), g[0]))
-    found = F.filter(F.array(*[F.when(text.has_word(F.col("text"), t), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("canonical"), F.lit(i).alias("pos"))) for i, (t, k, c) in enumerate(longest)]), lambda e: e.isNotNull())
-    rows = docs(spark, d).select("doc_id", F.explode(found).alias("e"))
-    return rows.groupBy("doc_id", F.col("e.kind").alias("kind"), F.col("e.canonical").alias("canonical")).agg(F.min("e.pos").cast("long").alias("rank"))
-
-
-_SENTENCE_HITS = f"select doc_id, spos, h.* exclude (skey) from (select doc_id, pos as spos, s, doc_id || ':' || pos as skey from ({SENTENCES})) q join ({hits_sql('(select doc_id || chr(58) || pos as skey, s from (' + SENTENCES + '))', 'skey', 's')}) h using (skey)"
+_SENTENCE_HITS = f"select h.* exclude (skey), skey.doc_id as doc_id, skey.pos as spos from ({hits_sql('(select {doc_id: doc_id, pos: pos} as skey, s from (' + SENTENCES + '))', 'skey', 's')}) h"
 
 
 @query(f"select term, count(*)::bigint as n from ({_SENTENCE_HITS}) group by term order by n desc, term limit 8")
@@ -161,19 +149,14 @@ def pair_cooccurrence_force(spark, d):
 select category, n, before, case when before = 0 then case when n > 0 then 100.0 else 0.0 end else round((n - before) * 100.0::double / before, 1) end as growth from c""")
 def keyword_cluster_growth(spark, d):
     own = F.array_distinct(F.transform(lexicon.hits(F.col("text"), LEXICON), lambda h: h["category"]))
-    rows = docs(spark, d).select("doc_id", F.explode(own).alias("category"))
+    rows = docs(spark, d).select("doc_id", F.explode_outer(own).alias("category")).where("category is not null")
     n = rows.groupBy("category").agg(F.count_if(F.col("doc_id") % 2 == 1).alias("n"), F.count_if(F.col("doc_id") % 2 == 0).alias("before"))
     growth = F.when(F.col("before") == 0, F.when(F.col("n") > 0, 100.0).otherwise(0.0)).otherwise(F.round((F.col("n") - F.col("before")) * 100.0 / F.col("before"), 1))
     return n.withColumn("growth", growth)
 
 
-@query(f"""select doc_id, {collapse_sql('lower(text)')} = lower(text) as is_flat, translate(lower(substr(text, 1, 40)), '{text.ACCENTED}', '{text.PLAIN}') as folded from documents""")
-def normalise_fold(spark, d):
-    return docs(spark, d).select("doc_id", (text.normalise(F.col("text")) == F.lower("text")).alias("is_flat"), text.fold_accents(F.substring("text", 1, 40)).alias("folded"))
-
-
 @query(f"""select doc_id, {collapse_sql('lower(text)')} = lower(text) as is_flat, translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}') as folded from documents""")
-def normalise_fold_whole(spark, d):
+def normalise_fold(spark, d):
     return docs(spark, d).select("doc_id", (text.normalise(F.col("text")) == F.lower("text")).alias("is_flat"), text.fold_accents(F.col("text")).alias("folded"))
 
 
@@ -246,14 +229,18 @@ def numeric_extract_max(spark, d):
     return docs(spark, d).select("doc_id", n.alias("n")).where(F.size("n") > 0).select("doc_id", F.array_max("n").alias("most"))
 
 
-@query(f"""with s as ({SENTENCES}), f as (select doc_id, pos, s, coalesce(lead(s) over (partition by doc_id order by pos), '') as n from s where length(s) >= 40),
-h as (select doc_id, pos, trim(s || ' ' || n) as w, {' + '.join(f"{w} * {word_sql('lower(s || chr(32) || n)', t)}::int" for t, _, w in LEXICON)} as score from f)
-select doc_id, pos::bigint as pos, score::bigint as score from (select *, row_number() over (partition by doc_id order by score desc, pos) as r from h) where r = 1 and score > 0""")
+@query(f"""with s as (select doc_id, pos, row_number() over (partition by doc_id order by pos) as i from ({SENTENCES}) where length(s) >= 40),
+w as (select s.doc_id, s.i, s.pos, h.pos as term, h.weight from s join ({_SENTENCE_HITS}) h on h.doc_id = s.doc_id and h.spos = s.pos),
+both_ways as (select doc_id, i, term, weight from w union select doc_id, i - 1, term, weight from w where i > 1),
+h as (select doc_id, i, sum(weight) as score from both_ways group by all)
+select doc_id, pos::bigint as pos, score::bigint as score from (select h.*, s.pos, row_number() over (partition by doc_id order by score desc, i) as r from h join s using (doc_id, i)) where r = 1""")
 def best_paragraph(spark, d):
-    s = docs(spark, d).select("doc_id", text.sentences(F.col("text")).alias("all"))
+    s = text.once(docs(spark, d).select("doc_id", "text"), all=text.sentences(F.col("text"))).select("doc_id", "all")
     kept = F.filter(F.transform("all", lambda x, i: F.struct(i.alias("pos"), x.alias("s"))), lambda x: F.length(x["s"]) >= 40)
-    rows = s.select("doc_id", kept.alias("k")).select("doc_id", F.explode(F.transform("k", lambda x, i: F.struct(x["pos"].alias("pos"), F.trim(F.concat_ws(" ", x["s"], F.coalesce(F.try_element_at("k", i + 2)["s"], F.lit("")))).alias("w")))).alias("x"))
-    score = F.aggregate(lexicon.hits(F.col("x.w"), LEXICON), F.lit(0).cast("long"), lambda a, h: a + h["weight"])
+    scored = F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), lexicon.hits(x["s"], LEXICON).alias("h")))
+    rows = text.once(s, k=scored).select("doc_id", "k", F.posexplode("k").alias("i", "x"))
+    pair = F.array_union("x.h", F.coalesce(F.try_element_at("k", F.col("i") + 2)["h"], F.array_compact(F.array(F.lit(None).cast("struct<term:string,category:string,weight:int>")))))
+    score = F.aggregate(pair, F.lit(0).cast("long"), lambda a, h: a + h["weight"])
     best = rows.select("doc_id", F.struct((-score).alias("m"), F.col("x.pos").cast("long").alias("pos")).alias("b")).groupBy("doc_id").agg(F.min("b").alias("b"))
     return best.where("b.m < 0").select("doc_id", F.col("b.pos").alias("pos"), (-F.col("b.m")).alias("score"))
 
@@ -277,7 +264,7 @@ select doc_id, len(list_intersect(x, y))::bigint as shared, len(list_filter(y, l
 def fact_compare(spark, d):
     own = lambda c: F.array_distinct(F.transform(lexicon.hits(F.col(c), LEXICON), lambda h: h["category"]))
     a = docs(spark, d).select("doc_id", own("text").alias("x"))
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), own("text").alias("y")).where(F.size("y") > 0)
+    b = text.once(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), y=own("text")).where(F.size("y") > 0).select("doc_id", "y")
     shared, missing = F.size(F.array_intersect("x", "y")), F.size(F.array_except("y", "x"))
     status = F.when(shared == 0, "none").when(missing == 0, "hit").otherwise("partial")
     return a.join(b, "doc_id").select("doc_id", shared.cast("long").alias("shared"), missing.cast("long").alias("missing"), F.size(F.array_except("x", "y")).cast("long").alias("extra"), status.alias("status"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marisma.plans import analysis, events, relations, storage, texts, verify, web
+from marisma.plans import analysis, articles, events, relations, storage, texts, verify, web
 
-_ALL = (texts, events, verify, relations, web, storage, analysis)
+_ALL = (texts, events, verify, relations, web, storage, analysis, articles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
