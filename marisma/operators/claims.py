@@ -41,6 +41,7 @@ def matched(claims: DataFrame, corpus: DataFrame, key: str, tag: str, title: str
     """Corpus rows with a claim's tag, one for each title, at most so many official and other ones: equality on the tag, then a capped turn."""
     from marisma.operators.facets import top_per_group
 
-    rows = claims.select(key, tag).join(corpus.select(tag, title, official), tag).groupBy(key, official, title).agg(F.count(F.lit(1)).alias("copies"))
-    top = top_per_group(rows, [key, official], [F.col(title)], max(most_official, most_peers))
-    return top.where(F.col("turn") <= F.when(F.col(official), most_official).otherwise(most_peers)).select(key, official, title, "turn")
+    # every claim of a tag gets the same titles: they are cut before the join
+    few = top_per_group(corpus.select(tag, title, official).distinct(), [tag, official], [F.col(title)], max(most_official, most_peers))
+    few = few.where(F.col("turn") <= F.when(F.col(official), most_official).otherwise(most_peers))
+    return claims.select(key, tag).join(few, tag).select(key, official, title, "turn")

@@ -9,25 +9,23 @@ from marisma.session import shared_checkpoints
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Of rows with one key the first by order stays; null keys all stay. An aggregate of ids, combined before the exchange, not a window over whole rows."""
-    first = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
-    kept = rows.join(first, (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_first")), "left_semi")
-    return kept.unionByName(rows.where(F.col(key).isNull()))
+    """Of rows with one key the first by order stays, of equal ones the first by all columns; null keys all stay. One aggregate, combined before the exchange."""
+    rest = [c for c in rows.columns if c != order]
+    first = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("first_key")).agg(F.min(F.struct(order, *rest)).alias("r"))
+    return first.select("r.*").select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
 
 
-def cascade(rows: DataFrame, keys: list[str], order: str, rounds: int = 100) -> DataFrame:
+def cascade(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows in order, each kept unless one of its keys is that of an earlier kept row; a rejected row takes no key.
 
     Undecided rows are decided round by round: a row stays that is the first undecided one of each of its keys, and rows that share a
     key with it go. Each round decides the first row of every group of conflicts. Rounds are cut by checkpoints in the
-    shared folder; a null key is none.
+    shared folder; a null key is none. There are as many rounds as the longest chain of rows each of which only loses to the one before it.
     """
     shared_checkpoints(rows.sparkSession)
     undecided = rows.select(F.col(order).alias("o"), *keys).checkpoint()
     kept = undecided.select("o").limit(0)
-    for _ in range(rounds):
-        if undecided.isEmpty():
-            return rows.join(kept, rows[order] == kept["o"], "left_semi")
+    while not undecided.isEmpty():
         sure, taken = undecided, []
         for k in keys:
             first = undecided.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.min("o").alias("_first"))
@@ -38,4 +36,4 @@ def cascade(rows: DataFrame, keys: list[str], order: str, rounds: int = 100) ->
         for k in keys:
             undecided = undecided.join(sure.where(F.col(k).isNotNull()).select(F.col(k).alias("_k")), F.col(k) == F.col("_k"), "left_anti")
         undecided = undecided.checkpoint()
-    raise RuntimeError(f"undecided rows after {rounds} rounds")
+    return rows.join(kept, rows[order] == kept["o"], "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def zero_filled(rows: DataFrame, key: str, wanted: DataFrame, order: str = "pos") -> DataFrame:
     """Counts of the wanted keys, zero where there are no rows, in their order."""
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(wanted).join(n, key, "left").select(order, key, F.coalesce("n", F.lit(0)).alias("n"))
+    return wanted.join(n, key, "left").select(order, key, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def dense_daily(rows: DataFrame, day: str, measures: dict[str, Column] | None = None) -> DataFrame:
@@ -31,12 +31,12 @@ def buckets(score: Column) -> Column:
     return F.when(score.isNull(), "sin_riesgo").when(score <= 20, "0-20").when(score <= 40, "21-40").when(score <= 60, "41-60").when(score <= 80, "61-80").otherwise("81-100")
 
 
-def quality(rows: DataFrame, short: int = 500) -> DataFrame:
+def quality(rows: DataFrame, main_source: str, short: int = 500) -> DataFrame:
     """How complete articles are: counts and rounded percents, in one pass."""
     n = F.count(F.lit(1))
     percent = lambda c: F.when(n == 0, 0).otherwise(F.bround(c * 100.0 / n, 0)).cast("bigint")
     bare = F.count_if((F.length("text") < short) | F.col("text").isNull())
-    main = F.count_if(F.col("source") == "src0")
+    main = F.count_if(F.col("source") == main_source)
     return rows.agg(n.alias("total"), bare.alias("no_body"), main.alias("main"), percent(bare).alias("no_body_percent"), percent(main).alias("main_percent"))
 
 

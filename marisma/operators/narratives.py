@@ -37,9 +37,17 @@ def lifecycle(daily: DataFrame, group: str, day: str, n: str) -> DataFrame:
     return out.select(group, stage.alias("stage"), F.col(f"top.{day}").alias("peak_day"))
 
 
-def chunks(rows: DataFrame, group: str, order: list, most: int = 5) -> DataFrame:
-    """Adds chunk: up to `most` stretches of equal size in order; what is left over goes to the last."""
+def chunks(rows: DataFrame, group: str, at: str, key: str, most: int = 5) -> DataFrame:
+    """Adds chunk: up to `most` stretches of equal size in order of time and key; what is left over goes to the last.
+
+    Hours of a group are counted first, so that rows are numbered inside their hour alone and a group of a third of all rows is no one task's.
+    """
+    hour = F.date_trunc("hour", at)
+    n = rows.groupBy(group, hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(group)
-    n, parts = F.count(F.lit(1)).over(w), F.least(F.lit(most), F.count(F.lit(1)).over(w))
-    i = F.row_number().over(w.orderBy(*order)) - 1
-    return rows.withColumn("chunk", F.least(F.floor(i / F.floor(n / parts)), parts - 1).cast("bigint") + 1)
+    start = n.select(group, "hour", (F.sum("n").over(w.orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("start"), F.sum("n").over(w).alias("total"))
+    placed = rows.withColumn("hour", hour).withColumn("i", F.row_number().over(Window.partitionBy(group, "hour").orderBy(at, key)))
+    placed = placed.join(start, [group, "hour"])
+    parts = F.least(F.lit(most), F.col("total"))
+    turn = F.least(F.floor((F.col("start") + F.col("i") - 1) / F.floor(F.col("total") / parts)), parts - 1).cast("bigint") + 1
+    return placed.withColumn("chunk", turn).drop("hour", "i", "start", "total")

@@ -111,13 +111,8 @@ def dossier(spark, d):
 @query("select a.vec_id as query, b.vec_id as match, floor(1000 * list_cosine_similarity(a.embedding::double[], b.embedding::double[]))::bigint as milli from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0 and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.92")
 def semantic_dup_092(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    out, blocks = None, max(1, -(-e.where("vec_id % 20 = 0").count() // 20000))
-    for b in range(blocks):
-        q = F.broadcast(e.where((F.col("vec_id") % 20 == 0) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")))
-        c = relations.cosine(F.col("v"), F.col("embedding"))
-        near = e.join(q, (F.col("vec_id") != F.col("query")) & (c >= 0.92)).select("query", F.col("vec_id").alias("match"), F.floor(c * 1000).cast("long").alias("milli"))
-        out = near if out is None else out.unionByName(near)
-    return out
+    near = relations.cosine_pairs(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", least=0.92)
+    return near.select("query", "match", F.floor(F.col("cosine") * 1000).cast("long").alias("milli"))
 
 
 @query("""select c_custkey, coalesce(n_name, 'XX') as stored, case when coalesce(n_name, 'XX') = 'FRANCE' or substr(coalesce(n_name, 'XX'), 1, 2) = 'FR' or c_mktsegment = 'FRANCE' then true else false end as matches from customer left join nation on n_nationkey = c_nationkey""")

@@ -75,7 +75,7 @@ def score_histogram_null_bucket(spark, d):
 @query("""select count(*)::bigint as total, (count(*) filter (where length(text) < 500 or text is null))::bigint as no_body, (count(*) filter (where source = 'src0'))::bigint as main,
  round_even((count(*) filter (where length(text) < 500 or text is null)) * 100.0::double / count(*), 0)::bigint as no_body_percent, round_even((count(*) filter (where source = 'src0')) * 100.0::double / count(*), 0)::bigint as main_percent from documents""")
 def capture_quality(spark, d):
-    return facets.quality(docs(spark, d))
+    return facets.quality(docs(spark, d), "src0")
 
 
 @query("select source, count(*)::bigint as n, max(n_chars) as longest from documents group by source")
@@ -144,7 +144,7 @@ def lifecycle_stage(spark, d):
 @query("""with r as (select event_type, ts, row_number() over (partition by event_type order by ts, event_id) - 1 as i, count(*) over (partition by event_type) as n from events)
 select event_type, least(i // (n // least(n, 5)), least(n, 5) - 1)::bigint + 1 as chunk, count(*)::bigint as n, min(ts) as since, max(ts) as until from r group by 1, 2""")
 def semantic_chunks(spark, d):
-    rows = narratives.chunks(table(spark, d, "events").select("event_type", "event_id", "ts"), "event_type", ["ts", "event_id"])
+    rows = narratives.chunks(table(spark, d, "events").select("event_type", "event_id", "ts"), "event_type", "ts", "event_id")
     return rows.groupBy("event_type", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("since"), F.max("ts").alias("until"))
 
 
@@ -234,5 +234,5 @@ def stream_tumbling(spark, d):
 
     src = table(spark, d, "events")
     rows = batches.tumbling_counts(spark.readStream.schema(src.schema).parquet(f"{d}/events.parque[t]"), "ts", "1 hour", "40 days", "event_type")
-    out = batches.run_to_table(rows, f"tumbling_{abs(hash(d)) % 10**8}")
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("since"), "event_type", "n")
+    out = batches.run_to_files(rows.select("window.start", "window.end", "event_type", "n"), ["start", "end", "event_type"], "tumbling")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("since"), "event_type", "n")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marisma.functions import hashing
-from marisma.operators import facets, graph, relations
+from marisma.operators import facets, graph, relations, stories
 from marisma.plans.kit import docs
 from marisma.sources.tables import table
 
@@ -77,40 +78,32 @@ def hamming_bits(spark, d):
     return j.select("doc_id", hashing.hamming_bits(F.col("a"), F.col("b")).cast("long").alias("bits"), F.round(hashing.similarity_percent(F.col("a"), F.col("b")), 6).alias("percent"))
 
 
-@query(f"select a.doc_id as query, b.doc_id as match, 100.0::double * (1.0::double - ({_HAMMING}) / 256.0::double) as similarity from {_HASHED} a join {_HASHED} b on a.doc_id <> b.doc_id where a.doc_id % 20 = 0 and ({_HAMMING}) <= 25")
+_NEAR = "(select doc_id, substr(sha256(text), 1, 8) || substr(sha256((doc_id % 50)::varchar), 9) as h from documents)"
+
+
+@query(f"select a.doc_id as query, b.doc_id as match, 100.0::double * (1.0::double - ({_HAMMING}) / 256.0::double) as similarity from {_NEAR} a join {_NEAR} b on a.doc_id <> b.doc_id where a.doc_id % 20 = 0 and ({_HAMMING}) <= 12")
 def near_dup_hash_join(spark, d):
-    rows = docs(spark, d).select("doc_id", hashing.sha(F.col("text")).alias("h"))
-    return relations.near_hashes(rows.where("doc_id % 20 = 0"), rows, "doc_id", "h", 100 - 100 * 25 / 256)
+    """Hashes of fifty families whose first 32 bits differ at random."""
+    rows = docs(spark, d).select("doc_id", F.concat(F.substring(hashing.sha(F.col("text")), 1, 8), F.substring(hashing.sha((F.col("doc_id") % 50).cast("string")), 9, 56)).alias("h"))
+    return relations.near_hashes(rows.where("doc_id % 20 = 0"), rows, "doc_id", "h", 100 - 100 * 12 / 256)
 
 
-_COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
+_COS = "round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9)"
 
 
 @query(f"select query, match, floor(1000 * c)::bigint as milli, place::int as place from (select *, row_number() over (partition by query order by c desc, match) as place from (select a.vec_id as query, b.vec_id as match, {_COS} as c from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)) where place <= 10")
 def embedding_cosine_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    # a stated query set against all rows, in blocks: each block of queries is broadcast, and each task keeps its best ten
-    out = None
-    blocks = max(1, -(-e.where("vec_id % 20 = 0").count() // 20000))
-    for b in range(blocks):
-        q = F.broadcast(e.where((F.col("vec_id") % 20 == 0) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")))
-        near = e.join(q, F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("match"), relations.cosine(F.col("v"), F.col("embedding")).alias("c"))
-        out = near if out is None else out.unionByName(near)
-    top = facets.top_per_group(out, ["query"], [F.desc("c"), F.col("match")], 10)
-    return top.select("query", "match", F.floor(F.col("c") * 1000).cast("long").alias("milli"), F.col("turn").alias("place"))
+    top = relations.cosine_pairs(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", most=10)
+    return top.select("query", "match", F.floor(F.col("cosine") * 1000).cast("long").alias("milli"), F.col("turn").alias("place"))
 
 
-@query("""with s as (select a.doc_id as query, b.doc_id as match, 4 * (a.lang = b.lang)::int + 8 * (substr(sha256(a.text), 1, 2) = substr(sha256(b.text), 1, 2))::int + (a.source = b.source)::int as score from documents a join documents b on a.doc_id <> b.doc_id and (a.source = b.source or substr(sha256(a.text), 1, 2) = substr(sha256(b.text), 1, 2)) where a.doc_id % 20 = 0)
-select query, match, score, place::int as place from (select *, row_number() over (partition by query order by score desc, match) as place from s) where place <= 5""")
+@query("""with s as (select a.doc_id as query, b.doc_id as match, 4 * (a.lang = b.lang)::int + 8 * (substr(sha256(a.text), 1, 2) = substr(sha256(b.text), 1, 2))::int + (a.source = b.source)::int as score from documents a join documents b on a.doc_id <> b.doc_id where a.doc_id % 20 = 0)
+select query, match, score, place::int as place from (select *, row_number() over (partition by query order by score desc, match) as place from s where score > 0) where place <= 5""")
 def similar_items_scored(spark, d):
-    rows = docs(spark, d).select("doc_id", "lang", "source", F.substring(hashing.sha(F.col("text")), 1, 2).alias("h"))
-    q = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), F.col("lang").alias("l"), F.col("source").alias("s"), F.col("h").alias("g"))
-    # one equality join for each kind of likeness; pairs that two of them find count once
-    found = [q.join(rows, (F.col(x) == F.col(y)) & (F.col("query") != F.col("doc_id"))) for x, y in (("s", "source"), ("g", "h"))]
-    both = found[0].unionByName(found[1]).distinct()
-    score = F.when(F.col("l") == F.col("lang"), 4).otherwise(0) + F.when(F.col("g") == F.col("h"), 8).otherwise(0) + F.when(F.col("s") == F.col("source"), 1).otherwise(0)
-    top = facets.top_per_group(both.select("query", F.col("doc_id").alias("match"), score.alias("score")), ["query"], [F.desc("score"), F.col("match")], 5)
-    return top.select("query", "match", "score", F.col("turn").alias("place"))
+    rows = docs(spark, d).select("doc_id", F.array("lang").alias("tags"), "source", F.substring(hashing.sha(F.col("text")), 1, 2).alias("h"))
+    top = stories.similar(rows.where("doc_id % 20 = 0"), rows, "doc_id", "tags", "h", "source", 5)
+    return top.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "match")))
 
 
 @query("""with t as (select doc_id, min(tier) as tier from (select doc_id, 0 as tier from documents where source = 'src3' and lang = 'fr' union all select doc_id, 1 from documents where source = 'src3' union all select doc_id, 2 from documents) group by doc_id) select doc_id, tier, doc_id as seq from t order by tier, doc_id limit 30""")

@@ -22,11 +22,16 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""select c_custkey, c_name, c_acctbal from customer where c_custkey % 3 <> 0 union all select c_custkey, c_name || '!' , c_acctbal + 1 from customer where c_custkey % 3 = 0""")
+_OLD = "(select c_custkey, case when c_custkey % 11 <> 0 then c_name end as c_name, c_acctbal from customer where c_custkey % 3 <> 0)"
+_NEW = "(select case when c_custkey % 13 <> 0 then c_custkey // 2 end as c_custkey, c_name || '!' as c_name, c_nationkey::double as c_acctbal from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0)"
+
+
+@query(f"""select * from {_OLD} union all select c_custkey, c_name, c_acctbal from (select *, row_number() over (partition by c_custkey order by c_acctbal, c_name) as turn from {_NEW}) where c_custkey is null or turn = 1 and c_custkey not in (select c_custkey from {_OLD})""")
 def insert_ignore(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    new = c.where("c_custkey % 2 = 0 or c_custkey % 3 = 0").select("c_custkey", F.concat("c_name", F.lit("!")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return tables.insert_ignore(c.where("c_custkey % 3 <> 0"), new, ["c_custkey"], "c_acctbal")
+    """Two new rows come for a key, with ties in their order, and some without a key."""
+    c = table(spark, d, "customer")
+    new = c.where("c_custkey % 2 = 0 or c_custkey % 3 = 0").select(F.expr("case when c_custkey % 13 <> 0 then c_custkey div 2 end").alias("c_custkey"), F.concat("c_name", F.lit("!")).alias("c_name"), F.col("c_nationkey").cast("double").alias("c_acctbal"))
+    return tables.insert_ignore(c.where("c_custkey % 3 <> 0").select("c_custkey", F.expr("case when c_custkey % 11 <> 0 then c_name end").alias("c_name"), "c_acctbal"), new, ["c_custkey"], "c_acctbal")
 
 
 @query("""select c_custkey, case when c_custkey % 2 = 0 then c_name || '!' else c_name end as c_name, c_acctbal, case when c_custkey % 3 = 0 then null else c_mktsegment end as c_mktsegment from customer where c_custkey % 2 = 0 or c_custkey % 3 <> 0""")

@@ -7,12 +7,57 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marisma.operators import dedup
+
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Old rows, and of the new ones the first with each key that the old ones lack."""
-    first = new.groupBy(*keys).agg(F.min(order).alias("_first"))
-    fresh = new.join(first, [*keys]).where(F.col(order) == F.col("_first")).drop("_first").join(old.select(*keys), [*keys], "left_anti")
-    return old.unionByName(fresh.select(*old.columns))
+    """Old rows, and of the new ones the first by order (then by all columns) with each key that the old ones lack.
+
+    A row with a null in its key has none: all of these are inserted.
+    """
+    rest = [c for c in new.columns if c != order]
+    first = new.dropna(subset=list(keys)).groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]).agg(F.min(F.struct(order, *rest)).alias("r"))
+    fresh = first.select("r.*").select(*new.columns).join(old.select(*keys), [*keys], "left_anti")
+    bare = new.where(" or ".join(f"`{k}` is null" for k in keys))
+    return old.unionByName(fresh.select(*old.columns)).unionByName(bare.select(*old.columns))
+
+
+def insert_unique(old: DataFrame, new: DataFrame, unique: Sequence[Sequence[str]], order: str) -> DataFrame:
+    """Old rows, and of the new ones in order (which is distinct) each that no old or inserted row equals in any of several keys."""
+    names, fresh = [], new
+    for i, keys in enumerate(unique):
+        fresh = fresh.join(old.select(*keys).dropna(), [*keys], "left_anti")
+        names.append(f"unique_{i}")
+    whole = lambda keys: F.when(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull(), F.to_json(F.struct(*keys)))
+    fresh = fresh.select(*new.columns, *[whole(keys).alias(n) for n, keys in zip(names, unique, strict=True)])
+    return old.unionByName(dedup.cascade(fresh, names, order).select(*old.columns))
+
+
+def replace_members(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
+    """Membership after a write: every owner that comes with new members loses all its old ones; equal rows are one."""
+    return old.join(new.select(owner).distinct(), owner, "left_anti").select(*old.columns).unionByName(new.select(*old.columns)).distinct()
+
+
+def put_translations(cache: DataFrame, new: DataFrame, most: int = 8000) -> DataFrame:
+    """A cache keyed by the hash of the whole source text, which itself is kept to `most` characters; the last row of a text replaces the others."""
+    from marisma.functions import hashing
+
+    rows = new.select(hashing.sha(F.col("source_text")).alias("text_hash"), F.substring("source_text", 1, most).alias("source_text"), "translated", "provider", "created_at")
+    return replace_last(cache.unionByName(rows), ["text_hash"], "created_at")
+
+
+def replace_entities(old: DataFrame, new: DataFrame, owner: str, kinds: Sequence[str]) -> DataFrame:
+    """Entities (owner, kind, value) after a write: those of some kinds are replaced for the owners that come, others stay; values that differ by case alone are one, the old one first."""
+    stay = old.join(new.select(owner).distinct(), owner, "left_anti").select(*old.columns).unionByName(old.where(~F.col("kind").isin(*kinds)).join(new.select(owner).distinct(), owner, "left_semi").select(*old.columns))
+    both = stay.withColumn("turn", F.lit(0)).unionByName(new.select(*old.columns).withColumn("turn", F.lit(1)))
+    first = both.groupBy(owner, "kind", F.lower(F.trim("value")).alias("low")).agg(F.min(F.struct("turn", "value")).alias("v"))
+    return first.select(owner, "kind", F.col("v.value").alias("value"))
+
+
+def kept_copies(copies: DataFrame, at: str, keep: int = 7) -> DataFrame:
+    """Adds removed: copies older than the newest `keep` (by time, then all columns) go."""
+    newest = copies.orderBy(F.desc(at), *copies.columns).limit(max(0, keep))
+    return copies.join(newest.select(*copies.columns, F.lit(False).alias("removed")), copies.columns, "left").withColumn("removed", F.coalesce("removed", F.lit(True)))
 
 
 def replace_last(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -36,12 +36,6 @@ def dedup_batches(rows: DataFrame, key: str, order: str, target: str, checkpoint
     rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
-def run_to_table(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its result (in memory: for small aggregates)."""
-    result.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return result.sparkSession.table(name)
-
-
 def run_to_files(result: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Run a stream of one aggregate by keys over all that is there and return its result; no row of it comes to the driver.
 
