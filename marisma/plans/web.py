@@ -119,3 +119,38 @@ def youtube_id(spark, d):
 def url_visual_class(spark, d):
     u = F.lower("url")
     return _pages(spark, d).select("page_id", F.when(u.rlike("spam|pills"), "POTENTIALLY_MANIPULATED").when(u.rlike("blog"), "SOCIAL_MEDIA").when(u.rlike(r"\.html"), "NEWS_SCREENSHOT").otherwise("PHOTOGRAPH").alias("visual"))
+
+
+_OUT = "html"
+for _t in web.FURNITURE:
+    _OUT = f"regexp_replace({_OUT}, '(?is)<{_t}\\b.*?</{_t}>', ' ', 'g')"
+
+
+@query(f"""with a as (select page_id, {_OUT} as bare from pages), f as (select page_id, {_COLLAPSE.format("regexp_replace(regexp_extract(bare, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '<[^>]+>', ' ', 'g')")} as own,
+ {_COLLAPSE.format("regexp_replace(regexp_extract(bare, '(?is)<body\\b[^>]*>(.*)</body>', 1), '<[^>]+>', ' ', 'g')")} as body, {_COLLAPSE.format("regexp_replace(bare, '<[^>]+>', ' ', 'g')")} as whole from a),
+t as (select page_id, case when length(own) > 200 then own when body <> '' then body else whole end as t from f)
+select page_id, sha256(case when length(t) <= 20000 then t else regexp_replace(substr(t, 1, 20000), '\\s+\\S*$', '') end) as article_sha256 from t""")
+def page_article(spark, d):
+    """In these pages an article element is the only place of an article; without a long one the body counts."""
+    return _pages(spark, d).select("page_id", F.sha2(web.article_text(F.col("html")), 256).alias("article_sha256"))
+
+
+@query(f"""with a as (select page_id, url, unnest(range(len(l))) as pos, unnest(l) as a from (select page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*href=["''][^"'']+["''][^>]*>.*?</a>') as l from pages)),
+h as (select page_id, url, pos, trim(regexp_extract(a, '(?is)href=["'']([^"'']+)["'']', 1)) as href, {_COLLAPSE.format("regexp_replace(a, '<[^>]+>', ' ', 'g')")} as title from a),
+k as (select page_id, url, pos, case when href like '//%' then 'https:' || href when href like '/%' then regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href else href end as href, title from h where not regexp_matches(lower(href), '/login|/privacy|/cookie|/tag/|/tags/|/share|javascript:|mailto:|#')),
+j as (select *, lower(regexp_extract(href, '^https?://([^/?#:]*)', 1)) as hh, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) as uh from k),
+g as (select page_id, href, min(pos) as pos from (select page_id, pos, href, case when title = '' then href else title end as title, url from j where href like 'http%' and (uh = '' or hh = '' or hh = uh or ends_with(hh, '.' || uh))) where rtrim(href, '/') <> rtrim(url, '/') and length(title) >= 6 group by 1, 2)
+select page_id, (turn - 1)::int as pos, href from (select *, row_number() over (partition by page_id order by pos) as turn from g) where turn <= 12""")
+def listing_links(spark, d):
+    """Texts of links are short in these pages: six characters are asked for."""
+    return web.article_links(_pages(spark, d), "page_id", "url", 12, shortest=6).select("page_id", "pos", "href")
+
+
+@query("""with i as (select conv_id, turn, role, text, 'http://p/' || conv_id as url, conv_id * 100 + turn as id from conversations), p as (select 'http://p/' || doc_id as url, text as page_text from documents),
+g as (select i.*, page_text, length(i.text) < 400 and length(page_text) > length(i.text) as gain from i left join p using (url)), r as (select id, row_number() over (partition by role order by id) as turn from g where gain)
+select g.id, coalesce(r.turn <= 20, false) as completed, sha256(case when r.turn <= 20 then page_text else g.text end) as text_sha256 from g left join r using (id)""")
+def body_completed(spark, d):
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role", "text", F.concat(F.lit("http://p/"), F.col("conv_id").cast("string")).alias("url"))
+    p = table(spark, d, "documents").select(F.concat(F.lit("http://p/"), F.col("doc_id").cast("string")).alias("url"), "text")
+    out = web.completed(c, p, "id", "role", "url", "text")
+    return out.select("id", "completed", F.sha2("text", 256).alias("text_sha256"))

@@ -34,7 +34,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def own_folder(spark: SparkSession, prefix: str) -> str:
+    """A folder of this process for what every executor has to reach: only where driver and executors are one, as in tests."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor reaches")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that spark.checkpoint.dir names; to one of this process only where it is unset, as in tests."""
+    """Checkpoints go to the folder that spark.checkpoint.dir names; to one of this process only where it is unset and the master is local."""
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marisma-checkpoints-"))
+        spark.sparkContext.setCheckpointDir(own_folder(spark, "marisma-checkpoints-"))

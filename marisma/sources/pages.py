@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marisma.functions import text, urls
 
 
+# Parts of a page that are no text of its own, places where an article stands, and links that lead to none.
+FURNITURE = ("script", "style", "nav", "footer", "header", "aside", "form", "noscript")
+PLACES = ("article", "main", "[role='main']", ".article-body", ".entry-content", ".post-content", ".news-article", ".c-article-body", "#content", ".content")
+SKIPPED = ("/login", "/privacy", "/cookie", "/tag/", "/tags/", "/share", "javascript:", "mailto:", "#")
+
+
 def title(html: Column) -> Column:
     """og:title, else the title element."""
     og = F.regexp_extract(html, r"""(?i)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)["']""", 1)
@@ -17,7 +23,7 @@ def title(html: Column) -> Column:
 def main_text(html: Column, most: int = 20000) -> Column:
     """Visible text without scripts, styles and page furniture, at most `most` characters, cut at a word."""
     body = html
-    for tag in ("script", "style", "nav", "footer", "header", "aside", "form", "noscript"):
+    for tag in FURNITURE:
         body = F.regexp_replace(body, rf"(?is)<{tag}\b.*?</{tag}>", " ")
     flat = text.strip_html(body)
     return F.when(F.length(flat) <= most, flat).otherwise(F.regexp_replace(F.substring(flat, 1, most), r"\s+\S*$", ""))
@@ -36,6 +42,64 @@ def listing(pages: DataFrame, key: str, url: str, most: int, html: str = "html")
     return pages.select(key, F.posexplode(F.slice(own, 1, most)).alias("pos", "href"))
 
 
+def _place(selector: str) -> str:
+    """A pattern of the first element that a selector names, up to the end of its like; the text is its last group."""
+    if selector[0] == ".":
+        return rf"""(?is)<(\w+)\b[^>]*\bclass=["'](?:[^"']* )?{selector[1:]}(?: [^"']*)?["'][^>]*>(.*)</\1>"""
+    if selector[0] == "#":
+        return rf"""(?is)<(\w+)\b[^>]*\bid=["']{selector[1:]}["'][^>]*>(.*)</\1>"""
+    if selector[0] == "[":
+        return r"""(?is)<(\w+)\b[^>]*\brole=["']main["'][^>]*>(.*)</\1>"""
+    return rf"(?is)<({selector})\b[^>]*>(.*?)</{selector}>"
+
+
+def article_text(html: Column, least: int = 200, most: int = 20000) -> Column:
+    """The text of the first place of an article that has more than `least` characters, else that of the whole body, without page furniture."""
+    bare = html
+    for tag in FURNITURE:
+        bare = F.regexp_replace(bare, rf"(?is)<{tag}\b.*?</{tag}>", " ")
+    body = F.regexp_extract(bare, r"(?is)<body\b[^>]*>(.*)</body>", 1)
+    flat = text.strip_html(F.when(body != "", body).otherwise(bare))
+    for selector in reversed(PLACES):
+        own = text.strip_html(F.regexp_extract(bare, _place(selector), 2))
+        flat = F.when(F.length(own) > least, own).otherwise(flat)
+    return F.when(F.length(flat) <= most, flat).otherwise(F.regexp_replace(F.substring(flat, 1, most), r"\s+\S*$", ""))
+
+
+def article_links(pages: DataFrame, key: str, url: str, most: int = 12, html: str = "html", shortest: int = 12) -> DataFrame:
+    """Links of a listing page to its articles: key, pos, href, title.
+
+    Links to logins, tags and the like are left out, relative ones are resolved; a link stays that leads to the page's host or one below it, is not the
+    page itself, and whose text (else address) has `shortest` characters; each address once, the first `most` (30 at most) of a page.
+    """
+    anchors = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)(<a\b[^>]*href=["'][^"']+["'][^>]*>.*?</a>)"""), 1)
+    rows = pages.select(key, F.col(url).alias("page"), F.posexplode_outer(anchors).alias("pos", "a")).where("a is not null")
+    rows = text.once(rows, href=F.trim(F.regexp_extract("a", r"""(?is)href=["']([^"']+)["']""", 1)), title=text.strip_html(F.col("a")))
+    skip = F.lit(False)
+    for s in SKIPPED:
+        skip = skip | F.contains(F.lower("href"), F.lit(s))
+    root = F.regexp_extract("page", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    rows = rows.where(~skip).withColumn("href", F.when(F.col("href").startswith("//"), F.concat(F.lit("https:"), "href")).when(F.col("href").startswith("/"), F.concat(root, "href")).otherwise(F.col("href")))
+    host = lambda c: F.lower(F.regexp_extract(c, "^https?://([^/?#:]*)", 1))
+    rows = rows.withColumn("title", F.when(F.col("title") == "", F.col("href")).otherwise(F.col("title"))).where(F.col("href").startswith("http") & ((host("page") == "") | (host("href") == "") | (host("href") == host("page")) | host("href").endswith(F.concat(F.lit("."), host("page")))))
+    rows = rows.where((F.rtrim("href", F.lit("/")) != F.rtrim("page", F.lit("/"))) & (F.length("title") >= shortest))
+    first = rows.groupBy(key, "href").agg(F.min(F.struct("pos", "title")).alias("f"))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("f.pos"))
+    return first.withColumn("turn", turn).where(F.col("turn") <= max(1, min(30, most))).select(key, (F.col("turn") - 1).alias("pos"), "href", F.substring("f.title", 1, 240).alias("title"))
+
+
+def completed(items: DataFrame, pages: DataFrame, key: str, source: str, url: str, body: str, least: int = 400, most: int = 20) -> DataFrame:
+    """Items whose text is short get that of their page where it is longer; the first `most` such of each source, by key.
+
+    pages: url, text. Adds completed. The rank counts only items that gain, so it is taken after the join.
+    """
+    found = pages.groupBy(F.col("url").alias("page_url")).agg(F.max_by("text", F.length("text")).alias("page_text"))
+    rows = items.join(found, items[url] == found["page_url"], "left").withColumn("gain", (F.length(F.coalesce(body, F.lit(""))) < least) & (F.length("page_text") > F.length(F.coalesce(body, F.lit("")))))
+    few = rows.where("gain").select(key, F.row_number().over(Window.partitionBy(source).orderBy(key)).alias("turn")).where(F.col("turn") <= most).select(key, F.lit(True).alias("completed"))
+    rows = rows.drop("gain", "page_url").join(few, key, "left").withColumn("completed", F.coalesce("completed", F.lit(False)))
+    return rows.withColumn(body, F.when(F.col("completed"), F.col("page_text")).otherwise(F.col(body))).drop("page_text")
+
+
 def preview_images(html: Column, most: int = 8) -> Column:
     """og:image, twitter:image, then img sources; distinct, without data and icon addresses, at most `most`."""
     meta = [F.regexp_extract_all(html, F.lit(rf"""(?i)<meta[^>]*(?:property|name)=["']{n}:image["'][^>]*content=["']([^"']+)["']"""), 1) for n in ("og", "twitter")]

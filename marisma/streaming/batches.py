@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from marisma.session import own_folder
+
 
 def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -42,7 +46,7 @@ def run_to_files(result: DataFrame, keys: list[str], name: str) -> DataFrame:
     Each batch writes the keys that it changed to the shared folder; of each key the row of the last batch counts.
     """
     spark = result.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='marisma-')}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{own_folder(spark, 'marisma-')}"
     target = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema, whole = result.schema, StructType([*result.schema.fields, StructField("batch", IntegerType())])
 
@@ -58,3 +62,22 @@ def run_to_files(result: DataFrame, keys: list[str], name: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     last = F.max_by(F.struct(*[c for c in result.columns if c not in keys]), "batch").alias("r")
     return rows.groupBy(*keys).agg(last).select(*keys, "r.*").select(*result.columns)
+
+
+def failure_counts(rows: DataFrame, key: str, at: str, ok: str) -> DataFrame:
+    """A stream of key, runs, failures: after each batch how many runs of a key there were and how many of the last ones failed in a row.
+
+    The state of a key is these two numbers and is kept for good; a batch of a key is put in order of time first.
+    """
+
+    def count(name, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        runs, failures = state.get if state.exists else (0, 0)
+        got = pd.concat(list(parts)).sort_values("at", kind="stable")["ok"].to_numpy()
+        good = got.nonzero()[0]
+        runs, failures = runs + len(got), len(got) - 1 - int(good[-1]) if len(good) else failures + len(got)
+        state.update((runs, failures))
+        yield pd.DataFrame({key: [name[0]], "runs": [runs], "failures": [failures]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    some = rows.select(key, F.col(at).alias("at"), F.col(ok).alias("ok"))
+    return some.groupBy(key).applyInPandasWithState(count, f"{key} {kind}, runs bigint, failures bigint", "runs bigint, failures bigint", "update", "NoTimeout")

@@ -106,3 +106,87 @@ def test_stream_dedup_first_is_read_from_files(spark):
     from marisma import registry
 
     assert registry.queries()["stream_dedup_first"](spark, "/root/testdata/sf0.001").inputFiles()
+
+
+def test_atom_and_rss(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<rss><channel><item><title>One</title><link>http://a/1</link><content:encoded xmlns:content='c'>&lt;b&gt;Body&lt;/b&gt; text</content:encoded><pubDate> </pubDate><dc:date xmlns:dc='d'>2026-01-02</dc:date></item><item><title>None</title></item></channel></rss>")
+    (tmp_path / "b.xml").write_text("<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>Two</title><link href='http://b/2'/><summary>Short</summary><updated>2026-01-03</updated><author><name>N</name></author></entry></feed>")
+    from marisma.sources.feeds import feed_items
+
+    got = {r.link: (r.title, r.text, r.published) for r in feed_items(spark, f"file://{tmp_path}").collect()}
+    assert got == {"http://a/1": ("One", "Body text", "2026-01-02"), "http://b/2": ("Two", "Short", "2026-01-03")}
+
+
+def test_landed_json_recent_first(spark, tmp_path):
+    from marisma.sources.feeds import landed_json
+
+    for name, rows in (("recent", '[{"url": "u1", "title": "new"}, {"url": "", "title": "none"}]'), ("past", '[{"url": "u1", "title": "old"}, {"url": "u2", "title": "two"}]')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "r.json").write_text(f'{{"articles": {rows}}}')
+    assert {(r.url, r.title) for r in landed_json(spark, f"file://{tmp_path}/recent", f"file://{tmp_path}/past").collect()} == {("u1", "new"), ("u2", "two")}
+
+
+def test_image_hashes(spark):
+    import numpy as np
+
+    from marisma.sources import files
+
+    rows = [(bytes(range(64)),), (bytes([7] * 64),), (b"abc" * 200,), (None,), (b"",)]
+    got = spark.createDataFrame(rows, "x binary").select("x", files.image_hash(F.col("x")).alias("h"), files.grey_hash(F.col("x")).alias("g")).collect()
+    for r in got:
+        raw = bytes(r.x) if r.x is not None else None
+        assert r.h == files.byte_hash(raw)
+        want = None
+        if raw and len(raw) == 64:
+            p = np.frombuffer(raw, np.uint8)
+            want = np.packbits(p > p.mean()).tobytes().hex()
+        assert r.g == want
+
+
+def test_literal_terms(spark):
+    from marisma.functions import text
+
+    rows = spark.createDataFrame([("axb (b a.b", 0), ("A.B", 1), ("bird flu", 2), ("birds flu", 3), (None, 4)], "x string, i int")
+    assert [r.y for r in rows.orderBy("i").select(text.has_word(F.col("x"), "a.b").alias("y")).collect()] == [True, True, False, False, None]
+    assert [r.y for r in rows.orderBy("i").select(text.has_word(F.col("x"), "(b").alias("y")).collect()] == [True, False, False, False, None]
+    lexicon = [("flu", "d", 1), ("bird flu", "d", 2), ("bird", "a", 1), ("a.b", "p", 1)]
+    from marisma.operators.lexicon import hits
+
+    got = [[h.term for h in r.h] if r.h is not None else None for r in rows.orderBy("i").select(hits(F.col("x"), lexicon).alias("h")).collect()]
+    assert got == [["a.b"], ["a.b"], ["flu", "bird flu", "bird"], ["flu"], None]
+
+
+def test_first_and_insert_on_ties(spark):
+    from marisma.operators import dedup
+    from marisma.sinks import tables
+
+    new = spark.createDataFrame([(1, "a", 5), (1, "b", 5), (None, "c", 1), (None, "d", 1), (2, "e", 1)], "k int, v string, o int")
+    old = spark.createDataFrame([(2, "old", 9)], "k int, v string, o int")
+    assert sorted((r.k or 0, r.v) for r in tables.insert_ignore(old, new, ["k"], "o").collect()) == [(0, "c"), (0, "d"), (1, "a"), (2, "old")]
+    assert sorted((r.k or 0, r.v) for r in dedup.first_seen(new, "k", "o").collect()) == [(0, "c"), (0, "d"), (1, "a"), (2, "e")]
+
+
+def test_long_cascade(spark):
+    """Each row shares a key with the one before it and one with the next."""
+    from marisma.operators import dedup
+
+    rows = spark.createDataFrame([(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(30)], "o int, x string, y string")
+    assert sorted(r.o for r in dedup.cascade(rows, ["x", "y"], "o").collect()) == list(range(0, 30, 2))
+
+
+def test_failure_stream(spark, tmp_path):
+    from marisma.streaming import batches
+
+    at = f"file://{tmp_path}/runs"
+    rows = [(1, 1, False), (1, 2, True), (1, 3, False), (1, 4, False), (2, 1, False), (2, 2, False)]
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, "source int, at int, ok boolean").coalesce(1).write.mode("append").parquet(at)
+    stream = batches.stream(spark, at, "source int, at int, ok boolean")
+    out = batches.run_to_files(batches.failure_counts(stream, "source", "at", "ok"), ["source"], "failures")
+    assert {(r.source, r.runs, r.failures) for r in out.collect()} == {(1, 4, 2), (2, 2, 2)}
+
+
+def test_origin_names():
+    from marisma.operators import filters
+
+    assert [filters.origin_id(x) for x in ("Redes", "red", "prensa", "radio", None, " ")] == ["social", "social", "prensa", None, None, None]
