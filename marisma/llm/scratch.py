@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import atexit
 import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marisma.session import own_folder
+
 _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this process only where that is unset."""
+    """The folder of spark.checkpoint.dir; a folder of this process only where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="marisma-")
+        _own["dir"] = own_folder(spark, "marisma-")
         atexit.register(shutil.rmtree, _own["dir"], True)
     return f"file://{_own['dir']}"
 
