@@ -78,13 +78,13 @@ def hamming_bits(spark, d):
     return j.select("doc_id", hashing.hamming_bits(F.col("a"), F.col("b")).cast("long").alias("bits"), F.round(hashing.similarity_percent(F.col("a"), F.col("b")), 6).alias("percent"))
 
 
-_NEAR = "(select doc_id, substr(sha256(text), 1, 8) || substr(sha256((doc_id % 50)::varchar), 9) as h from documents)"
+_NEAR = "(select doc_id, substr(sha256(text), 1, 8) || substr(sha256((doc_id // 10)::varchar), 9) as h from documents)"
 
 
 @query(f"select a.doc_id as query, b.doc_id as match, 100.0::double * (1.0::double - ({_HAMMING}) / 256.0::double) as similarity from {_NEAR} a join {_NEAR} b on a.doc_id <> b.doc_id where a.doc_id % 20 = 0 and ({_HAMMING}) <= 12")
 def near_dup_hash_join(spark, d):
-    """Hashes of fifty families whose first 32 bits differ at random."""
-    rows = docs(spark, d).select("doc_id", F.concat(F.substring(hashing.sha(F.col("text")), 1, 8), F.substring(hashing.sha((F.col("doc_id") % 50).cast("string")), 9, 56)).alias("h"))
+    """Hashes of families of ten whose first 32 bits differ at random."""
+    rows = docs(spark, d).select("doc_id", F.concat(F.substring(hashing.sha(F.col("text")), 1, 8), F.substring(hashing.sha(F.floor(F.col("doc_id") / 10).cast("string")), 9, 56)).alias("h"))
     return relations.near_hashes(rows.where("doc_id % 20 = 0"), rows, "doc_id", "h", 100 - 100 * 12 / 256)
 
 
