@@ -172,4 +172,4 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
+    return rows.mapInArrow(bytetext.tidy(run), f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from marisma.llm import bytetext
 from marisma.session import ship
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 HASHED = 1 << 15
 SEGMENT = 64
 UND = "und"
@@ -264,7 +264,7 @@ def predict_languages(docs: DataFrame, per_language: int = 400, chars: int = 200
                 yield pa.RecordBatch.from_arrays([*cells.columns, pa.array(lang), pa.array(score)], [*batch.schema.names, "lang_pred", "lang_score"])
 
     table = docs.select(*rest)
-    return table.mapInArrow(run, T.StructType([*table.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    return table.mapInArrow(bytetext.tidy(run), T.StructType([*table.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def label(crf: Crf, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:

@@ -179,4 +179,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 600, char
                 score = own.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(bytetext.tidy(run), f"doc_id {kind}, score double, predicted int")

@@ -276,7 +276,7 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, shard_token
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "same").sortWithinPartitions("doc_id", "same").select("doc_id", "text")
-    rows.mapInArrow(run, f"part int, number int, doc_ids array<{kind}>, sizes array<bigint>, n bigint, matrix binary").write.parquet(out)
+    rows.mapInArrow(bytetext.tidy(run), f"part int, number int, doc_ids array<{kind}>, sizes array<bigint>, n bigint, matrix binary").write.parquet(out)
 
 
 def read_documents(spark: SparkSession, at: str) -> DataFrame:
@@ -305,4 +305,4 @@ def read_documents(spark: SparkSession, at: str) -> DataFrame:
                     cells = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(((ends[i : j + 1] - ends[i]) * 4).astype(np.int32)), pa.py_buffer(ids[ends[i] : ends[j]])])
                     yield pa.RecordBatch.from_arrays([names.slice(i, j - i), pa.array(first + ends[i:j]), pa.array(sizes[i:j]), cells], ["doc_id", "start", "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")
+    return rows.mapInArrow(bytetext.tidy(run), f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")
