@@ -18,8 +18,8 @@ from marisma.llm.components import components
 from marisma.llm.scratch import drop, keep
 from marisma.session import ship
 
-BLOCK_BYTES = 2 << 20
-FLUSH = 1_000_000
+BLOCK_BYTES = 1 << 20
+FLUSH = 700_000
 #: Signatures that more sets share than this are searched in blocks of members; below, all pairs are tried at once.
 DIRECT = 4
 BLOCK_MEMBERS = 8192
@@ -404,12 +404,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pivots = parts.join(sets.select(F.col("id").alias("pivot"), F.col("size").alias("s"), F.col("elements").alias("s_elements")), "pivot")
     pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     both = placed.join(pivots, ["pivot", "part"]).select("member", "pivot", "r", "r_elements", "s", "s_elements")
-    return keep(both.mapInArrow(_similar(percent), "member binary, pivot binary"), "jaccard-links")
+    return keep(both.mapInArrow(bytetext.tidy(_similar(percent)), "member binary, pivot binary"), "jaccard-links")
 
 
-def _across(percent: int):
+def _across(percent: int, most: int | None):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of members in different components that sizes and sketches don't rule out.
+        """Pairs of members in different components that sizes and sketches don't rule out, of each member and block the `most` nearest; a row without pivot says that there were more.
 
         Rows of one (sign, b1, b2) are two blocks of the members of one signature, or one block.
         """
@@ -419,7 +419,7 @@ def _across(percent: int):
         edges = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
         raw, names, group = rows["sketch"].to_numpy()[order], rows["member"].to_numpy()[order], pd.factorize(rows["component"])[0][order]
         size, part = rows["n"].to_numpy().astype(np.int64)[order], rows["part"].to_numpy()[order]
-        found = set()
+        found, more = set(), False
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             n, p, g, name, some = size[lo:hi], part[lo:hi], group[lo:hi], names[lo:hi], raw[lo:hi]
             least, two = min(map(len, some)), p.max() > p.min()
@@ -430,8 +430,12 @@ def _across(percent: int):
                 may = np.flatnonzero(may)
                 if len(may):
                     far = np.bitwise_count(bits[may] ^ bits[i]).sum(1, dtype=np.int64)
-                    found.update((max(name[i], x), min(name[i], x)) for x in name[may[far * (100 + percent) <= (n[may] + n[i]) * (100 - percent)]] if x != name[i])
-        return pd.DataFrame(sorted(found), columns=["member", "pivot"])
+                    near = np.flatnonzero(far * (100 + percent) <= (n[may] + n[i]) * (100 - percent))
+                    if most and len(near) > most:
+                        near, more = near[np.argsort(far[near], kind="stable")[:most]], True
+                    found.update((max(name[i], x), min(name[i], x)) for x in name[may[near]] if x != name[i])
+        out = pd.DataFrame(sorted(found), columns=["member", "pivot"])
+        return pd.concat([out, pd.DataFrame({"member": [b""], "pivot": [None]})]) if more else out
 
     return run
 
@@ -452,7 +456,7 @@ def _search(docs: DataFrame, size: int, percent: int, every: bool) -> tuple[Data
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(shuffled, chars // BUCKET_CHARS + 1)
-    found = keep(rows.mapInArrow(_pack(percent, size, buckets, DIRECT, FLUSH), _PACKED).groupBy("bucket").applyInPandas(_unpack(DIRECT), _FOUND), "jaccard-found")
+    found = keep(rows.mapInArrow(bytetext.tidy(_pack(percent, size, buckets, DIRECT, FLUSH)), _PACKED).groupBy("bucket").applyInPandas(_unpack(DIRECT), _FOUND), "jaccard-found")
     owners = keep(found.where("n is not null").select("doc_id", "id", "n", "member", "sketch"), "jaccard-owners")
     signers = owners.where("member >= 0").select("member", "id", "n", "sketch")
     shared = found.where("n is null").select("sign", "member", "pivot")
@@ -460,14 +464,14 @@ def _search(docs: DataFrame, size: int, percent: int, every: bool) -> tuple[Data
     pairs = keep(shared.select("member", "pivot").distinct(), "jaccard-pairs")
     one, two = (signers.toDF(c, f"{c}_id", f"{c}_n", f"{c}_sketch") for c in ("member", "pivot"))
     both = pairs.join(one, "member").join(two, "pivot").select("member_id", "pivot_id", "member_n", "pivot_n", "member_sketch", "pivot_sketch")
-    likely = keep(both.mapInArrow(_likely(percent), "member binary, pivot binary").distinct(), "jaccard-likely")
+    likely = keep(both.mapInArrow(bytetext.tidy(_likely(percent)), "member binary, pivot binary").distinct(), "jaccard-likely")
     drop(pairs)
 
     def elements(pairs: DataFrame) -> DataFrame:
         named = keep(pairs.select(F.col("member").alias("id")).union(pairs.select(F.col("pivot").alias("id"))).distinct(), "jaccard-named")
         chosen = keep(owners.join(named, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("rep")).select("rep").distinct(), "jaccard-chosen")
         texts = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(size), "id binary, size int, elements binary")
+        sets = texts.mapInArrow(bytetext.tidy(_sets(size)), "id binary, size int, elements binary")
         sets = keep(sets.join(named, "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
         drop(named)
         drop(chosen)
@@ -494,26 +498,44 @@ def _search(docs: DataFrame, size: int, percent: int, every: bool) -> tuple[Data
 
     wide = shared.where("sign is not null")
     members = wide.select("sign", "member").union(wide.select("sign", F.col("pivot").alias("member"))).distinct()
-    members = members.join(signers.select("member", "id"), "member").select("sign", F.col("id").alias("member")).distinct()
-    members = keep(members.join(roots, F.col("member") == F.col("node"), "left").select("sign", "member", (F.col("member") if every else F.coalesce("root", "member")).alias("component")), "jaccard-members")
-    torn = members.groupBy("sign").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    torn = keep(torn.where("low <> high").select("sign", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks")), "jaccard-torn")
-    placed = members.join(torn, "sign").withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    own = signers.join(placed.select(F.col("member").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("member")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("sign", "member", "component", "part", F.least("part", "other").alias("b1"), F.greatest("part", "other").alias("b2"))
-    # several signatures are one task's group, of about SLOT rows together
-    slots = max(shuffled, placed.count() // SLOT + 1)
-    placed = placed.join(own, "member").withColumn("slot", F.pmod(F.xxhash64("sign", "b1", "b2"), F.lit(slots)))
-    placed = placed.repartition(slots, "slot")
-    untried = placed.groupBy("slot").applyInPandas(_across(percent), "member binary, pivot binary").distinct()
-    untried = keep(untried.join(likely, ["member", "pivot"], "left_anti"), "jaccard-untried")
-    if not untried.isEmpty():
-        further = _verified(untried, elements(untried), percent)
-        if not further.isEmpty():
-            links = links.union(further)
-            roots = components(links, "member", "pivot")
-    for used in (found, likely, members, torn):
+    members = keep(members.join(signers.select("member", "id"), "member").select("sign", F.col("id").alias("member")).distinct(), "jaccard-members")
+    # links, once found, merge components: few pairs of each member first, and more only while a signature is torn
+    tried, turn, most = likely, 0, None if every else 2
+    while True:
+        own = members.join(roots, F.col("member") == F.col("node"), "left").select("sign", "member", (F.col("member") if every else F.coalesce("root", "member")).alias("component"))
+        torn = own.groupBy("sign").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+        torn = torn.where("low <> high").select("sign", "m", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+        placed = own.join(torn, "sign")
+        if not every and not turn:
+            # at first a member looks into its widest signature alone
+            widest = placed.groupBy("member").agg(F.max(F.struct("m", "sign")).alias("w"))
+            placed = placed.join(widest.select("member", F.col("w.sign").alias("sign")), ["member", "sign"])
+        placed = keep(placed.drop("m"), "jaccard-placed")
+        if placed.isEmpty():
+            drop(placed)
+            break
+        drawn = signers.join(placed.select(F.col("member").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("member")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        dealt = placed.withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("sign", "member", "component", "part", F.least("part", "other").alias("b1"), F.greatest("part", "other").alias("b2"))
+        # several signatures are one task's group, of about SLOT rows together
+        slots = max(shuffled, dealt.count() // SLOT + 1)
+        dealt = dealt.join(drawn, "member").withColumn("slot", F.pmod(F.xxhash64("sign", "b1", "b2"), F.lit(slots))).repartition(slots, "slot")
+        seen = keep(dealt.groupBy("slot").applyInPandas(_across(percent, most), "member binary, pivot binary"), "jaccard-seen")
+        untried = keep(seen.where("pivot is not null").distinct().join(tried, ["member", "pivot"], "left_anti"), "jaccard-untried")
+        merged = False
+        if not untried.isEmpty():
+            further = _verified(untried, elements(untried), percent)
+            if not further.isEmpty():
+                links, merged = links.union(further), True
+                roots = components(links, "member", "pivot")
+        complete = turn and seen.where("pivot is null").isEmpty()
+        tried, turn = tried.union(untried), turn + 1
+        most = most if turn == 1 or merged else most and most * 8
+        drop(placed)
+        drop(seen)
+        if every or complete:
+            break
+    for used in (found, members):
         drop(used)
     return owners.select("doc_id", "id", "n"), links, roots
 
@@ -532,7 +554,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     3. Sizes and sketches of about three bits a shingle, which never rule out a link, leave few candidates. Their sets meet in full,
        each member's first with one pivot, later only where it is not connected yet.
     4. Signatures of many sets that are still in several components are searched for further links in blocks of
-       a fixed number of members, every block against every other, so that no link is lost and no group is one task's.
+       a fixed number of members, every block against every other, so that no link is lost and no group is one task's. Each member's
+       nearest are tried first, and components joined, before others are.
 
     Returns one row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links
     reach). Defined cases: an empty set is linked with nothing, not even another empty one; rows that repeat a text are
