@@ -37,7 +37,15 @@ def lifecycle(daily: DataFrame, group: str, day: str, n: str) -> DataFrame:
     return out.select(group, stage.alias("stage"), F.col(f"top.{day}").alias("peak_day"))
 
 
-def chunks(rows: DataFrame, group: str, at: str, key: str, most: int = 5) -> DataFrame:
+def chunks(rows: DataFrame, group: str, order: list, most: int = 5) -> DataFrame:
+    """Adds chunk: up to `most` stretches of equal size in order; what is left over goes to the last. For groups that fit a task; see time_chunks."""
+    w = Window.partitionBy(group)
+    n, parts = F.count(F.lit(1)).over(w), F.least(F.lit(most), F.count(F.lit(1)).over(w))
+    i = F.row_number().over(w.orderBy(*order)) - 1
+    return rows.withColumn("chunk", F.least(F.floor(i / F.floor(n / parts)), parts - 1).cast("bigint") + 1)
+
+
+def time_chunks(rows: DataFrame, group: str, at: str, key: str, most: int = 5) -> DataFrame:
     """Adds chunk: up to `most` stretches of equal size in order of time and key; what is left over goes to the last.
 
     Hours of a group are counted first, so that rows are numbered inside their hour alone and a group of a third of all rows is no one task's.

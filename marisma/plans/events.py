@@ -144,7 +144,7 @@ def lifecycle_stage(spark, d):
 @query("""with r as (select event_type, ts, row_number() over (partition by event_type order by ts, event_id) - 1 as i, count(*) over (partition by event_type) as n from events)
 select event_type, least(i // (n // least(n, 5)), least(n, 5) - 1)::bigint + 1 as chunk, count(*)::bigint as n, min(ts) as since, max(ts) as until from r group by 1, 2""")
 def semantic_chunks(spark, d):
-    rows = narratives.chunks(table(spark, d, "events").select("event_type", "event_id", "ts"), "event_type", "ts", "event_id")
+    rows = narratives.time_chunks(table(spark, d, "events").select("event_type", "event_id", "ts"), "event_type", "ts", "event_id")
     return rows.groupBy("event_type", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("since"), F.max("ts").alias("until"))
 
 
