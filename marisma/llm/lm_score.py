@@ -8,6 +8,7 @@ from copy import deepcopy
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -27,10 +28,12 @@ KNOWN = CLASSES * MEMBERS
 RARE, BEGIN = KNOWN, KNOWN + 1
 HEAD = 1 << 19
 ROUNDS = 3
-#: The first pass on the driver: windows, steps, and how often a window is seen at most; windows of a step everywhere.
-START, STEPS, REPEATS, BATCH = 4096, 1000, 8, 32
+#: Windows of a step. On the driver: steps, over at most so many ids of documents of at most so many.
+BATCH, STEPS, START_IDS, START_MOST = 128, 600, 400_000, 50_000
+#: About so many ids are one group, whose weights are learned in one place; so many steps at least, over few ids several times.
+GROUP_IDS, LEAST = 1_500_000, 500
 #: Windows that a task holds together while it trains.
-AT_ONCE = 16384
+AT_ONCE = 65_536
 _COUNTS, _PIECES, _WINDOWS = 0, 1, 2
 
 
@@ -112,8 +115,9 @@ class Model:
         v[:, :, :DIM] = np.dot(flat, p["v"]).reshape(b, WINDOW, DIM)
         v[:, :, DIM] = 1
         s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
-        if s.max() > 60:
-            np.minimum(s, 60, out=s)
+        if s.max() > 60 or s.min() < -60:
+            s -= np.where(_MASK > 0, s, -np.inf).max(2, keepdims=True)
+            np.minimum(s, 0, out=s)
         np.exp(s, out=s)
         s *= _MASK
         z = np.matmul(s, v)
@@ -169,12 +173,12 @@ class Model:
     def fit(self, windows: np.ndarray, rate: float, seed: int, steps: int | None = None) -> None:
         """Adam over windows (n, WINDOW + 1) of numbers: inputs, and one id on the targets; -1 is after a text.
 
-        One pass at one rate; with steps, as many steps in passes over the windows, at a rate that falls to a twentieth.
+        One pass at one rate, or LEAST steps if that is more; with steps, so many in passes over the windows, at a rate that falls to a twentieth.
         """
         r = np.random.default_rng(seed)
         moment = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in self.p.items()}
         a_pass = -(-len(windows) // BATCH)
-        for step in range(1, (steps or a_pass) + 1):
+        for step in range(1, (steps or max(a_pass, LEAST)) + 1):
             turn = (step - 1) % a_pass
             if not turn:
                 order = r.permutation(len(windows))
@@ -189,27 +193,27 @@ class Model:
         p = self.p
         inputs, target = np.maximum(windows[:, :-1], 0), windows[:, -NEW:]
         c = self._context(inputs)
-        there = target >= 0
-        x, want = c["x2"][there], target[there]
-        n, g = max(1, len(want)), {}
+        there = np.flatnonzero(target.ravel() >= 0)
+        there = there[np.argsort((target.ravel()[there] >> _SHIFT).astype(np.uint8), kind="stable")]
+        x, want = np.take(c["x2"].reshape(-1, DIM), there, axis=0), np.take(target.ravel(), there)
+        n, g = np.float32(max(1, len(want))), {}
+        # targets stand class by class
         kind = want >> _SHIFT
-        wrong = _softmax(np.dot(x, p["class_w"]) + p["class_b"])
-        wrong[np.arange(len(want)), kind] -= 1
-        wrong /= n
-        g["class_w"], g["class_b"] = x.T @ wrong, wrong.sum(0)
-        gx = wrong @ p["class_w"].T
+        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
+        wrong = _wrong(np.dot(x, p["class_w"]), p["class_b"], kind, n)
+        g["class_w"], g["class_b"] = np.dot(x.T, wrong), wrong.sum(0)
+        gx = np.dot(wrong, p["class_w"].T)
         g["member_w"], g["member_b"] = np.zeros_like(p["member_w"]), np.zeros_like(p["member_b"])
         for k in range(CLASSES):
-            rows = np.flatnonzero(kind == k)
-            if len(rows):
-                wrong = _softmax(np.dot(x[rows], p["member_w"][k]) + p["member_b"][k])
-                wrong[np.arange(len(rows)), want[rows] % MEMBERS] -= 1
-                wrong /= n
-                g["member_w"][k], g["member_b"][k] = x[rows].T @ wrong, wrong.sum(0)
-                gx[rows] += wrong @ p["member_w"][k].T
+            i, j = edges[k], edges[k + 1]
+            if i < j:
+                wrong = _wrong(np.dot(x[i:j], p["member_w"][k]), p["member_b"][k], want[i:j] & (MEMBERS - 1), n)
+                np.dot(x[i:j].T, wrong, out=g["member_w"][k])
+                g["member_b"][k] = wrong.sum(0)
+                gx[i:j] += np.dot(wrong, p["member_w"][k].T)
         flat = lambda a: np.ascontiguousarray(a).reshape(-1, a.shape[-1])
         g2 = np.zeros_like(c["x2"])
-        g2[there] = gx
+        g2.reshape(-1, DIM)[there] = gx
         g["w2"] = c["u"].T @ flat(g2)
         gu = (flat(g2) @ p["w2"].T) * (c["u"] > 0)
         g["w1"], g["b1"] = flat(c["x1"]).T @ gu, gu.sum(0)
@@ -237,23 +241,33 @@ _MASK = np.tri(NEW, WINDOW, WINDOW - NEW, dtype=np.float32)
 _SHIFT = MEMBERS.bit_length() - 1
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def _hold(logits: np.ndarray) -> None:
+    """Rows far from zero are moved, so that their exponentials neither overflow nor vanish."""
+    if logits.size and (logits.max() > 60 or logits.min() < -60):
+        logits -= logits.max(1, keepdims=True)
+
+
+def _wrong(logits: np.ndarray, bias: np.ndarray, which: np.ndarray, n: np.float32) -> np.ndarray:
+    """Softmax of logits + bias less one at one column of each row, over n."""
+    logits += bias
+    _hold(logits)
+    np.exp(logits, out=logits)
+    logits /= np.dot(logits, np.full(logits.shape[1], n, np.float32))[:, None]
+    logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + which] -= 1 / n
+    return logits
 
 
 def _log_share(logits: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of logits + bias at one column of each row; values are far from overflow, and are held below it."""
+    """Logarithm of the softmax of logits + bias at one column of each row."""
     logits += bias
-    if logits.max() > 60:
-        np.minimum(logits, 60, out=logits)
+    _hold(logits)
     own = np.take(logits.ravel(), np.arange(0, logits.size, logits.shape[1]) + which)
     np.exp(logits, out=logits)
     return own - np.log(np.dot(logits, np.ones(logits.shape[1], np.float32)))
 
 
 def _gather(path: str):
-    """Of training texts: word counts, subword counts, and the subword ids of blocks of texts, as rows of kind, key, n, payload."""
+    """Of training texts: word counts, subword counts, and the subword ids of each text, as rows of kind, key, n, payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
@@ -277,8 +291,8 @@ def _gather(path: str):
                 lost.append(table.add(w.hash))
                 held += len(lost[-1][0])
                 counts += np.bincount(ids, minlength=own.size)
-                key = int(bytetext.mix(marks[i : i + 1].astype(np.uint64))[0] >> np.uint64(1))
-                yield rows(_WINDOWS, np.array([key], np.int64), np.array([len(first) - 1], np.int64), [first.astype("<i4").tobytes() + ids.astype(_width(own.size)).tobytes()])
+                raw = ids.astype(_width(own.size))
+                yield rows(_WINDOWS, marks[i:j], np.diff(first), [raw[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)])
                 if held > 1_500_000:
                     held = 0
                     yield flush()
@@ -310,56 +324,60 @@ def _width(size: int) -> str:
     return "<u2" if size <= 65536 else "<u4"
 
 
-def _numbered(model: Model, texts: int, raw: bytes) -> np.ndarray:
-    """Windows of a gathered block, as numbers of the model."""
-    first = np.frombuffer(raw, "<i4", texts + 1).astype(np.int64)
-    w = _windows(np.frombuffer(raw, _width(len(model.number)), offset=4 * (texts + 1)), first)
+def _numbered(model: Model, payloads: list[bytes]) -> np.ndarray:
+    """Windows of gathered texts, as numbers of the model."""
+    ids = np.frombuffer(b"".join(payloads), _width(len(model.number)))
+    first = np.concatenate([[0], np.cumsum([len(p) for p in payloads])]) // ids.itemsize
+    w = _windows(ids, first)
     return np.where(w == -1, -1, np.where(w == -2, BEGIN, model.number[np.maximum(w, 0)]))
 
 
 def train(gathered: DataFrame, size: int) -> Model:
-    """A model of the gathered counts and blocks of texts.
+    """A model of the gathered counts and texts.
 
-    First steps over at most START windows on the driver set out from the subword frequencies of the whole training corpus.
-    Then, in ROUNDS rounds, every task trains on all windows of its blocks of the round and the weights are averaged, in two
-    steps, so that the driver gets few of them. Each block is one round's: every id of the corpus is learned once. Blocks grow
-    with the corpus; a task's weights don't.
+    First steps over some texts on the driver set out from the subword frequencies of the whole training corpus. Then texts are
+    dealt, by a hash of their id and content, to ROUNDS rounds and to groups of about GROUP_IDS ids. In a round each
+    group learns all of its windows in a fixed order, and the weights are averaged, in two steps, so that the driver gets few of
+    them. Every id of the corpus is learned; how tables are partitioned makes no difference. Groups grow in number with the corpus, not in
+    size.
     """
     spark = gathered.sparkSession
     counts = np.zeros(size)
     for row in gathered.where(F.col("kind") == _PIECES).groupBy("key").agg(F.sum("n").alias("n")).collect():
         counts[row["key"]] = row["n"]
     model = Model(counts)
-    windows = gathered.where(F.col("kind") == _WINDOWS).select("key", "n", "payload")
-    # keys first: with their payloads eight rows of every task would come to the driver
-    few = [r["key"] for r in windows.select("key").orderBy("key").limit(8).collect()]
-    start = [_numbered(model, r["n"], bytes(r["payload"])) for r in windows.where(F.col("key").isin(few)).orderBy("key").collect()] if few else []
-    if not start:
+    texts = gathered.where(F.col("kind") == _WINDOWS).select("key", "n", "payload")
+    total = texts.agg(F.sum("n")).first()[0] or 0
+    if not total:
         return model
-    first = np.concatenate(start)
-    first = first[:: -(-len(first) // START)]
-    model.fit(first, 0.02, 0, min(STEPS, REPEATS * -(-len(first) // BATCH)))
+    few, held = [], 0
+    # keys first: with their payloads many rows of every task would come to the driver
+    for row in texts.where(F.col("n") <= START_MOST).select("key", "n").orderBy("key", "n").limit(START_IDS // 100).collect():
+        if held < START_IDS:
+            few.append(row["key"])
+            held += row["n"]
+    if few:
+        got = texts.where((F.col("n") <= START_MOST) & (F.col("key") <= few[-1])).select("key", "payload").collect()
+        model.fit(_numbered(model, [p for _, p in sorted((r["key"], bytes(r["payload"])) for r in got)]), 0.02, 0, STEPS)
+    groups = -(-total // (GROUP_IDS * ROUNDS))
+    schema = "weights binary, n bigint"
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+        def learn(rows: pd.DataFrame) -> pd.DataFrame:
             # a copy: another task of the same Python process starts from the round's weights too
-            own, seen, held = deepcopy(shared.value), 0, []
-
-            def fit() -> None:
-                own.fit(np.concatenate(held), 0.006 / (1 + turn), turn)
-                held.clear()
-
-            for batch in batches:
-                for texts, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    held.append(_numbered(own, texts, raw))
-                    seen += len(held[-1])
-                    if sum(map(len, held)) >= AT_ONCE:
-                        fit()
-            if held:
-                fit()
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([own.flat().tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["weights", "n"])
+            own, held, seen, n = deepcopy(shared.value), [], 0, 0
+            payloads = [p for _, p in sorted(zip(rows["key"], map(bytes, rows["payload"]), strict=True))]
+            for i, payload in enumerate(payloads):
+                held.append(payload)
+                n += len(payload)
+                if n >= AT_ONCE * NEW * 2 or i + 1 == len(payloads):
+                    windows = _numbered(own, held)
+                    held, n = [], 0
+                    for k in range(0, len(windows), AT_ONCE):
+                        own.fit(windows[k : k + AT_ONCE], 0.01 / (1 + turn), turn)
+                    seen += len(windows)
+            return pd.DataFrame({"weights": [own.flat().tobytes()], "n": [seen]})
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = 0.0, 0
@@ -367,22 +385,24 @@ def train(gathered: DataFrame, size: int) -> Model:
                 for raw, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     total, n = total + np.frombuffer(raw, np.float32) * float(k), n + k
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["weights", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float64).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["weights", "n"])
 
-        schema = "weights binary, n bigint"
-        mine = windows.where(F.pmod(F.col("key"), F.lit(ROUNDS)) == turn).select("n", "payload").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-        some = mine.mapInArrow(learn, schema)
+        mine = texts.where(F.pmod(F.col("key"), F.lit(ROUNDS)) == turn).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+        some = mine.groupBy("group").applyInPandas(learn, schema)
         got = some.repartition(max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))).mapInArrow(average, schema).collect()
         if got:
-            model.load(sum(np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["n"] for r in got) / sum(r["n"] for r in got))
+            model.load(sum(np.frombuffer(r["weights"]) * r["n"] for r in got) / sum(r["n"] for r in got))
+        shared.unpersist()
     return model
 
 
 def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Score every text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    docs has doc_id and text; other columns are not read. The model learns from documents whose crc32(doc_id as text)
-    mod 10 is not 0; score is its log10 probability of a text as subword ids of its lower-cased words, and an end.
+    docs has doc_id and text; other columns are not read. The model learns from every id of the documents whose crc32(doc_id as text)
+    mod 10 is not 0; score is its log10 probability of a text as subword ids of its lower-cased words, and an end. The 1,024 most
+    frequent ids are told apart by the network; all others are one class to it, inside which they have their smoothed shares
+    of the counts. Scores don't depend on how docs is partitioned, but for rounding.
     base_score is that of a smoothed word frequency model over the same documents.
 
     Word counts are one table. Of it, words over a count that at most 524,288 words reach are sent to all tasks; the others are
@@ -397,8 +417,8 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (fold(10) == 0).alias("held_out"))
-    training = rows.where("not held_out").select("text", F.xxhash64("doc_id").alias("mark"))
-    gathered = keep(training.mapInArrow(_gather(path), "kind int, key bigint, n bigint, payload binary"), "lm-gathered")
+    training = rows.where("not held_out").select("text", F.xxhash64("doc_id", "text").alias("mark"))
+    gathered = keep(training.mapInArrow(bytetext.tidy(_gather(path)), "kind int, key bigint, n bigint, payload binary"), "lm-gathered")
     counts = keep(gathered.where(F.col("kind") == _COUNTS).groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
     own = pieces(path)
     model = train(gathered, own.size)
@@ -442,7 +462,7 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ["doc_id", "held_out", "n_tokens", "known", "logs", "score", "tail"],
                 )
 
-    scored = rows.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, tail array<bigint>")
+    scored = rows.select("doc_id", "text", "held_out").mapInArrow(bytetext.tidy(run), f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, tail array<bigint>")
     scored = keep(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rest = scored.select("row", F.explode("tail").alias("key")).join(counts.where(step < lowest), "key", "left")
     rest = rest.groupBy("row").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("tail_logs"))
