@@ -14,13 +14,13 @@ from marisma.llm import bytetext
 from marisma.llm.scratch import keep
 from marisma.session import ship
 
-BLOCK_BYTES = 2 << 20
-BLOCK_CODES = 400_000
+BLOCK_BYTES = 1 << 20
+BLOCK_CODES = 200_000
 PASSAGE = 24
 RANK, MORE = 64, 8
 ITEMS_AT_ONCE = 5000
 #: Windows that lie near an item, whose words are compared together.
-CANDIDATES = 300_000
+CANDIDATES = 100_000
 _SUM = "n bigint, total binary"
 
 
@@ -127,33 +127,32 @@ def _total(rows: DataFrame) -> tuple[int, np.ndarray | None]:
     return sum(r["n"] for r in got), sum((np.frombuffer(r["total"]) for r in got), np.zeros(1)) if got else None
 
 
-def _project(table: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
-    """Sums of the rows of table at the codes begin..end, of which there are at most `length`; row 0 is zero."""
+def _project(table: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of the rows of table at the codes begin..end, in ascending order; row 0 is zero."""
     out = np.zeros((len(begin), table.shape[1]), np.float32)
-    for i in range(0, len(begin), 4096):
-        at = begin[i : i + 4096, None] + np.arange(length)
-        inside = np.where(at < end[i : i + 4096, None], codes[np.minimum(at, len(codes) - 1)], 0)
-        out[i : i + 4096] = table[inside].sum(1)
+    # running sums over short stretches: overlapping windows take each word once
+    for i in range(0, len(begin), 512):
+        lo, hi = begin[i : i + 512], end[i : i + 512]
+        running = np.zeros((hi.max() - lo[0] + 1, table.shape[1]), np.float32)
+        np.cumsum(np.take(table, codes[lo[0] : hi.max()], axis=0), axis=0, out=running[1:])
+        out[i : i + 512] = running[hi - lo[0]] - running[lo - lo[0]]
     return out
 
 
-def _sums(coded: DataFrame, dtype: str, weight: np.ndarray, basis: np.ndarray, back: bool) -> np.ndarray:
-    """With A the TF-IDF matrix of all passages: A' A basis if back, else basis' A' A basis."""
+def _sums(coded: DataFrame, dtype: str, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A' A basis, with A the TF-IDF matrix of all passages."""
     spark = coded.sparkSession
     shared = spark.sparkContext.broadcast((weight[:, None] * basis).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        total = np.zeros((len(table) if back else table.shape[1], table.shape[1]))
+        total = np.zeros(table.shape)
         for _, codes, first in _blocks(batches, 0, dtype):
             known = np.flatnonzero(codes)
             if not len(known):
                 continue
             _, begin, end = windows(first, PASSAGE, PASSAGE, overlap=False)
-            y = _project(table, codes, begin, end, PASSAGE)
-            if not back:
-                total += y.T @ y
-                continue
+            y = _project(table, codes, begin, end)
             code, of = codes[known].astype(dtype), np.searchsorted(begin, known, side="right") - 1
             order = np.argsort(code, kind="stable")
             edges = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0, True])
@@ -161,36 +160,42 @@ def _sums(coded: DataFrame, dtype: str, weight: np.ndarray, basis: np.ndarray, b
                 total[code[order[lo]]] += y[of[order[lo:hi]]].sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
 
-    total = _total(coded.select("codes").mapInArrow(run, _SUM))[1]
-    total = total.reshape(-1, basis.shape[1]) if total is not None else np.zeros((len(basis) if back else basis.shape[1], basis.shape[1]))
-    return weight[:, None] * total if back else total
+    total = _total(coded.select("codes").mapInArrow(bytetext.tidy(run), _SUM))[1]
+    return weight[:, None] * (total.reshape(basis.shape) if total is not None else np.zeros(basis.shape))
 
 
 def latent_basis(coded: DataFrame, dtype: str, weight: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF matrix of all passages, by randomised SVD with one power step."""
+    """Leading right singular vectors of the TF-IDF matrix A of all passages, by randomised SVD in one pass over them.
+
+    A' A meets random orthonormal directions once; A' A is then taken as y (directions' y)^-1 y' with y what came out, and
+    that matrix's eigenvectors follow from a small decomposition.
+    """
     width = min(RANK + MORE, len(weight) - 1)
-    basis = np.random.default_rng(17).normal(size=(len(weight), width))
-    basis, _ = np.linalg.qr(_sums(coded, dtype, weight, basis, back=True))
-    values, vectors = np.linalg.eigh(_sums(coded, dtype, weight, basis, back=False))
-    return basis @ vectors[:, np.argsort(-values)[:RANK]]
+    basis, _ = np.linalg.qr(np.random.default_rng(17).normal(size=(len(weight), width)))
+    y = _sums(coded, dtype, weight, basis)
+    y += basis * (1e-9 * max(np.linalg.norm(y), 1e-30))
+    inner = basis.T @ y
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    half = vectors / np.sqrt(np.maximum(values, 1e-12 * max(values.max(), 1e-30)))
+    return np.linalg.svd(y @ half, full_matrices=False)[0][:, :RANK]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.6, whole: float = 0.7, part: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.6, whole: float = 0.7, part_share: float = 0.5) -> DataFrame:
     """Documents that hold a benchmark item or a paraphrase of one: doc_id, content (xxhash64 of text), item_id, cosine, lcs_share, answer_share.
 
     docs has doc_id and text, benchmark has item_id and text; other columns are not read. Words are lower-cased (A-Z) runs
     outside [\\x20\\x09-\\x0D].
 
     1. Each word of each document becomes its number among the items' words (0 for all others), one table.
-    2. TF-IDF weights of these words come from their counts in all passages (runs of 24 words); a randomised SVD of the matrix
+    2. TF-IDF weights of these words come from the number of passages (runs of 24 words) that hold them; a randomised SVD of the matrix
        of all passages gives a latent space. Sums are formed in tasks, of a size that the items alone determine.
-    3. Overlapping windows of all documents meet windows of all items by cosine in that space. Words
+    3. Overlapping windows of all documents meet the windows that make up each item by cosine in that space. Words
        that no item has weigh nothing there, so that only windows without a word of an item are left out.
     4. Candidates are checked on the words around them: the longest common subsequence has at least the share `whole` of the
-       item, or the share `part` and at least 0.8 of the answer (the item's last fifth, three words at least). An item of fewer than
+       item, or the share `part_share` and at least 0.8 of the answer (the item's last fifth, three words at least). An item of fewer than
        12 words, which prose may come near by chance, is there in whole.
 
-    Items are taken in blocks of 5,000. Defined cases: items and documents that are null or without a word match nothing;
+    Items are taken in blocks of about 5,000, one on the driver at a time. Defined cases: items and documents that are null or without a word match nothing;
     items that repeat a text are each reported; an item shorter than 12 words is searched with shorter windows;
     rows that repeat a document are each reported; empty tables give an empty table.
     """
@@ -200,12 +205,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.6, whole
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
     schema = f"doc_id {kind}, content bigint, item_id {item_kind}, cosine double, lcs_share double, answer_share double"
     out = spark.createDataFrame([], schema)
-    got = sorted(((r["item_id"], r["text"]) for r in benchmark.where("text is not null").select("item_id", "text").toLocalIterator()), key=lambda r: (r[0] is None, r[0], r[1]))
-    for at in range(0, len(got), ITEMS_AT_ONCE):
-        block = got[at : at + ITEMS_AT_ONCE]
+    given = benchmark.where("text is not null").select("item_id", "text")
+    parts = -(-given.count() // ITEMS_AT_ONCE)
+    for part in range(parts):
+        # by a hash, so that the driver holds one block of items at a time
+        block = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+        block = sorted(((r["item_id"], r["text"]) for r in block), key=lambda r: (r[0] is None, r[0], r[1]))
         items = Items.of([i for i, _ in block], [t for _, t in block])
         if len(items.words):
-            out = out.union(_find(rows, items, schema, kind, item_kind, cosine, whole, part))
+            out = out.union(_find(rows, items, schema, kind, item_kind, cosine, whole, part_share))
     return out
 
 
@@ -223,21 +231,22 @@ def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str,
                 cells = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((w.first * codes.itemsize).astype(np.int32)), pa.py_buffer(codes)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), cells], ["doc_id", "content", "codes"])
 
-    coded = keep(rows.select("doc_id", "content", "text").mapInArrow(code, f"doc_id {kind}, content bigint, codes binary"), "decontam-codes")
+    coded = keep(rows.select("doc_id", "content", "text").mapInArrow(bytetext.tidy(code), f"doc_id {kind}, content bigint, codes binary"), "decontam-codes")
     size = len(items.words) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size), 0
         for _, codes, first in _blocks(batches, 0, dtype):
-            total += np.bincount(codes, minlength=size)
-            n += int((-(-np.diff(first) // PASSAGE)).sum())
+            _, begin, _ = windows(first, PASSAGE, PASSAGE, overlap=False)
+            n += len(begin)
+            known = np.flatnonzero(codes)
+            of = np.searchsorted(begin, known, side="right") - 1
+            total += np.bincount(np.unique(of * size + codes[known]) % size, minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "total"])
 
-    passages, counts = _total(coded.select("codes").mapInArrow(count, _SUM))
+    passages, counts = _total(coded.select("codes").mapInArrow(bytetext.tidy(count), _SUM))
     counts = counts if counts is not None and len(counts) == size else np.zeros(size)
-    # passages with a word, from how often it stands in them all
-    share = -np.expm1(-counts / max(passages, 1))
-    weight = np.log((1 + passages) / (1 + passages * share)) + 1e-3
+    weight = np.log((1 + passages) / (1 + counts)) + 1e-3
     weight[0] = 0.0
     basis = latent_basis(coded, dtype, weight)
     table = (weight[:, None] * basis).astype(np.float32)
@@ -245,7 +254,7 @@ def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str,
     for k in range(len(items.codes)):
         if len(items.codes[k]):
             length = items.size(k)
-            _, begin, end = windows(np.array([0, len(items.codes[k])]), length, max(1, length // 2))
+            _, begin, end = windows(np.array([0, len(items.codes[k])]), length, length)
             for a, b in zip(begin, end, strict=True):
                 queries.setdefault(length, []).append((k, int(a), int(b), table[items.codes[k][a:b]].sum(0)))
     for length, some in queries.items():
@@ -266,14 +275,14 @@ def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str,
                 text, begin, end = windows(first, length, max(1, length // 3))
                 likely = np.flatnonzero(known[end] > known[begin])
                 tried: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for i in range(0, len(likely), 4096):
-                    some = likely[i : i + 4096]
-                    x = _project(table, codes, begin[some], end[some], length)
+                for i in range(0, len(likely), 1024):
+                    some = likely[i : i + 1024]
+                    x = _project(table, codes, begin[some], end[some])
                     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                     near = x @ vectors.T
                     a, q = np.nonzero(near >= cosine)
                     tried.append((some[a], q, near[a, q]))
-                    if i + 4096 < len(likely) and sum(len(t[0]) for t in tried) < CANDIDATES:
+                    if i + 1024 < len(likely) and sum(len(t[0]) for t in tried) < CANDIDATES:
                         continue
                     at, q, close = map(np.concatenate, zip(*tried, strict=True))
                     tried.clear()
@@ -305,10 +314,11 @@ def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str,
                 )
 
     batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
-    return coded.mapInArrow(run, schema)
+    return coded.mapInArrow(bytetext.tidy(run), schema)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns. A document is its doc_id (null equals null) and text."""
-    leaks = keep(find_leaks(docs, benchmark, **limits).select(F.col("doc_id").alias("_leak_id"), F.col("content").alias("_leak_content")).distinct(), "decontam-leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_leak_content")), "left_anti")
+    leaks = keep(find_leaks(docs, benchmark, **limits).select("doc_id", "content").distinct(), "decontam-leaks").alias("leaks")
+    here = docs.alias("docs")
+    return here.join(leaks, F.col("docs.doc_id").eqNullSafe(F.col("leaks.doc_id")) & (F.xxhash64(F.coalesce("docs.text", F.lit(""))) == F.col("leaks.content")), "left_anti")
