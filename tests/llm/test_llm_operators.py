@@ -64,6 +64,36 @@ def test_exact_dedup(spark, awkward, tmp_path):
     assert exact_dedup.dedup_stream(spark, f"{at}-none").count() == 0
 
 
+def test_exact_dedup_goes_on(spark, tmp_path):
+    """A second run reads only new files and knows all texts before; a weak digest puts unlike texts under one key."""
+    at, state = f"file://{tmp_path}/grown", f"file://{tmp_path}/state"
+    r = np.random.default_rng(14)
+    weak = lambda bare: F.unhex(F.substring(F.sha2(bare, 256), 1, 2))
+    every = []
+    for run in range(2):
+        rows = [(100 * run + i, f"text {r.integers(40)}" + " " * int(r.integers(3))) for i in range(60)]
+        every += rows
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.mode("append").parquet(at)
+        groups = collections.defaultdict(list)
+        for i, t in every:
+            groups[t.replace(" ", "")].append((-len(t), i))
+        want = sorted((i, min(groups[t.replace(" ", "")])[1], len(groups[t.replace(" ", "")])) for i, t in every)
+        for digest, folder in ((exact_dedup.sha, state), (weak, f"{state}-weak")):
+            got = exact_dedup.dedup_stream(spark, at, max_batch_bytes=1, state=folder, digest=digest).collect()
+            assert sorted((x.doc_id, x.keep_id, x.group_size) for x in got) == want
+            assert sum(x.kept for x in got) == len(groups)
+
+
+def test_exact_dedup_large_group(spark, tmp_path):
+    """Groups of more than 500 rows are compared with their locator in parts, also where one digest holds unlike texts."""
+    at = f"file://{tmp_path}/large"
+    rows = [(i, "same text" if i % 3 else "other text") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(at)
+    one = lambda bare: F.unhex(F.substring(F.sha2(F.substring(bare, 100, 1), 256), 1, 2))
+    got = exact_dedup.dedup_stream(spark, at, digest=one).collect()
+    assert collections.Counter((x.keep_id, x.group_size) for x in got) == {(0, 500): 500, (1, 1000): 1000}
+
+
 def links(texts, size, percent):
     sets = []
     for x in texts:
@@ -79,8 +109,12 @@ def links(texts, size, percent):
     return sets, root
 
 
-@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80), (1, 50)])
-def test_jaccard_components(spark, size, percent):
+@pytest.mark.parametrize("size,percent,small", [(3, 90, False), (5, 80, True), (1, 50, False), (1, 50, True)])
+def test_jaccard_components(spark, monkeypatch, size, percent, small):
+    """With small limits also: signatures of many sets, several blocks of members, several parts of a pivot, several flushes of a task."""
+    if small:
+        for name, value in (("DIRECT", 2), ("FLUSH", 300), ("BLOCK_MEMBERS", 3), ("PART", 2), ("SLOT", 7), ("BUCKET_CHARS", 500)):
+            monkeypatch.setattr(jaccard_join, name, value)
     r = np.random.default_rng(size)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = [None, "", "one", "one", "two words"]
@@ -146,7 +180,29 @@ def test_signatures_lose_no_pair():
                 b = np.unique(np.concatenate([r.permutation(a)[: len(a) - change], r.integers(0, 2**63, change, dtype=np.uint64) * np.uint64(2)]))
                 shared = len(np.intersect1d(a, b))
                 if 100 * shared >= percent * (len(a) + len(b) - shared):
-                    assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b)))
+                    sign, who = scheme.signatures([a, b])
+                    assert len(np.intersect1d(sign[who == 0], sign[who == 1]))
+
+
+def test_pair_gradient_against_all_sequences():
+    """Expected pairs of labels, the place before the first word among them, are those of all sequences together."""
+    import itertools
+
+    r = np.random.default_rng(8)
+    k, size = 3, (6, 4)
+    e, t = r.normal(size=(sum(size), k)).astype(np.float32), r.normal(size=(k, k)).astype(np.float32)
+    want, first = np.zeros((k, k)), np.array([0, *np.cumsum(size)])
+    for a, b in zip(first[:-1], first[1:]):
+        sums, total = np.zeros((k, k)), 0.0
+        for y in itertools.product(range(k), repeat=b - a + 1):
+            v = np.exp(sum(e[a + i, y[i + 1]] for i in range(b - a)) + sum(t[y[i], y[i + 1]] for i in range(b - a)))
+            total += v
+            for i in range(b - a):
+                sums[y[i], y[i + 1]] += v
+        want += sums / total
+    got = np.zeros((k, k))
+    language_id.marginals(e, first, t, got)
+    assert got == pytest.approx(want, rel=1e-4)
 
 
 def test_marginals_against_all_sequences(monkeypatch):
@@ -250,7 +306,7 @@ def test_each_id_is_scored_once(monkeypatch):
 
 
 def test_each_id_is_learned_once(spark):
-    """Windows hold every id of every text as one target, and each gathered block is in one round."""
+    """Windows hold every id of every text as one target, and each gathered text is in one round."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -266,11 +322,54 @@ def test_each_id_is_learned_once(spark):
     got = collections.Counter()
     for x in rows:
         if x.kind == lm_score._WINDOWS:
-            target = lm_score._numbered(model, x.n, bytes(x.payload))[:, -lm_score.NEW :]
+            target = lm_score._numbered(model, [bytes(x.payload)])[:, -lm_score.NEW :]
             got.update(target[target >= 0].tolist())
     assert got == counts
 
 
+def test_scores_against_plain_attention():
+    """Each id's probability from its window alone, one place at a time, with the whole softmax."""
+    r = np.random.default_rng(21)
+    m = lm_score.Model(r.zipf(1.4, 4000).astype(float))
+    for name in m.p:
+        m.p[name] = m.p[name] + r.normal(size=m.p[name].shape).astype(np.float32) * np.float32(0.1)
+    p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    ids = r.integers(0, 4000, 131)
+    first = np.array([0, 1, 30, 131])
+    want = []
+    for a, b in zip(first[:-1], first[1:]):
+        total = 0.0
+        numbers = m.number[ids[a:b]]
+        for i in range(b - a):
+            start = i // lm_score.NEW * lm_score.NEW + lm_score.NEW - lm_score.WINDOW
+            seen = [lm_score.BEGIN if j < 1 else numbers[j - 1] for j in range(start, i + 1)]
+            x0 = p["embed"][seen] + p["place"][: len(seen)]
+            q = x0[-1] @ p["q"] / np.sqrt(lm_score.DIM)
+            e = np.exp((x0 @ p["k"]) @ q)
+            x1 = x0[-1] + (e / e.sum()) @ (x0 @ p["v"]) @ p["out"]
+            x2 = x1 + np.maximum(x1 @ p["w1"] + p["b1"], 0) @ p["w2"]
+            log_softmax = lambda z: z - np.log(np.exp(z).sum())
+            n = numbers[i]
+            kind = n // lm_score.MEMBERS
+            total += log_softmax(x2 @ p["class_w"] + p["class_b"])[kind]
+            total += m.rare_log[ids[a + i]] if n == lm_score.RARE else log_softmax(x2 @ p["member_w"][kind] + p["member_b"][kind])[n % lm_score.MEMBERS]
+        want.append(total / np.log(10))
+    assert m.scores(ids, first) == pytest.approx(want, rel=1e-4)
+
+
+def test_lm_tail(spark, monkeypatch):
+    """Words outside the table that is sent to all tasks count the same; partitions make no difference."""
+    r = np.random.default_rng(16)
+    rows = [(i, " ".join(r.choice([f"w{k}" for k in range(60)], 30))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = {x.doc_id: x for x in lm_score.score_documents(df).collect()}
+    monkeypatch.setattr(lm_score, "HEAD", 7)
+    for x in lm_score.score_documents(df.repartition(3, "text")).collect():
+        own = whole[x.doc_id]
+        assert (x.n_known, x.n_tokens, x.train_tokens) == (own.n_known, own.n_tokens, own.train_tokens)
+        assert x.base_score == pytest.approx(own.base_score) and x.score == pytest.approx(own.score, rel=1e-4)
+
+
 def test_word_tables():
     r = np.random.default_rng(8)
     texts = [" ".join(f"w{x}" for x in r.zipf(1.2, 400) % 5000) for _ in range(30)]
