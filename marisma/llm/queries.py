@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import bpe_tree, decontam, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, quality_cnn, url_filter, wavelet
+from marisma.llm import bpe_tree, decontam, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, periodic_runs, quality_cnn, url_filter, wavelet
 from marisma.llm.scratch import place
 
 
@@ -62,12 +62,67 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_language_id, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op7_decontam, op8_quality_cnn, op9_wavelet_tokens, op10_url_filter)}
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts, told by their doc_id, repeat a few of their words from some word to the end."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", words.alias("words")).withColumns({"n": F.size("words").cast("long"), "g": F.floor(h / 10), "chosen": h % 10 == 0})
+    a, i = F.col("g") % F.col("n"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    source = lambda k: F.when(k >= F.col("a"), F.col("a") + (k - F.col("a")) % F.col("p")).otherwise(k)
+    # the one-element array binds the words once for all places
+    repeated = F.transform(F.array("words"), lambda w: F.array_join(F.transform(i, lambda k: F.element_at(w, (source(k) + 1).cast("int"))), " "))[0]
+    return docs.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.collapse_runs(_with_repeats(_documents(spark, sf_dir)))
+    longest = F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], F.signum(b["length"] - a["length"]).cast("int")).when(a["start"] != b["start"], F.signum(a["start"] - b["start"]).cast("int")).otherwise(F.signum(a["period"] - b["period"]).cast("int")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    out = out.withColumn("best", F.when(F.size("runs") > 0, longest[0]))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best")["length"] / F.col("best")["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_language_id, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op7_decontam, op8_quality_cnn, op9_wavelet_tokens, op10_url_filter, op13_periodic_runs)}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _crc32(x: str) -> str:
+    """Unsigned crc32 of the ASCII text x, bit by bit."""
+    eight = ", ".join(["0::bigint"] * 8)
+    bits = f"list_reduce(list_prepend(xor(crc, byte), [{eight}]), lambda t, z: case when t & 1 = 1 then xor(t >> 1, 3988292384) else t >> 1 end)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({x}, ''), lambda x: ascii(x)::bigint)), lambda crc, byte: {bits}), 4294967295)"
+
+
 SQL: dict[str, str] = {
+    "op13_periodic_runs": f"""
+with split as (select doc_id, {_WORDS} as w, {_crc32("doc_id::varchar")} as h from documents),
+numbers as (select doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as chosen, case when len(w) > 0 then (h // 10) % len(w) end as a, 3 + (h // 10) % 8 as c from split),
+texts as (select doc_id, n, case when chosen then list_transform(range(n), lambda i: w[case when i >= a then a + (i - a) % (1 + (n - a) // c) else i end + 1]) else w end as w from numbers),
+places as (select doc_id, n, unnest(range(n)) as i, unnest(w) as x from texts),
+equal as (select u.doc_id, u.i, v.i - u.i as q from places u join places v on u.doc_id = v.doc_id and u.x = v.x and v.i > u.i and 4 * (v.i - u.i) <= u.n),
+stretches as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from equal),
+long_ones as (select doc_id, q, min(i) as s, count(*) + q as l from stretches group by doc_id, q, island having count(*) + q >= greatest(6, 4 * q)),
+runs as (select * from long_ones r where not exists (select 1 from long_ones o where o.doc_id = r.doc_id and o.q < r.q and o.s <= r.s and o.s + o.l >= r.s + r.l)),
+ranked as (select *, row_number() over (partition by doc_id order by l desc, s, q) as place from runs),
+told as (select doc_id, count(*)::bigint as n_runs, max(s) filter (where place = 1) as start, max(l) filter (where place = 1) as length, max(q) filter (where place = 1) as period,
+  string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as lines from ranked group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) as i from runs),
+kept as (select p.doc_id, string_agg(p.x, ' ' order by p.i) as left_over from places p anti join gone g on p.doc_id = g.doc_id and p.i = g.i group by p.doc_id)
+select t.doc_id, coalesce(n_runs, 0) as n_runs, start, length, period, (1000 * length) // period as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(left_over, '')) as collapsed_sha256
+from texts t left join told using (doc_id) left join kept using (doc_id)""",
     "op5_jaccard_join": f"""
 with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as w from documents),
 sets as (select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
