@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import bpe_tree, decontam, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, periodic_runs, quality_cnn, url_filter, wavelet
+from marisma.llm import bpe_tree, decontam, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, periodic_runs, quality_cnn, simhash, url_filter, wavelet
 from marisma.llm.scratch import place
 
 
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def _with_repeats(docs: DataFrame) -> DataFrame:
     """doc_id and text; a tenth of the texts, told by their doc_id, repeat a few of their words from some word to the end."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
@@ -90,7 +94,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_language_id, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op7_decontam, op8_quality_cnn, op9_wavelet_tokens, op10_url_filter, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_language_id, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op7_decontam, op8_quality_cnn, op9_wavelet_tokens, op10_url_filter, op12_simhash, op13_periodic_runs)}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
