@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import bpe_tree, decontam, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, periodic_runs, quality_cnn, simhash, url_filter, wavelet
+from marisma.llm import bpe_tree, decontam, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, periodic_runs, prefix_trie, quality_cnn, simhash, url_filter, wavelet
 from marisma.llm.scratch import place
 
 
@@ -62,6 +62,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    trie = prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), c - c % 100, F.crc32(c.cast("string")) % 6)
+    out = trie.nodes.join(prefix_trie.ends_digests(trie.ends), prefix_trie.NODE, "left")
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -94,7 +101,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_language_id, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op7_decontam, op8_quality_cnn, op9_wavelet_tokens, op10_url_filter, op12_simhash, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_language_id, op4_bpe_tree, op5_jaccard_join, op6_exact_dedup, op7_decontam, op8_quality_cnn, op9_wavelet_tokens, op10_url_filter, op11_prefix_trie, op12_simhash, op13_periodic_runs)}
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
@@ -110,6 +117,19 @@ def _crc32(x: str) -> str:
 
 
 SQL: dict[str, str] = {
+    "op11_prefix_trie": f"""
+with turns as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+convs as (select conv_id, list({{'role': role, 'text': text}} order by pos) as own, {_crc32("conv_id::varchar")} % 6 as h from turns group by conv_id),
+rebuilt as (select c.conv_id, list_concat(coalesce(list_slice(b.own, 1, c.h), []), coalesce(list_slice(c.own, c.h + 1, len(c.own)), [])) as said from convs c left join convs b on b.conv_id = c.conv_id - c.conv_id % 100),
+passed as (select conv_id, said, unnest(range(len(said) + 1)) as depth from rebuilt),
+keyed as (select conv_id, depth, list_slice(said, 1, depth) as path, depth = len(said) as ends from passed),
+nodes as (select path, depth, min(conv_id) as conv_id, count(*) as n, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '') as ended,
+  case when depth > 0 then (count(*) - 1) * length(list_last(path).text) else 0 end as saved from keyed group by path, depth),
+families as (select n.*, p.conv_id as parent_conv_id, (select count(*) from nodes k where k.depth = n.depth + 1 and list_slice(k.path, 1, n.depth) = n.path) as n_children
+  from nodes n left join nodes p on p.depth = n.depth - 1 and p.path = list_slice(n.path, 1, n.depth - 1)),
+ups as (select path, n_children, saved, unnest(range(depth + 1)) as up from families),
+sums as (select list_slice(path, 1, up) as path, up as depth, count(*) filter (where n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens from ups group by 1, 2)
+select conv_id, f.depth, parent_conv_id, n as n_convs, n_children, n_leaves, saved_tokens, sha256(ended) as ends_sha256 from families f join sums s on s.depth = f.depth and s.path = f.path""",
     "op13_periodic_runs": f"""
 with split as (select doc_id, {_WORDS} as w, {_crc32("doc_id::varchar")} as h from documents),
 numbers as (select doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as chosen, case when len(w) > 0 then (h // 10) % len(w) end as a, 3 + (h // 10) % 8 as c from split),
