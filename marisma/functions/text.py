@@ -24,6 +24,11 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[\s ]+", " "))
 
 
+def bare(x: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")
+
+
 def strip_html(x: Column) -> Column:
     return collapse(F.regexp_replace(x, "<[^>]+>", " "))
 

@@ -21,14 +21,43 @@ def capped(cards: DataFrame, owner: str, order: str, url: str, most: int = 4, us
     return first.withColumn("turn", turn).where(F.col("turn") <= most).drop("canonical")
 
 
-def review_states(reviews: DataFrame, key: str, order: str, decision: str) -> DataFrame:
-    """The state of each reviewed article after its last decision: key, state, alert.
+# What a decision makes of an article: verdict, risk (none: as it was), rule. The third one leaves the alert open.
+DECISIONS = (("validado", "RESPALDADO", 22, "hitl_validado"), ("descartado", "CONTRADICHO", 82, "hitl_descartado"), ("modificado", "REVISIÓN HUMANA", None, "hitl_modificado"))
+OPEN = "modificado"
 
-    "confirmado" closes as backed, "descartado" as contradicted, "modificado" and anything else stays pending; only pending and contradicted ones keep their alert.
+
+def review_states(articles: DataFrame, reviews: DataFrame, key: str, order: str, label: str, reason: str) -> DataFrame:
+    """Articles (key, verdict, risk) as reviewers leave them: adds status, rule, hitl_label, hitl_reason, decisions and closed.
+
+    Labels count trimmed and in lower case. "validado" and "descartado" close the alert with a verdict and a risk of their own; "modificado" asks for
+    a human verdict and leaves the alert pending and the risk as it is; any other label closes the alert and changes nothing else. So the
+    verdict is that of the last label with one, the risk that of the last closing one, and the alert is pending where the last label left it open. closed counts
+    the decisions that are kept for training. An article without a review keeps all, its status is null.
     """
-    last = reviews.groupBy(key).agg(F.max_by(decision, order).alias("d"), F.count(F.lit(1)).alias("decisions"))
-    state = F.when(F.col("d") == "confirmado", "cerrada").when(F.col("d") == "descartado", "descartada").otherwise("pendiente")
-    return last.select(key, state.alias("state"), (state != "cerrada").alias("alert"), "decisions")
+    rows = reviews.withColumn("_label", F.lower(F.trim(F.coalesce(F.col(label), F.lit("")))))
+    effect = {name: (verdict, risk, rule) for name, verdict, risk, rule in DECISIONS}
+
+    def last(value, labels=None):
+        known = F.lit(True) if labels is None else F.col("_label").isin(*labels)
+        return F.max_by(value, F.when(known, F.col(order)))
+
+    got = rows.groupBy(key).agg(
+        last(F.col("_label")).alias("last"), last(F.struct("_label", F.col(reason).alias("reason")), effect).alias("verdict_of"), last(F.col("_label"), [n for n, e in effect.items() if e[1] is not None]).alias("risk_of"),
+        F.count(F.lit(1)).alias("decisions"), F.count_if(F.col("_label") != OPEN).alias("closed"),
+    )
+
+    def of(x, i, otherwise):
+        for name, e in effect.items():
+            if e[i] is not None:
+                otherwise = F.when(x == name, F.lit(e[i])).otherwise(otherwise)
+        return otherwise
+
+    named = F.col("verdict_of")["_label"]
+    return articles.join(got, key, "left").select(
+        *[c for c in articles.columns if c not in ("verdict", "risk")], of(named, 0, F.col("verdict")).alias("verdict"), of(F.col("risk_of"), 1, F.col("risk")).alias("risk"),
+        F.when(F.col("last") == OPEN, "pending_review").when(F.col("last").isNotNull(), "reviewed").alias("status"), of(named, 2, F.lit(None).cast("string")).alias("rule"), named.alias("hitl_label"), F.col("verdict_of")["reason"].alias("hitl_reason"),
+        F.coalesce("decisions", F.lit(0)).alias("decisions"), F.coalesce("closed", F.lit(0)).alias("closed"),
+    )
 
 
 def running_failures(rows: DataFrame, key: str, order: str, ok: str) -> DataFrame:

@@ -18,8 +18,13 @@ TOPIC = (
     "avian influenza", "classical swine fever", "hpai", "lpai", "animal health", "salud animal", "poultry", "livestock", "veterinary", "aves de corral", "bioseguridad", "epizoot", "new world screwworm", "bird flu", "swine fever",
     "foot and mouth", "aftosa", "rabia", "brucelosis", "tuberculosis bovina",
 )
-WEAK = ("animal", "livestock", "poultry", "veterinary", "zoonos", "outbreak", "brote", "ganado", "aves", "farm", "influenza", "disease", "salud animal", "woah", "oie", "senasica", "fao", "wahis", "epizoot", "herd", "flock", "swine", "avian", "cattle", "pig", "bird flu", "vaccine", "vacuna")
+WEAK = (
+    "animal", "livestock", "poultry", "veterinary", "zoonos", "outbreak", "brote", "ganado", "aves", "farm", "influenza", "disease", "salud animal", "woah", "oie", "senasica", "fao", "wahis", "epizoot", "herd", "flock", "swine", "avian", "cattle", "pig", "bird flu", "vaccine", "vacuna",
+    "cuarentena", "sanidad", "zoosanit", "h5n", "hpai", "screwworm", "barrenador", "porcino", "bovino", "ovino", "caprino", "equino", "pollo", "gallina", "pavo", "cerdo", "bioseguridad", "depopul", "sacrificio", "miasis", "myiasis", "pest", "peste", "corral",
+    "aphis", "usda", "cidrap", "wahid",
+)
 KEEP_KINDS = ("official", "official_international", "veterinary_media", "veterinary", "research", "epidemiological", "genomic", "surveillance")
+KEEP_CATEGORIES = ("official", "veterinary", "surveillance", "research", "epidemiological")
 KEEP_DOMAINS = ("woah.org", "fao.org", "aphis.", "senasica", "cidrap", "poultry", "pigsite")
 
 
@@ -34,21 +39,34 @@ def count(x: Column, terms: Sequence[str]) -> Column:
     return out
 
 
-def judged(rows: DataFrame, body: Column, title: Column, kind: Column, url: Column) -> DataFrame:
+#: An article of a source with assigned diseases that is shorter than this is not thrown away for what it doesn't say.
+SHORT = 80
+
+
+def watched(kind: Column, category: Column, domain: Column, assigned: Column) -> Column:
+    """Whether a source is one of animal health: by its kind, its category, the diseases assigned to it (an array) or its domain."""
+    kind = F.replace(F.lower(F.coalesce(kind, F.lit(""))), F.lit(" "), F.lit("_"))
+    return kind.isin(*KEEP_KINDS) | F.lower(F.coalesce(category, F.lit(""))).isin(*KEEP_CATEGORIES) | (F.coalesce(F.size(assigned), F.lit(0)) > 0) | facts.any_of(F.lower(F.coalesce(domain, F.lit(""))), KEEP_DOMAINS)
+
+
+def judged(rows: DataFrame, body: Column, title: Column, kind: Column, domain: Column, category: Column | None = None, assigned: Column | None = None) -> DataFrame:
     """Adds score (0 to 1), skip, kept (for its source's sake or its own) and bucket (discard, low, analyze, high).
 
     A headline of 20 characters or more that says nothing of the topic is enough to skip, but for sources of animal health; these also keep
-    articles with a weak word.
+    articles with a weak word, and short ones where the source has assigned diseases.
     """
-    watched = kind.isin(*KEEP_KINDS) | facts.any_of(F.lower(F.coalesce(url, F.lit(""))), KEEP_DOMAINS)
+    body, title = (F.coalesce(x, F.lit("")) for x in (body, title))
+    category = F.lit("") if category is None else category
+    assigned = F.array().cast("array<string>") if assigned is None else assigned
     part = lambda n: F.least(F.lit(1.0), n / F.lit(3.0))
     weak = facts.any_word(F.lower(body), WEAK, LETTERS)
-    out = text.once(rows, score=part(count(body, TOPIC)), title_score=part(count(title, TOPIC)), watched=watched, weak=weak)
-    off_topic = (F.length(F.trim(title)) >= 20) & ~F.col("watched") & (F.col("title_score") < THRESHOLD)
-    skip = F.when(off_topic, True).when(F.col("score") >= THRESHOLD, False).when(F.col("watched") & ((F.col("score") > 0) | F.col("weak")), False).otherwise(True)
+    named = (F.size(assigned) > 0) & (F.length(text.bare(body)) < SHORT)
+    out = text.once(rows, score=part(count(body, TOPIC)), title_score=part(count(title, TOPIC)), watched=watched(kind, category, domain, assigned), weak=weak, named=F.coalesce(named, F.lit(False)))
+    off_topic = (F.length(text.bare(title)) >= 20) & ~F.col("watched") & (F.col("title_score") < THRESHOLD)
+    skip = F.when(off_topic, True).when(F.col("score") >= THRESHOLD, False).when(F.col("watched") & ((F.col("score") > 0) | F.col("weak") | F.col("named")), False).otherwise(True)
     out = out.withColumn("skip", skip)
     bucket = F.when(F.col("skip"), "discard").when(F.col("score") < 0.5, "low").when(F.col("score") < 0.8, "analyze").otherwise("high")
-    return out.withColumns({"kept": F.col("watched") & ~F.col("skip"), "bucket": bucket}).drop("title_score", "watched", "weak")
+    return out.withColumns({"kept": F.col("watched") & ~F.col("skip"), "bucket": bucket}).drop("title_score", "watched", "weak", "named")
 
 
 def review_claim(rows: DataFrame, claim: Column, title: Column, verifiable: Column, label: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marisma.functions import facts, text
+from marisma.functions import facts, text, urls
 from marisma.operators import articles as listing
 from marisma.operators import filters, relevance, reviews, stories
 from marisma.plans.kit import collapse_sql
@@ -270,17 +270,37 @@ def review_claim(spark, d):
 _TOPIC = f"({' + '.join(_holds('b', [w], relevance.LETTERS) + '::int' if facts.strict(w) else f'''contains(b, '{w}')::int''' for w in relevance.TOPIC)})"
 _TITLE_TOPIC = _TOPIC.replace("(b,", "(lower(title),")
 _WEAK = f"({' or '.join(_holds('b', [w], relevance.LETTERS) if facts.strict(w) else f'''contains(b, '{w}')''' for w in relevance.WEAK)})"
-_WATCHED = f"(kind in {relevance.KEEP_KINDS} or {_any('lower(url)', relevance.KEEP_DOMAINS)})"
-_RELEVANCE = f"""(select *, case when length(trim(title)) >= 20 and not watched and least(1.0, th / 3.0) < 0.15 then true when score >= 0.15 then false when watched and (score > 0 or weak) then false else true end as skip from (
- select *, least(1.0, h / 3.0)::double as score from (select *, {_TOPIC} as h, {_TITLE_TOPIC} as th, {_WEAK} as weak, {_WATCHED} as watched from (select *, lower(title || ' ' || text) as b from {ARTICLES}))))"""
+_HOST = "regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"
+CATEGORIES = ("general", "Veterinary", "news", "surveillance")
+_CATEGORY = f"({_sql_list(CATEGORIES)})[doc_id // 5 % 4 + 1]"
+_ASSIGNED = "doc_id % 11 = 0"
+_WATCHED = f"(replace(lower(kind), ' ', '_') in {relevance.KEEP_KINDS} or lower({_CATEGORY}) in {relevance.KEEP_CATEGORIES} or {_ASSIGNED} or {_any(_HOST, relevance.KEEP_DOMAINS)})"
+_SKIP = "case when length(trim(title)) >= 20 and not watched and least(1.0, th / 3.0) < 0.15 then true when score >= 0.15 then false when watched and (score > 0 or weak or named) then false else true end"
+_RELEVANCE = f"""(select *, {_SKIP} as skip from (select *, least(1.0, h / 3.0)::double as score, false as named from (select *, {_TOPIC} as h, {_TITLE_TOPIC} as th, {_WEAK} as weak, {_WATCHED} as watched from (select *, lower(title || ' ' || text) as b from {ARTICLES}))))"""
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Articles with the relevance that their text, kind, host, and their source's category and diseases give them."""
+    assigned = F.when(F.col("doc_id") % 11 == 0, F.array(F.lit("gripe_aviar")))
+    return relevance.judged(rows, F.concat_ws(" ", "title", "text"), F.col("title"), F.col("kind"), urls.host(F.col("url")), _pick(CATEGORIES, "doc_id div 5 % 4"), assigned)
 
 
 @query(f"""select doc_id, score, skip, watched and not skip as kept, case when skip then 'discard' when score < 0.5 then 'low' when score < 0.8 then 'analyze' else 'high' end as bucket, array_to_string(list_sort({_named('b', _IDS)}), '|') as diseases from {_RELEVANCE}""")
 def relevance_rules(spark, d):
-    a = relevance.judged(articles(spark, d), F.concat_ws(" ", "title", "text"), F.col("title"), F.col("kind"), F.col("url"))
+    a = judged(articles(spark, d))
     return a.select("doc_id", "score", "skip", "kept", "bucket", F.array_join(F.array_sort(facts.canonical(F.lower(F.concat_ws(" ", "title", "text")), _IDS)), "|").alias("diseases"))
 
 
+@query(f"""select doc_id, score, {_SKIP} as skip, watched from (select *, least(1.0, h / 3.0)::double as score from (select *, '' as title, 0 as th, {_TOPIC} as h, {_WEAK} as weak, source in ('src0', 'src3') or assigned as watched, assigned and length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 80 as named
+ from (select *, lower(coalesce(text, '')) as b, doc_id % 2 = 0 as assigned from documents)))""")
+def relevance_sources(spark, d):
+    """Whole texts of documents as they are: some sources are official, every second one has a disease assigned, so that short texts stay."""
+    kind = F.when(F.col("source").isin("src0", "src3"), "Official International")
+    assigned = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("gripe_aviar")))
+    rows = relevance.judged(table(spark, d, "documents"), F.col("text"), F.lit(""), kind, F.lit(""), None, assigned)
+    return rows.select("doc_id", "score", "skip", F.coalesce(relevance.watched(kind, F.lit(""), F.lit(""), assigned), F.lit(False)).alias("watched"))
+
+
 _ORIGIN = """case when contains(lower(url), 'youtube') or contains(lower(url), 'youtu.be') then 'youtube' when regexp_matches(lower(url), 'openalex\\.org|pubmed|doi\\.org') or regexp_matches(l, 'pubmed|openalex') then 'cientifico'
  when regexp_matches(lower(url), 'woah\\.org|oie\\.int|senasica|gob\\.mx|fao\\.org|who\\.int|cdc\\.gov|usda\\.gov') or regexp_matches(l, 'senasica|official portal') or contains(t, 'oficial') then 'oficial'
  when regexp_matches(lower(url), 'twitter\\.com|x\\.com|facebook\\.com|linkedin\\.com|reddit\\.com') or regexp_matches(t, 'social|twitter|linkedin|facebook') then 'social' else 'prensa' end"""
@@ -297,9 +317,10 @@ _PARAMETERS = {
 _OPEN = "(raw_format in ('fixture', 'corpus') or not skip)"
 
 
-def _listed(spark, d):
+def _listed(spark, d, shown=True):
+    """Articles with diseases and origin; judged only where it matters which are shown."""
     a = articles(spark, d).withColumn("diseases", facts.canonical(F.lower(F.concat_ws(" ", "title", "text")), _IDS))
-    return listing.prepared(relevance.judged(a, F.concat_ws(" ", "title", "text"), F.col("title"), F.col("kind"), F.col("url")))
+    return listing.prepared(judged(a) if shown else a)
 
 
 @query(" union all ".join(f"select '{k}' as filter, count(*)::bigint as n, coalesce(sum(doc_id), 0)::bigint as ids from {_LISTED} where {_OPEN} and {c}" for k, c in _CONDITIONS.items()))
@@ -326,7 +347,7 @@ c as (select 'verdict' as facet, verdict_key as key, count(*) as n from f group
 w as (select 'verdict' as facet, unnest({_sql_list(_KEYS)}) as key union all select 'origin', unnest(['youtube', 'cientifico', 'oficial', 'social', 'prensa']) union all select 'disease', unnest({_sql_list([*_IDS, 'otras'])}))
 select facet, key, coalesce(n, 0)::bigint as n from w left join c using (facet, key)""")
 def chart_facets(spark, d):
-    rows = _listed(spark, d).withColumn("verdict_key", filters.verdict_key(F.col("verdict")))
+    rows = _listed(spark, d, shown=False).withColumn("verdict_key", filters.verdict_key(F.col("verdict")))
     return listing.facets(rows, {"verdict": (F.array("verdict_key"), _KEYS), "origin": (F.array("origin"), filters.ORIGINS), "disease": (F.when(F.size("diseases") > 0, F.col("diseases")).otherwise(F.array(F.lit("otras"))), (*_IDS, "otras"))})
 
 
@@ -341,7 +362,7 @@ def chart_daily(spark, d):
 c as (select country, dis, count(*) as k from (select country, unnest(ds) as dis from a) group by 1, 2)
 select country, n::bigint as n, alerts::bigint as alerts, strftime(first_seen, '%Y-%m-%d') as first_seen, round(sqrt(n::double / max(n) over ()), 4) as radius, (select string_agg(dis || ':' || k, '|' order by k desc, dis) from c where c.country = n.country) as diseases from n""")
 def geo_table(spark, d):
-    return listing.by_country(_listed(spark, d).where("country not in ('', 'XX')"), "country", "day", "risk", "diseases")
+    return listing.by_country(_listed(spark, d, shown=False).where("country not in ('', 'XX')"), "country", "day", "risk", "diseases")
 
 
 @query(f"""select 'articles' as what, count(*)::bigint as n from {ARTICLES} union all select 'alerts', count(*)::bigint from {ARTICLES} where risk >= 55 or lower(verdict) in ('contradicho', 'engañoso', 'revisión humana') union all select 'unverified', count(*)::bigint from {ARTICLES} where nli in ('Unknown', '')

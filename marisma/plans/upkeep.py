@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marisma.functions import facts, upkeep
 from marisma.operators import cards, graph, relations, relevance
-from marisma.plans.articles import _IDS, _RELEVANCE, ARTICLES, _any, _named, _sql_list, articles
+from marisma.plans.articles import _HOST, _IDS, _RELEVANCE, ARTICLES, _any, _named, _sql_list, articles, judged
 from marisma.sinks import tables
 from marisma.sources.tables import table
 
@@ -23,7 +23,6 @@ def query(sql: str | None = None):
     return add
 
 
-_HOST = "regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"
 
 
 @query("""with old as (select doc_id % 40 as owner, doc_id as member from documents), new as (select doc_id % 40 as owner, doc_id + 1 as member from documents where doc_id % 40 < 10 and doc_id % 3 = 0)
@@ -44,12 +43,22 @@ def translation_upsert(spark, d):
     return out.select("text_hash", F.sha2("source_text", 256).alias("source_sha256"), "translated", "provider", "created_at")
 
 
-@query("""with l as (select user_id, max_by(case value::bigint % 3 when 0 then 'confirmado' when 1 then 'descartado' else 'modificado' end, event_id) as d, count(*) as n from events group by user_id)
-select user_id, case d when 'confirmado' then 'cerrada' when 'descartado' then 'descartada' else 'pendiente' end as state, d <> 'confirmado' as alert, n::bigint as decisions from l""")
+_LABEL = "case floor(value)::bigint % 5 when 0 then ' Validado ' when 1 then 'descartado' when 2 then 'MODIFICADO' when 3 then 'otro' end"
+
+
+@query(f"""with r as (select user_id, event_id, lower(trim(coalesce({_LABEL}, ''))) as l, event_type as why from events where event_type <> 'view'),
+a as (select user_id, 'Insuficiente' as verdict, count(*)::bigint as risk from events group by user_id),
+g as (select user_id, max_by(l, event_id) as last, max_by(l, event_id) filter (where l in ('validado', 'descartado', 'modificado')) as v, max_by(why, event_id) filter (where l in ('validado', 'descartado', 'modificado')) as why,
+  max_by(l, event_id) filter (where l in ('validado', 'descartado')) as r, count(*) as decisions, count(*) filter (where l <> 'modificado') as closed from r group by user_id)
+select user_id, case v when 'validado' then 'RESPALDADO' when 'descartado' then 'CONTRADICHO' when 'modificado' then 'REVISIÓN HUMANA' else verdict end as verdict,
+  case r when 'validado' then 22 when 'descartado' then 82 else risk end as risk, case when last = 'modificado' then 'pending_review' when last is not null then 'reviewed' end as status, 'hitl_' || v as rule, v as hitl_label, why as hitl_reason,
+  coalesce(decisions, 0)::bigint as decisions, coalesce(closed, 0)::bigint as closed from a left join g using (user_id)""")
 def review_states(spark, d):
-    e = table(spark, d, "events").withColumn("n", F.round("value").cast("bigint") % 3)
-    e = e.withColumn("decision", F.when(F.col("n") == 0, "confirmado").when(F.col("n") == 1, "descartado").otherwise("modificado"))
-    return cards.review_states(e, "user_id", "event_id", "decision")
+    e = table(spark, d, "events")
+    n = F.floor("value") % 5
+    label = F.when(n == 0, " Validado ").when(n == 1, "descartado").when(n == 2, "MODIFICADO").when(n == 3, "otro")
+    articles = e.groupBy("user_id").agg(F.lit("Insuficiente").alias("verdict"), F.count(F.lit(1)).alias("risk"))
+    return cards.review_states(articles, e.where("event_type <> 'view'").withColumn("label", label), "user_id", "event_id", "label", "event_type")
 
 
 @query("""with g as (select user_id, event_id, event_type = 'purchase' as ok, sum((event_type = 'purchase')::int) over (partition by user_id order by event_id) as good from events)
@@ -208,7 +217,7 @@ def entity_gazetteer(spark, d):
 
 @query(f"select doc_id, skip as skipped from {_RELEVANCE}")
 def relevance_gate(spark, d):
-    return relevance.judged(articles(spark, d), F.concat_ws(" ", "title", "text"), F.col("title"), F.col("kind"), F.col("url")).select("doc_id", F.col("skip").alias("skipped"))
+    return judged(articles(spark, d)).select("doc_id", F.col("skip").alias("skipped"))
 
 
 @query("select a.vec_id as query, b.vec_id as match, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as cosine from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0 and round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= 0.35")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marisma.plans import analysis, articles, events, relations, storage, texts, upkeep, verify, web
+from marisma.plans import analysis, articles, events, places, relations, storage, texts, upkeep, verify, web
 
-_ALL = (texts, events, verify, relations, web, storage, analysis, articles, upkeep)
+_ALL = (texts, events, verify, relations, web, storage, analysis, articles, upkeep, places)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
