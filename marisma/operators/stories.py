@@ -7,8 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marisma.operators import facets, relations
+
 #: Countries that stand for none.
 NOWHERE = ("", "XX", "INT")
+#: Lists of untagged articles, and of all of them.
+NONE, ALL = "-", "*"
 
 
 def narrative(labels: Column, structures: Column, hidden: Column) -> Column:
@@ -47,20 +51,23 @@ def matches(rows: DataFrame, key: str, specs: Mapping[str, tuple[Sequence[str],
 
 def peers(anchors: DataFrame, rows: DataFrame, key: str, country: str, tags: str, day: str, days: int = 7, most: int = 24) -> DataFrame:
     """Articles near each anchor: of its country (any, where it has none), with one of its tags if both have tags, within some days if both
-    have one; newest first, at most `most`.
+    have one; newest first, undated ones last, at most `most`.
 
-    Country and week are joined by equality: an anchor looks into its week and the two beside it, one without a country into a copy
-    of all rows. Undated rows meet anchors by country alone.
+    Rows are listed for each country and for all, by each tag, as untagged and for all tags; an anchor looks into the lists that hold its like and takes the
+    newest of each (relations.newest), an undated one the newest of all. Of the undated rows of a list only the first can count and are joined.
     """
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("bigint")
+    tag = lambda missing, rest: F.when(F.size(tags) > 0, F.array_union(F.col(tags), F.array(*[F.lit(x) for x in rest]))).otherwise(F.array(*[F.lit(x) for x in missing]))
     known = ~F.upper(F.coalesce(country, F.lit(""))).isin(*NOWHERE)
-    week = F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / days)
-    a = anchors.select(F.col(key).alias("anchor"), F.when(known, F.upper(country)).otherwise("*").alias("c"), F.col(tags).alias("x"), F.col(day).alias("at"), week.alias("w"))
-    b = rows.select(F.col(key).alias("peer"), F.explode(F.array(F.upper(F.coalesce(country, F.lit(""))), F.lit("*"))).alias("c"), F.col(tags).alias("y"), F.col(day).alias("when"), week.alias("w"))
-    dated = a.where("at is not null").withColumn("w", F.explode(F.sequence(F.col("w") - 1, F.col("w") + 1))).join(b.where("when is not null"), ["c", "w"]).where(F.abs(F.datediff("when", "at")) <= days).drop("w")
-    undated = a.drop("w").join(b.drop("w"), "c").where("at is null or when is null")
-    near = dated.select("anchor", "peer", "x", "y", "when").union(undated.select("anchor", "peer", "x", "y", "when"))
-    near = near.where((F.col("anchor") != F.col("peer")) & ((F.size("x") == 0) | (F.size("y") == 0) | F.arrays_overlap("x", "y")))
-    turn = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc_nulls_last("when"), "peer"))
+    named = lambda c, t: F.concat_ws("\x1f", c, t)
+    a = anchors.select(F.col(key).alias("anchor"), F.when(known, F.upper(country)).otherwise("*").alias("c"), number.alias("at"), F.explode(tag([ALL], [NONE])).alias("tag"))
+    a = a.select("anchor", named("c", "tag").alias("g"), F.coalesce(F.col("at") - days, F.lit(-(1 << 40))).alias("since"), F.coalesce(F.col("at") + days, F.lit(1 << 40)).alias("until"))
+    b = rows.select(F.col(key).alias("peer"), number.alias("t"), F.explode(F.array_distinct(F.array(F.upper(F.coalesce(country, F.lit(""))), F.lit("*")))).alias("c"), tag([NONE, ALL], [ALL]).alias("tags"))
+    b = b.select("peer", "t", "c", F.explode("tags").alias("tag")).select(named("c", "tag").alias("g"), "t", "peer")
+    dated = relations.newest(a, b.where("t is not null"), most, 1)
+    undated = facets.top_per_group(b.where("t is null"), ["g"], [F.col("peer")], most + 1).select("g", "peer", "t")
+    near = dated.union(a.select("anchor", "g").join(undated, "g").where("anchor <> peer").select("anchor", "peer", "t")).distinct()
+    turn = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc_nulls_last("t"), "peer"))
     return near.withColumn("turn", turn).where(F.col("turn") <= most).select("anchor", "peer", "turn")
 
 
