@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from marisma.session import own_folder
+from marisma.streaming import folders
 
 
 def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -24,22 +25,28 @@ def tumbling_counts(events: DataFrame, ts: str, width: str, late: str, by: str)
 
 
 def dedup_batches(rows: DataFrame, key: str, order: str, target: str, checkpoint: str) -> None:
-    """Append rows with keys that the target lacks, the first of each batch; memory is the target itself and never expires."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        try:
-            known = spark.read.parquet(target).select(key)
-            first = first.join(known, key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        first.write.mode("append").parquet(target)
+    """Append rows with keys that the target lacks, the first of each batch; memory is the keys of the target itself and never expires.
+
+    A batch is a folder of the target (folders.read), so one that is repeated after a failure replaces itself, rows with a null key, which are none, included.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = folders.read(batch.sparkSession, target, batch.schema, number).select(key)
+        first = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        folders.write(first.join(known, key, "left_anti").select(*batch.columns).unionByName(batch.where(F.col(key).isNull())), target, number)
 
     rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
+def peer_batches(anchors: DataFrame, near: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> None:
+    """The peers of anchors that come as a stream, among rows that are at rest: near gets each batch of anchors (relations.peers or stories.peers with the rows), its result is a folder of the target."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        folders.write(near(batch), target, number)
+
+    anchors.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
 def run_to_files(result: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Run a stream of one aggregate by keys over all that is there and return its result; no row of it comes to the driver.
 
