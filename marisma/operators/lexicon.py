@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,32 @@ def term_cloud(found: DataFrame, k: int) -> DataFrame:
     return found.select(F.explode("hits.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(k)
 
 
+def first_inserted(found: DataFrame, key: str, label: str = "term") -> DataFrame:
+    """label, n, first: how often each term or category of the hits stands, and where it does first (document, sentence, place among its hits), both in one aggregate that is combined before the exchange."""
+    cells = found.select(key, "pos", F.posexplode(f"hits.{label}").alias("i", label))
+    return cells.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos", "i")).alias("first"))
+
+
+def most_common(counts: DataFrame, k: int | None = None) -> DataFrame:
+    """Rows of first_inserted() by count, of equal ones the one that came first."""
+    out = counts.orderBy(F.desc("n"), "first")
+    return out if k is None else out.limit(k)
+
+
+def structures(found: DataFrame, key: str, specs: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
+    """label, n, first: sentences that have all categories of a structure and, where it names any, one of its words (categories, words)."""
+    low = text.fold_accents(F.col("sentence"))
+    own = F.transform("hits", lambda h: h["category"])
+    tests = []
+    for label, (need, words) in specs.items():
+        fits = F.size(F.array_except(F.array(*[F.lit(c) for c in need]), own)) == 0
+        if words:
+            fits = fits & low.rlike("|".join(text.quoted(w) for w in words))
+        tests.append(F.when(fits, label))
+    cells = found.select(key, "pos", F.posexplode(F.array_compact(F.array(*tests))).alias("i", "label"))
+    return cells.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "pos", "i")).alias("first"))
+
+
 def overlay(defaults: DataFrame, edited: DataFrame) -> DataFrame:
     """Active edited terms with their weight held in 1 to 5; the defaults where a category has no active one."""
     active = edited.where("active = 1").select("term", "category", F.least(F.greatest("weight", F.lit(1)), F.lit(5)).alias("weight"))

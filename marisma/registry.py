@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marisma.plans import analysis, articles, events, jsons, places, relations, storage, surveillance, texts, upkeep, verify, web
+from marisma.plans import analysis, articles, catalog, events, jsons, places, relations, storage, surveillance, texts, upkeep, verify, web
 
-_ALL = (texts, events, verify, relations, web, storage, analysis, articles, upkeep, places, surveillance, jsons)
+_ALL = (texts, events, verify, relations, web, storage, analysis, articles, upkeep, places, surveillance, jsons, catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

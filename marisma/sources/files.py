@@ -66,3 +66,35 @@ def grey_hash(content: Column) -> Column:
         return out
 
     return hashes(content)
+
+
+def cosines(n: int) -> np.ndarray:
+    """The matrix of the orthonormal DCT-II of n values."""
+    k, i = np.mgrid[:n, :n]
+    out = np.cos((2 * i + 1) * k * np.pi / (2 * n)) * np.sqrt(2 / n)
+    out[0] /= np.sqrt(2)
+    return out
+
+
+def wave_hashes(pixels: np.ndarray, size: int = 16) -> list[str]:
+    """Perceptual hashes of grey pictures (pictures, 2 * size, 2 * size): which of the lowest size by size frequencies of their DCT-II are above their median, row by row; the mean brightness counts as the median."""
+    c = cosines(2 * size)
+    low = (c @ pixels @ c.T)[:, :size, :size].reshape(len(pixels), -1).copy()
+    low[:, 0] = np.median(low, axis=1)
+    return [x.tobytes().hex() for x in np.packbits(low > np.median(low, axis=1, keepdims=True), axis=1)]
+
+
+def wave_hash(content: Column, size: int = 16) -> Column:
+    """Perceptual hash of raw grey pictures of (2 * size) ** 2 bytes, size ** 2 / 4 hex digits; null for any other length."""
+    side = 2 * size
+
+    @F.pandas_udf("string")
+    def hashes(x: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(x), index=x.index, dtype=object)
+        some = x[x.str.len() == side * side]
+        for i in range(0, len(some), 4096):
+            part = some.iloc[i : i + 4096]
+            out[part.index] = wave_hashes(np.frombuffer(b"".join(part), np.uint8).reshape(-1, side, side).astype(np.float64), size)
+        return out
+
+    return hashes(content)
