@@ -12,7 +12,7 @@ from marisma.functions import hashing, text
 
 def claims(docs: DataFrame, key: str, column: str = "text", shortest: int = 20, most: int = 8) -> DataFrame:
     """Distinct sentences of `shortest` characters or more that end with . ! or ?, the first `most` of each row: key, pos, claim, claim_id."""
-    found = F.transform(F.regexp_extract_all(F.col(column), F.lit(r"([^.!?]*[.!?])"), 1), lambda s: F.trim(s))
+    found = text.ended(F.col(column))
     kept = F.slice(F.array_distinct(F.filter(found, lambda s: F.length(s) >= shortest)), 1, most)
     rows = docs.select(key, F.posexplode(kept).alias("pos", "claim"))
     return rows.withColumn("claim_id", F.substring(hashing.sha(F.substring("claim", 1, 200)), 1, 32))

@@ -19,8 +19,8 @@ def claims(docs: DataFrame, key: str, body: Column, diseases: Column, bodies: Ma
     kind = F.lit(None).cast("int")
     for i, pattern in reversed(list(enumerate(facts.CLAIM_KINDS.values()))):
         kind = F.when(F.lower("s").rlike(pattern), i).otherwise(kind)
-    found = rows.select(key, "diseases", F.posexplode_outer(F.regexp_extract_all("body", F.lit(r"([^.!?]*[.!?])"), 1)).alias("pos", "s"))
-    found = text.once(found.select(key, "diseases", "pos", F.trim("s").alias("s")), kind=kind).where((F.length("s") >= shortest) & F.col("kind").isNotNull())
+    found = rows.select(key, "diseases", F.posexplode_outer(text.ended(F.col("body"))).alias("pos", "s"))
+    found = text.once(found, kind=kind).where((F.length("s") >= shortest) & F.col("kind").isNotNull())
     # a sentence that stands twice counts where it stands first
     found = found.groupBy(key, F.col("s").alias("claim")).agg(F.min(F.struct("kind", "pos")).alias("at"), F.any_value("diseases").alias("diseases"))
     found = found.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("at"))).where(F.col("turn") <= most)
