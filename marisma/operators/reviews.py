@@ -42,22 +42,39 @@ def claims(docs: DataFrame, key: str, body: Column, diseases: Column, bodies: Ma
     )
 
 
+#: What a claim and a sentence may share, under one tree of terms; the first letter tells the kind.
+_SHARED = {f"{kind}:{name}": needles for kind, named in (("d", facts.DISEASES), ("p", facts.PLACES), ("a", facts.ANIMALS)) for name, needles in named.items()}
+
+
 def paragraphs(rows: DataFrame, keys: Sequence[str], claim: str, body: str, shortest: int = 40, most: int = 700) -> DataFrame:
     """For each row the one or two sentences of body that share most facts with claim, the first of equals: keys, paragraph, score. Rows without any are left out.
 
     A shared disease counts 2, place and animal 3, novelty 2; two tokens that are no disease's must be shared, or a score of 3 be reached.
+
+    Each sentence is read once: what it shares with the claim is an array, and a window is the union of two neighbours, since no term reaches beyond the end of a
+    sentence. All windows of a row are weighed inside it, so nothing is exchanged and no row is copied for a sentence.
     """
-    rows = text.once(rows.select(*keys, claim, body), f=facts.extract(F.col(claim)), own=text.tokens(F.coalesce(F.col(claim), F.lit("")), facts.STOP), flat=text.collapse(F.coalesce(F.col(body), F.lit(""))))
+    low = F.lower(F.coalesce(F.col(claim), F.lit("")))
+    rows = text.once(rows.select(*keys, claim, body), names=facts.canonical(F.regexp_replace(low, r"\s+", " "), _SHARED), new=facts.any_of(F.regexp_replace(low, r"\s+", " "), facts.NOVELTY), own=text.tokens(low, (*facts.STOP, *facts.ANCHORS)), flat=text.collapse(F.coalesce(F.col(body), F.lit(""))))
     cut = F.filter(F.transform(F.split("flat", r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: (F.length(s) >= shortest) & facts.usable(s))
-    parts = text.once(rows.where(F.length("flat") >= shortest), parts=cut).select(*keys, "f", "own", "parts", F.posexplode_outer("parts").alias("pos", "s"))
-    window = F.trim(F.concat_ws(" ", "s", F.try_element_at("parts", F.col("pos") + 2)))
-    parts = parts.where("s is not null").select(*keys, "f", "own", "pos", window.alias("w")).where(facts.usable(F.col("w")))
-    parts = text.once(parts, g=facts.extract(F.col("w")), shared=F.array_except(F.array_intersect("own", text.tokens(F.col("w"), facts.STOP)), F.array(*[F.lit(a) for a in facts.ANCHORS])))
-    n = {k: F.size(F.array_intersect(F.col("f")[k], F.col("g")[k])) for k in ("diseases", "places", "animals")}
-    score = 2 * n["diseases"] + 3 * n["places"] + 3 * n["animals"] + F.when(F.col("f.novelty") & F.col("g.novelty"), 2).otherwise(0)
-    parts = text.once(parts, score=score).where((F.col("score") > 0) & ((F.size("shared") >= 2) | (F.col("score") >= 3)))
-    best = parts.groupBy(*keys).agg(F.min_by(F.struct(F.substring("w", 1, most).alias("paragraph"), "score"), F.struct(-F.col("score"), "pos")).alias("b"))
-    return best.select(*keys, "b.paragraph", "b.score")
+    rows = text.once(rows.where(F.length("flat") >= shortest), parts=cut)
+
+    def cell(s: Column) -> Column:
+        return F.struct(F.array_intersect("names", facts.canonical(F.lower(s), _SHARED)).alias("names"), (F.col("new") & facts.any_of(F.lower(s), facts.NOVELTY)).alias("new"), F.array_intersect("own", text.tokens(s)).alias("own"))
+
+    rows = text.once(rows, cells=F.transform("parts", cell))
+    nothing = F.struct(F.array().cast("array<string>").alias("names"), F.lit(False).alias("new"), F.array().cast("array<string>").alias("own"))
+    after = F.concat(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), F.array(nothing))
+
+    def weigh(a: Column, b: Column) -> Column:
+        both = F.array_union(a["names"], b["names"])
+        score = 2 * F.size(F.filter(both, lambda n: n.startswith("d:"))) + 3 * F.size(F.filter(both, lambda n: ~n.startswith("d:"))) + F.when(a["new"] | b["new"], 2).otherwise(0)
+        return F.struct(score.alias("score"), F.size(F.array_union(a["own"], b["own"])).alias("shared"))
+
+    windows = F.filter(F.transform(F.zip_with("cells", after, weigh), lambda w, i: F.struct(w["score"].alias("score"), (-i).alias("m"), w["shared"].alias("shared"))), lambda w: (w["score"] > 0) & ((w["shared"] >= 2) | (w["score"] >= 3)))
+    best = text.once(rows.where(F.size("cells") > 0), b=F.array_max(windows)).where("b is not null")
+    window = F.trim(F.concat_ws(" ", F.get("parts", -F.col("b.m")), F.get("parts", 1 - F.col("b.m"))))
+    return best.select(*keys, F.substring(window, 1, most).alias("paragraph"), F.col("b.score").alias("score"))
 
 
 def contrast(claims: DataFrame, evidence: DataFrame, peers: DataFrame, key: str, most_peers: int = 6) -> DataFrame:
