@@ -1,6 +1,6 @@
 """Queries over articles: facts, claims, stance, contrast, relevance, listings, charts, places, narratives.
 
-The tables hold invented prose, so articles are the documents with a headline, sentences, an address and the like added by doc_id.
+The tables hold invented prose, so articles are the documents with the beginning of a headline, some sentences and an address added; which ones is told by the text.
 """
 
 from __future__ import annotations
@@ -81,19 +81,20 @@ def _pick(values, i: str):
 
 
 def articles(spark, d) -> DataFrame:
-    rows = table(spark, d, "documents")
+    """Documents as articles: what a headline, snippet or address begins with is told by the length of the text (k), the rest of each is the text itself."""
+    rows = table(spark, d, "documents").withColumns({"k": F.coalesce("n_chars", F.lit(0)), "own": F.translate(F.coalesce("text", F.lit("")), "\n\t", "  ")})
     return rows.select(
-        "doc_id", _pick(TITLES, "doc_id % 14").alias("title"), F.concat_ws(" ", _pick(LINES, "doc_id % 16"), _pick(LINES, "(doc_id * 7 + 3) % 16"), "text").alias("text"),
-        _pick(LINES, "(doc_id * 5 + 1) % 16").alias("snippet"), F.concat(_pick(PLACES_OF, "doc_id % 8"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("source_id"), _pick(KINDS, "doc_id % 5").alias("kind"),
-        _pick(FORMATS, "doc_id div 3 % 4").alias("raw_format"), F.when(F.col("doc_id") % 9 != 0, F.col("doc_id") * 37 % 101).alias("risk"), _pick(VERDICTS, "doc_id % 7").alias("verdict"), _pick(LABELS, "doc_id div 2 % 4").alias("nli"),
-        _pick(COUNTRIES, "doc_id % 6").alias("country"), F.expr("date_add(date'2026-01-01', cast(doc_id * 13 % 120 as int))").alias("day"),
+        "doc_id", F.concat_ws(" ", _pick(TITLES, "k % 14"), F.substring("own", 1, 24)).alias("title"), F.concat_ws(" ", _pick(LINES, "k % 16"), _pick(LINES, "(k * 7 + 3) % 16"), "text").alias("text"),
+        F.concat_ws(" ", _pick(LINES, "(k * 5 + 1) % 16"), F.substring("own", 25, 40)).alias("snippet"), F.concat(_pick(PLACES_OF, "k % 8"), F.substring(F.sha2("own", 256), 1, 12)).alias("url"), F.col("source").alias("source_id"), _pick(KINDS, "k % 5").alias("kind"),
+        _pick(FORMATS, "k div 3 % 4").alias("raw_format"), F.when(F.col("k") % 9 != 0, F.col("k") * 37 % 101).alias("risk"), _pick(VERDICTS, "k % 7").alias("verdict"), _pick(LABELS, "k div 2 % 4").alias("nli"),
+        _pick(COUNTRIES, "k % 6").alias("country"), F.expr("date_add(date'2026-01-01', cast(k * 13 % 120 as int))").alias("day"),
     )
 
 
-ARTICLES = f"""(select doc_id, ({_sql_list(TITLES)})[doc_id % 14 + 1] as title, concat_ws(' ', ({_sql_list(LINES)})[doc_id % 16 + 1], ({_sql_list(LINES)})[(doc_id * 7 + 3) % 16 + 1], text) as text,
- ({_sql_list(LINES)})[(doc_id * 5 + 1) % 16 + 1] as snippet, ({_sql_list(PLACES_OF)})[doc_id % 8 + 1] || doc_id as url, source as source_id, ({_sql_list(KINDS)})[doc_id % 5 + 1] as kind, ({_sql_list(FORMATS)})[doc_id // 3 % 4 + 1] as raw_format,
- case when doc_id % 9 <> 0 then doc_id * 37 % 101 end as risk, ({_sql_list(VERDICTS)})[doc_id % 7 + 1] as verdict, ({_sql_list(LABELS)})[doc_id // 2 % 4 + 1] as nli, ({_sql_list(COUNTRIES)})[doc_id % 6 + 1] as country,
- date '2026-01-01' + (doc_id * 13 % 120)::int as day from documents)"""
+ARTICLES = f"""(select doc_id, ({_sql_list(TITLES)})[k % 14 + 1] || ' ' || substr(own, 1, 24) as title, concat_ws(' ', ({_sql_list(LINES)})[k % 16 + 1], ({_sql_list(LINES)})[(k * 7 + 3) % 16 + 1], text) as text,
+ ({_sql_list(LINES)})[(k * 5 + 1) % 16 + 1] || ' ' || substr(own, 25, 40) as snippet, ({_sql_list(PLACES_OF)})[k % 8 + 1] || left(sha256(own), 12) as url, source as source_id, ({_sql_list(KINDS)})[k % 5 + 1] as kind, ({_sql_list(FORMATS)})[k // 3 % 4 + 1] as raw_format,
+ case when k % 9 <> 0 then k * 37 % 101 end as risk, ({_sql_list(VERDICTS)})[k % 7 + 1] as verdict, ({_sql_list(LABELS)})[k // 2 % 4 + 1] as nli, ({_sql_list(COUNTRIES)})[k % 6 + 1] as country,
+ date '2026-01-01' + (k * 13 % 120)::int as day from (select *, coalesce(n_chars, 0) as k, translate(coalesce(text, ''), chr(10) || chr(9), '  ') as own from documents))"""
 
 
 # SQL pieces
