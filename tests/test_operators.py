@@ -166,12 +166,22 @@ def test_first_and_insert_on_ties(spark):
     assert sorted((r.k or 0, r.v) for r in dedup.first_seen(new, "k", "o").collect()) == [(0, "c"), (0, "d"), (1, "a"), (2, "e")]
 
 
-def test_long_cascade(spark):
+def test_long_cascade(spark, monkeypatch):
     """Each row shares a key with the one before it and one with the next."""
     from marisma.operators import dedup
 
-    rows = spark.createDataFrame([(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(30)], "o int, x string, y string")
-    assert sorted(r.o for r in dedup.cascade(rows, ["x", "y"], "o").collect()) == list(range(0, 30, 2))
+    rows = spark.createDataFrame([(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(3000)], "o int, x string, y string")
+    assert sorted(r.o for r in dedup.cascade(rows, ["x", "y"], "o").collect()) == list(range(0, 3000, 2))
+    # components that are too large for one task shrink first
+    monkeypatch.setattr(dedup, "COMPONENT", 20)
+    monkeypatch.setattr(dedup, "SLOT", 5)
+    some = rows.where("o < 60").withColumn("y", F.when(F.col("o") % 25 != 7, F.col("y")))
+    want, taken = [], set()
+    for r in sorted(some.collect()):
+        if not {("x", r.x), ("y", r.y)} & taken:
+            want.append(r.o)
+            taken |= {("x", r.x)} | ({("y", r.y)} if r.y is not None else set())
+    assert sorted(r.o for r in dedup.cascade(some, ["x", "y"], "o").collect()) == want
 
 
 def test_failure_stream(spark, tmp_path):
