@@ -18,6 +18,12 @@ def parse_datetime(x: Column) -> Column:
     return F.coalesce(compact, iso, F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss xx")))
 
 
+def iso(x: Column) -> Column:
+    """Timestamp of a text that begins with an ISO date; null for other layouts."""
+    t = F.trim(x.cast("string"))
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(F.substring(t, 1, 19))))
+
+
 def day(published: Column, collected: Column) -> Column:
     """The date of publication, else of collection."""
     return F.to_date(F.coalesce(parse_datetime(published), parse_datetime(collected)))
