@@ -21,6 +21,37 @@ def capped(cards: DataFrame, owner: str, order: str, url: str, most: int = 4, us
     return first.withColumn("turn", turn).where(F.col("turn") <= most).drop("canonical")
 
 
+# Why a narrative has its state, and what is said where an article speaks of duties.
+WHY = {
+    "contradicha": "La evidencia oficial choca con la afirmación principal.", "parcial": "Una parte encaja con las fichas; otra sigue abierta.", "respaldada": "Las fichas alinean con la afirmación.",
+    "prioridad_investigacion": "Hay acusación de ocultamiento en modo afirmación y una estructura de relato. Cola humana; no es una sentencia de intención maliciosa.",
+    "potencialmente_engañosa": "Puede inducir una lectura incorrecta. Hay que revisar omisiones y contexto.", "no_verificable": "No hay evidencia bastante para confirmar ni descartar.",
+}
+DUTY = "La nota habla de obligación de reportar. Hay que contrastar plazos y autoridad (WOAH / SENASICA). El módulo no cita un artículo legal automático."
+OPEN_LABELS = ("", "unknown", "sin verificar", "insuficiente")
+
+
+def contrast(articles: DataFrame, key: str, claims: DataFrame, structures: Column, hidden: Column, most: int = 5) -> DataFrame:
+    """What an article says beside what is known of it: key, claim (its first one, else the title), contradicted and open (ids of the first `most` claims of each), duty, code, why.
+
+    articles has key, title, text; claims has key, turn, claim, claim_id, label. An article's claims are few (their extraction keeps eight), so they are an array.
+    """
+    from marisma.operators import stories
+
+    rows = claims.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", "claim", "claim_id", F.lower(F.coalesce("label", F.lit(""))).alias("low")))).alias("cs"))
+    none = F.array().cast(rows.schema["cs"].dataType)
+    out = articles.join(rows, key, "left").withColumn("cs", F.coalesce("cs", none))
+    ids = lambda test: F.slice(F.transform(F.filter("cs", test), lambda c: c["claim_id"]), 1, most)
+    blob = F.lower(F.concat_ws(" ", "title", "text"))
+    code = stories.narrative(F.transform("cs", lambda c: c["low"]), structures, hidden)
+    out = out.withColumn("code", code)
+    why = F.element_at(F.create_map(*[F.lit(x) for p in WHY.items() for x in p]), F.col("code"))
+    return out.select(
+        key, F.substring(F.coalesce(F.get("cs", F.lit(0))["claim"], F.col("title"), F.lit("")), 1, 500).alias("claim"), ids(lambda c: F.contains(c["low"], F.lit("contrad"))).alias("contradicted"), ids(lambda c: c["low"].isin(*OPEN_LABELS)).alias("open"),
+        F.when(F.contains(blob, F.lit("oblig")) | F.contains(blob, F.lit("plazo")), DUTY).alias("duty"), "code", why.alias("why"),
+    )
+
+
 # What a decision makes of an article: verdict, risk (none: as it was), rule. The third one leaves the alert open.
 DECISIONS = (("validado", "RESPALDADO", 22, "hitl_validado"), ("descartado", "CONTRADICHO", 82, "hitl_descartado"), ("modificado", "REVISIÓN HUMANA", None, "hitl_modificado"))
 OPEN = "modificado"

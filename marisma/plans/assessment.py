@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marisma.functions import facts, pictures, scoring, text, urls
-from marisma.operators import assessment, facets, reviews, stories
+from marisma.operators import assessment, cards, facets, reviews, stories
 from marisma.plans import articles as base
 from marisma.plans.articles import _HOST, _IDS, ARTICLES, _both, _compare, _facts, _named, _paragraphs, _pick, _sql_list, _tokens, articles
+from marisma.plans.texts import _modality_sql
 from marisma.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -239,3 +240,32 @@ def hex_digits_apart(spark, d):
     return table(spark, d, "pages").select("page_id", pictures.hex_distance(F.sha2("url", 256), F.sha2("html", 256)).alias("digits"))
 
 
+_WHY = "case code " + " ".join(f"when '{k}' then '{v}'" for k, v in cards.WHY.items()) + " end"
+
+
+@query(f"""with c as (select * from {_LABELLED}), g as (select doc_id, list({{turn: turn, claim_id: claim_id, low: lower(label)}} order by turn) as cs from c group by doc_id),
+j as (select a.doc_id, a.title, a.text, coalesce(cs, []) as cs, contains(lower(a.text), 'siglo')::int as structures, contains(lower(a.text), 'ocult') as hidden from {ARTICLES} a left join g using (doc_id)),
+k as (select *, list_transform(cs, lambda c: case when contains(c.low, 'contrad') then 'contradicha' when regexp_matches(c.low, 'support|respald') then 'respaldada' else 'no_verificable' end) as k from j),
+o as (select *, len(list_filter(k, lambda v: v = 'contradicha')) as against from k),
+p as (select *, case when against > 0 and against >= greatest(1, len(k) // 2) then 'contradicha' when list_contains(k, 'respaldada') and against = 0 and structures = 0 then case when len(list_distinct(k)) > 1 then 'parcial' else 'respaldada' end when hidden and structures >= 1 and not list_contains(k, 'respaldada') then 'prioridad_investigacion' else 'no_verificable' end as code from o)
+select doc_id, array_to_string(list_transform(list_filter(cs, lambda c: contains(c.low, 'contrad'))[1:5], lambda c: c.claim_id), ',') as contradicted, array_to_string(list_transform(list_filter(cs, lambda c: c.low in ('', 'unknown'))[1:5], lambda c: c.claim_id), ',') as open,
+ case when regexp_matches(lower(title || ' ' || text), 'oblig|plazo') then '{cards.DUTY}' end as duty, code, {_WHY} as why from p""")
+def contrast_cards(spark, d):
+    """What articles claim beside what is known of it, and the state that makes."""
+    a, low = articles(spark, d), F.lower("text")
+    out = cards.contrast(a, "doc_id", _claims(spark, d), F.contains(low, F.lit("siglo")).cast("int"), F.contains(low, F.lit("ocult")))
+    return out.select("doc_id", F.array_join("contradicted", ",").alias("contradicted"), F.array_join("open", ",").alias("open"), "duty", "code", "why")
+
+
+_MODE = _modality_sql("s")
+_NOTE = "case when not hidden then case when mode = 'pregunta' then '" + assessment.QUESTION + "' else '" + assessment.PRINCIPLE + "' end " + " ".join(f"when mode = '{k}' then '{v}'" for k, v in assessment.NOTES.items()) + " else '" + assessment.HIDING + "' end"
+
+
+@query(f"""with s as (select doc_id, unnest(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]'), lambda v: trim(v))) as s from {ARTICLES}), m as (select doc_id, contains(lower(s), 'ocult') as hidden, {_MODE} as mode from s where s <> '')
+select note, count(*)::bigint as sentences, count(distinct doc_id)::bigint as documents from (select *, {_NOTE} as note from m) group by note""")
+def context_notes(spark, d):
+    """What to keep in mind of the sentences of whole articles."""
+    s = articles(spark, d).select("doc_id", F.explode(text.ended(F.col("text"))).alias("s")).where("s <> ''")
+    rows = text.once(s, mode=text.modality(F.col("s")), hidden=F.contains(F.lower("s"), F.lit("ocult")))
+    notes = rows.groupBy("doc_id", assessment.note(F.col("mode"), F.col("hidden")).alias("note")).agg(F.count(F.lit(1)).alias("n"))
+    return notes.groupBy("note").agg(F.sum("n").alias("sentences"), F.count(F.lit(1)).alias("documents"))

@@ -25,12 +25,12 @@ def query(sql: str | None = None):
 
 
 
-@query("""with old as (select doc_id % 40 as owner, doc_id as member from documents), new as (select doc_id % 40 as owner, doc_id + 1 as member from documents where doc_id % 40 < 10 and doc_id % 3 = 0)
+@query("""with old as (select n_chars % 40 as owner, doc_id as member from documents), new as (select n_chars % 40 as owner, doc_id + 1 as member from documents where n_chars % 40 < 10 and n_chars % 3 = 0)
 select distinct * from (select * from old where owner not in (select owner from new) union all select * from new)""")
 def membership_replace(spark, d):
     rows = table(spark, d, "documents")
-    old = rows.select((F.col("doc_id") % 40).alias("owner"), F.col("doc_id").alias("member"))
-    new = rows.where("doc_id % 40 < 10 and doc_id % 3 = 0").select((F.col("doc_id") % 40).alias("owner"), (F.col("doc_id") + 1).alias("member"))
+    old = rows.select((F.col("n_chars") % 40).alias("owner"), F.col("doc_id").alias("member"))
+    new = rows.where("n_chars % 40 < 10 and n_chars % 3 = 0").select((F.col("n_chars") % 40).alias("owner"), (F.col("doc_id") + 1).alias("member"))
     return tables.replace_members(old, new.unionByName(new), "owner")
 
 
@@ -68,7 +68,7 @@ def running_failures(spark, d):
     return cards.running_failures(e, "user_id", "event_id", "ok").select("user_id", "event_id", "failures")
 
 
-_KEYS3 = "select doc_id, 'u' || doc_id // 3 as url_hash, 'c' || doc_id // 2 as content_id, case when doc_id % 7 = 0 then null else 't' || doc_id // 5 end as text_hash from documents"
+_KEYS3 = "select doc_id, 'u' || n_chars // 3 as url_hash, 'c' || left(sha256(text), 3) as content_id, case when n_chars % 7 = 0 then null else 't' || left(sha256(left(text, 8)), 3) end as text_hash from documents"
 
 
 @query(f"""with recursive s as ({_KEYS3}), o as (select * from s where doc_id % 10 = 0),
@@ -80,7 +80,7 @@ w(i, kept, us, cs, ts) as (select 0::bigint, false, []::varchar[], []::varchar[]
   case when n.text_hash is null or list_contains(w.us, n.url_hash) or list_contains(w.cs, n.content_id) or coalesce(list_contains(w.ts, n.text_hash), false) then w.ts else list_append(w.ts, n.text_hash) end from w join n on n.i = w.i + 1)
 select doc_id from o union all select n.doc_id from w join n using (i) where w.kept""")
 def insert_three_keys(spark, d):
-    s = table(spark, d, "documents").selectExpr("doc_id", "concat('u', doc_id div 3) as url_hash", "concat('c', doc_id div 2) as content_id", "case when doc_id % 7 <> 0 then concat('t', doc_id div 5) end as text_hash")
+    s = table(spark, d, "documents").selectExpr("doc_id", "concat('u', n_chars div 3) as url_hash", "concat('c', left(sha2(text, 256), 3)) as content_id", "case when n_chars % 7 <> 0 then concat('t', left(sha2(left(text, 8), 256), 3)) end as text_hash")
     return tables.insert_unique(s.where("doc_id % 10 = 0"), s.where("doc_id % 10 <> 0"), [["url_hash"], ["content_id"], ["text_hash"]], "doc_id").select("doc_id")
 
 
