@@ -109,3 +109,17 @@ def hex_distance(a: Column, b: Column) -> Column:
     """Digits in which two hex texts of equal length differ; null where one is missing or lengths differ."""
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x != y, 1).otherwise(0))
     return F.when((F.length(a) == F.length(b)) & (a != ""), F.aggregate(pairs, F.lit(0), lambda s, x: s + x))
+
+
+def is_displayable(image_id: Column, storage: Column, source: Column, mime: Column) -> Column:
+    """A picture of an article that can be shown beside it."""
+    name = _name(storage)
+    return ~name.startswith("ph_") & ~name.endswith(".svg") & is_news_picture(image_id, storage, source, mime)
+
+
+def is_purged(storage: Column, width: Column, height: Column) -> Column:
+    """What goes from the training set: files of a known ending whose name tells an invented picture, and tiny ones."""
+    name = _name(storage)
+    ending = F.regexp_extract(name, r"[^.](\.[^.]*)$", 1)
+    tiny = F.coalesce((width > 0) & (height > 0) & (width <= LEAST_SIDE) & (height <= LEAST_SIDE), F.lit(False)) & (ending == ".png")
+    return ending.isin(*ENDINGS) & (_any(name, ("fb_", "demo_seed_", "corpus_", "casos", "ph_")) | tiny)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marisma.plans import analysis, articles, assessment, catalog, events, intake, jsons, payloads, places, prose, relations, storage, surveillance, texts, upkeep, verify, web
+from marisma.plans import analysis, articles, assessment, catalog, events, intake, jsons, payloads, places, prose, relations, rest, storage, surveillance, texts, upkeep, verify, web
 
-_ALL = (texts, events, verify, relations, web, storage, analysis, articles, upkeep, places, surveillance, jsons, catalog, assessment, intake, payloads, prose)
+_ALL = (texts, events, verify, relations, web, storage, analysis, articles, upkeep, places, surveillance, jsons, catalog, assessment, intake, payloads, prose, rest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

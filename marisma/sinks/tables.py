@@ -82,6 +82,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence
     return both.select(*cells)
 
 
+def patched(old: DataFrame, new: DataFrame, keys: Sequence[str], allowed: Sequence[str]) -> DataFrame:
+    """Old rows with the values that new has for them in the allowed columns; values of other columns, null ones, and rows that are not there are left out. A column that old lacks can't be allowed."""
+    unknown = [c for c in allowed if c not in old.columns]
+    if unknown:
+        raise ValueError(f"no such columns: {', '.join(unknown)}")
+    some = [c for c in new.columns if c in allowed and c not in keys]
+    n = new.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in some])
+    return old.join(n, list(keys), "left").select(*[F.coalesce(f"_n_{c}", c).alias(c) if c in some else F.col(c) for c in old.columns])
+
+
 def cascade_delete(parents: DataFrame, children: DataFrame, key: str, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parents and children without the doomed keys."""
     return parents.join(doomed, key, "left_anti"), children.join(doomed, key, "left_anti")

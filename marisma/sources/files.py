@@ -15,6 +15,19 @@ def binary_files(spark: SparkSession, path: str, least: int = 64, most: int = 8
     return rows.select("path", "length", digest.alias("sha256"), F.concat(F.lit("IMG-"), F.substring(digest, 1, 16)).alias("image_id"), "content")
 
 
+# Kinds of pictures that are taken, by the bytes a file begins with.
+PICTURES = {"image/jpeg": "ffd8ff", "image/png": "89504e470d0a1a0a", "image/gif": "47494638", "image/bmp": "424d"}
+
+
+def picture_kind(content: Column) -> Column:
+    """The kind of a picture by its first bytes, WebP among them; null for any other file, which is not taken."""
+    head = F.lower(F.hex(F.substring(content, 1, 16)))
+    out = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+    for kind, first in PICTURES.items():
+        out = out.when(head.startswith(first), kind)
+    return out
+
+
 def class_counts(files: DataFrame, classes: DataFrame) -> DataFrame:
     """Files in each class folder, zero for classes without any."""
     of = files.select(F.element_at(F.split("path", "/"), -2).alias("class"))

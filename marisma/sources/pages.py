@@ -105,3 +105,33 @@ def preview_images(html: Column, most: int = 8) -> Column:
     meta = [F.regexp_extract_all(html, F.lit(rf"""(?i)<meta[^>]*(?:property|name)=["']{n}:image["'][^>]*content=["']([^"']+)["']"""), 1) for n in ("og", "twitter")]
     plain = F.transform(text.image_refs(html), lambda r: r["src"])
     return F.slice(F.array_distinct(F.filter(F.concat(*meta, plain), lambda u: ~F.lower(u).rlike(r"^data:|favicon|sprite|\.svg$"))), 1, most)
+
+
+# Addresses of pictures that are none of the article's.
+SKIPPED_PICTURES = r"(?i)(logo|sprite|pixel|tracking|1x1|spacer|blank\.gif|placeholder|default[-_]?(og|share)|avatar|icon[-_])"
+LEAST_SIDE = 64
+
+
+def joined(base: Column, ref: Column) -> Column:
+    """A reference as a whole address: as it is, with the scheme of the base, from its root, or beside its path; empty without a base."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(?:/.*/|/)?)", 1)
+    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
+    return F.when(ref.startswith("//"), F.concat(F.lit("https:"), ref)).when(F.lower(ref).startswith("http"), ref).when(root == "", "").when(ref.startswith("/"), F.concat(root, ref)).otherwise(F.concat(folder, ref))
+
+
+def preview_pictures(html: Column, base: Column, most: int = 8) -> Column:
+    """Addresses of an article's pictures: of its meta tags (og, then twitter), then of images whose stated sides are not below LEAST_SIDE; whole, distinct, without icons and drawn ones, at most `most`."""
+    def meta(name: str) -> Column:
+        tags = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
+        own = F.filter(tags, lambda t: t.rlike(rf"""(?is)\b(?:property|name)\s*=\s*["']{name}["']"""))
+        return F.transform(own, lambda t: F.regexp_extract(t, r"""(?is)\bcontent\s*=\s*["']([^"']*)["']""", 1))
+
+    def side(t: Column, name: str) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(t, rf"""(?is)\b{name}\s*=\s*["']?([0-9]+)""", 1), F.lit("")).try_cast("int"), F.lit(0))
+
+    images = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), 1), lambda t: ~((side(t, "width") > 0) & (side(t, "width") < LEAST_SIDE)) & ~((side(t, "height") > 0) & (side(t, "height") < LEAST_SIDE)))
+    plain = F.transform(images, lambda t: F.coalesce(*[F.nullif(F.regexp_extract(t, rf"""(?is)\s{n}\s*=\s*["']([^"']*)["']""", 1), F.lit("")) for n in ("src", "data-src", "data-lazy-src")], F.lit("")))
+    every = F.transform(F.concat(meta("og:image"), meta("twitter:image"), meta("twitter:image:src"), meta("og:image:url"), plain), lambda u: F.trim(u))
+    whole = F.transform(F.filter(every, lambda u: (u != "") & ~u.startswith("data:")), lambda u: joined(base, u))
+    return F.slice(F.array_distinct(F.filter(whole, lambda u: F.lower(u).startswith("http") & ~u.rlike(SKIPPED_PICTURES) & ~F.lower(u).endswith(".svg"))), 1, most)

@@ -86,3 +86,29 @@ def test_narratives_of_little(spark):
     one = spark.createDataFrame([("n", 5, None, "", None, "")], schema)
     got = surveillance.characterize(one, "g", "k", "day", "country", "source", "name").first()
     assert (got.volume, got.stage, got.country_n, got.sources_n, got.growth, got.series, got.articles) == (1, "origen", 0, 1, 100.0, None, [5]) and got.sources[0].source == "desconocida"
+
+
+def test_pictures_and_patches(spark):
+    import pytest
+
+    from marisma.sinks import tables
+
+    heads = {"image/jpeg": b"\xff\xd8\xff\xe0aaaa", "image/png": b"\x89PNG\r\n\x1a\nxx", "image/gif": b"GIF89a", "image/bmp": b"BMxx", "image/webp": b"RIFF\x01\x02\x03\x04WEBPVP8 ", None: b"RIFF\x01\x02\x03\x04WAVE"}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in heads.items()] + [(None, bytearray(b"")), (None, None)], "kind string, b binary")
+    assert all(r.kind == r.found for r in df.select("kind", files.picture_kind(F.col("b")).alias("found")).collect())
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", None)], "k int, x string, y int")
+    new = spark.createDataFrame([(1, "z", None), (2, "z", 5), (3, "z", 6)], "k int, x string, y int")
+    assert sorted(tuple(r) for r in tables.patched(old, new, ["k"], ["y"]).collect()) == [(1, "a", 1), (2, "b", 5)]
+    with pytest.raises(ValueError):
+        tables.patched(old, new, ["k"], ["unknown"])
+
+
+def test_json_edges(spark):
+    from marisma.functions import jsons
+
+    rows = [(0, None), (1, ""), (2, "null"), (3, '"text"'), (4, "{}"), (5, '{"a": {"b": [1, 2]}} trailing'), (6, "```json\n{\"a\": 1}\n```"), (7, '``` {"a": 2'), (8, '{"a": "}"}'), (9, "x {1} y")]
+    df = spark.createDataFrame(rows, "id int, x string")
+    got = {r.id: r.v for r in df.select("id", F.to_json(jsons.salvaged(F.col("x"))).alias("v")).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: None, 4: "{}", 5: '{"a":{"b":[1,2]}}', 6: '{"a":1}', 7: None, 8: '{"a":"}"}', 9: None}
+    best = df.where("id = 0").select(jsons.best(F.create_map(F.lit("b"), F.lit(0.5), F.lit("a"), F.lit(0.5), F.lit("c"), F.lit(None).cast("double"))).alias("b"), jsons.best(F.create_map().cast("map<string, double>")).alias("none")).first()
+    assert best.b.label == "a" and best.none is None
