@@ -24,6 +24,8 @@ FLUSH = 700_000
 DIRECT = 4
 BLOCK_MEMBERS = 8192
 SLOT = 20_000
+#: Pairs of two components that the first search of a torn signature tries, the most alike first; each further search tries so many times as many.
+NEAREST = 16
 BUCKET_CHARS = 16 << 20
 #: Pairs with one pivot that one task compares at most.
 PART = 512
@@ -407,11 +409,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return keep(both.mapInArrow(bytetext.tidy(_similar(percent)), "member binary, pivot binary"), "jaccard-links")
 
 
-def _across(percent: int):
+_ACROSS = "sign bigint, member binary, pivot binary"
+
+
+def _across(percent: int, most: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of members in different components that sizes and sketches don't rule out.
+        """Pairs of members in different components that sizes and sketches don't rule out: of two components the `most` that are most alike.
 
-        Rows of one (sign, b1, b2) are two blocks of the members of one signature, or one block.
+        Rows of one (sign, b1, b2) are two blocks of the members of one signature, or one block. A row with a sign alone says that pairs of it were left out.
         """
         keys = [rows[c].to_numpy() for c in ("b2", "b1", "sign")]
         order = np.lexsort(keys)
@@ -419,19 +424,38 @@ def _across(percent: int):
         edges = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
         raw, names, group = rows["sketch"].to_numpy()[order], rows["member"].to_numpy()[order], pd.factorize(rows["component"])[0][order]
         size, part = rows["n"].to_numpy().astype(np.int64)[order], rows["part"].to_numpy()[order]
-        found = set()
+        found, cut = set(), set()
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             n, p, g, name, some = size[lo:hi], part[lo:hi], group[lo:hi], names[lo:hi], raw[lo:hi]
             least, two = min(map(len, some)), p.max() > p.min()
             bits = np.frombuffer(b"".join(x if len(x) == least else fold(x, least) for x in some), np.uint64).reshape(len(n), -1)
+            near: dict[tuple[int, int], list[tuple[int, bytes, bytes]]] = {}
             for i in np.flatnonzero(p == p.min()):
                 may = (g != g[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
                 may &= (p != p[i]) if two else (np.arange(len(n)) > i)
                 may = np.flatnonzero(may)
-                if len(may):
-                    far = np.bitwise_count(bits[may] ^ bits[i]).sum(1, dtype=np.int64)
-                    found.update((max(name[i], x), min(name[i], x)) for x in name[may[far * (100 + percent) <= (n[may] + n[i]) * (100 - percent)]] if x != name[i])
-        return pd.DataFrame(sorted(found), columns=["member", "pivot"])
+                if not len(may):
+                    continue
+                far = np.bitwise_count(bits[may] ^ bits[i]).sum(1, dtype=np.int64)
+                good = far * (100 + percent) <= (n[may] + n[i]) * (100 - percent)
+                may, far = may[good], far[good]
+                if not len(may):
+                    continue
+                by = np.lexsort((far, g[may]))
+                may, far = may[by], far[by]
+                head = np.flatnonzero(np.r_[True, g[may][1:] != g[may][:-1]])
+                for x, y in zip(head, np.r_[head[1:], len(may)], strict=True):
+                    pair = (min(g[i], g[may[x]]), max(g[i], g[may[x]]))
+                    held = near.setdefault(pair, [])
+                    held += [(int(far[k]), max(name[i], name[may[k]]), min(name[i], name[may[k]])) for k in range(x, min(y, x + most)) if name[may[k]] != name[i]]
+                    if len(held) > most or y - x > most:
+                        cut.add(int(key[2, lo]))
+                        held.sort()
+                        del held[most:]
+            found.update((q, r) for held in near.values() for _, q, r in held)
+        out = pd.DataFrame(sorted(found), columns=["member", "pivot"])
+        out.insert(0, "sign", pd.array([pd.NA] * len(out), dtype="Int64"))
+        return pd.concat([out, pd.DataFrame({"sign": pd.array(sorted(cut), dtype="Int64"), "member": None, "pivot": None})])
 
     return run
 
@@ -495,25 +519,35 @@ def _search(docs: DataFrame, size: int, percent: int, every: bool) -> tuple[Data
     wide = shared.where("sign is not null")
     members = wide.select("sign", "member").union(wide.select("sign", F.col("pivot").alias("member"))).distinct()
     members = members.join(signers.select("member", "id"), "member").select("sign", F.col("id").alias("member")).distinct()
-    members = keep(members.join(roots, F.col("member") == F.col("node"), "left").select("sign", "member", (F.col("member") if every else F.coalesce("root", "member")).alias("component")), "jaccard-members")
-    torn = members.groupBy("sign").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    torn = keep(torn.where("low <> high").select("sign", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks")), "jaccard-torn")
-    placed = members.join(torn, "sign").withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    own = signers.join(placed.select(F.col("member").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("member")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("sign", "member", "component", "part", F.least("part", "other").alias("b1"), F.greatest("part", "other").alias("b2"))
-    # several signatures are one task's group, of about SLOT rows together
-    slots = max(shuffled, placed.count() // SLOT + 1)
-    placed = placed.join(own, "member").withColumn("slot", F.pmod(F.xxhash64("sign", "b1", "b2"), F.lit(slots)))
-    placed = placed.repartition(slots, "slot")
-    untried = placed.groupBy("slot").applyInPandas(_across(percent), "member binary, pivot binary").distinct()
-    untried = keep(untried.join(likely, ["member", "pivot"], "left_anti"), "jaccard-untried")
-    if not untried.isEmpty():
-        further = _verified(untried, elements(untried), percent)
-        if not further.isEmpty():
-            links = links.union(further)
-            roots = components(links, "member", "pivot")
-    for used in (found, likely, members, torn):
+    members, limit, tried = keep(members, "jaccard-members"), NEAREST, likely
+    while True:
+        named = members.join(roots, F.col("member") == F.col("node"), "left").select("sign", "member", (F.col("member") if every else F.coalesce("root", "member")).alias("component"))
+        named = keep(named, "jaccard-named-members")
+        torn = named.groupBy("sign").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+        torn = keep(torn.where("low <> high").select("sign", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks")), "jaccard-torn")
+        placed = named.join(torn, "sign").withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+        own = signers.join(placed.select(F.col("member").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("member")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.select("sign", "member", "component", "part", F.least("part", "other").alias("b1"), F.greatest("part", "other").alias("b2"))
+        # several signatures are one task's group, of about SLOT rows together
+        slots = max(shuffled, placed.count() // SLOT + 1)
+        placed = placed.join(own, "member").withColumn("slot", F.pmod(F.xxhash64("sign", "b1", "b2"), F.lit(slots)))
+        across = keep(placed.repartition(slots, "slot").groupBy("slot").applyInPandas(_across(percent, limit), _ACROSS), "jaccard-across")
+        untried = keep(across.where("member is not null").select("member", "pivot").distinct().join(tried, ["member", "pivot"], "left_anti"), "jaccard-untried")
+        if not untried.isEmpty():
+            further = _verified(untried, elements(untried), percent)
+            if not further.isEmpty():
+                links = links.union(further)
+                roots = components(links, "member", "pivot")
+        for used in (named, torn):
+            drop(used)
+        # signatures of which pairs were left out are searched again, if their members are still apart
+        again = across.where("member is null").select("sign").distinct()
+        if again.isEmpty():
+            break
+        members = keep(members.join(again, "sign", "left_semi"), "jaccard-members")
+        limit, tried = limit * NEAREST, tried.union(untried)
+    for used in (found, likely, members):
         drop(used)
     return owners.select("doc_id", "id", "n"), links, roots
 
@@ -532,7 +566,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     3. Sizes and sketches of about three bits a shingle, which never rule out a link, leave few candidates. Their sets meet in full,
        each member's first with one pivot, later only where it is not connected yet.
     4. Signatures of many sets that are still in several components are searched for further links in blocks of
-       a fixed number of members, every block against every other, so that no link is lost and no group is one task's.
+       a fixed number of members, every block against every other, so that no link is lost and no group is one task's. Of two components
+       the pairs that are most alike are tried first, since one link makes the others needless; more of those still apart are tried in further searches, until all are.
 
     Returns one row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links
     reach). Defined cases: an empty set is linked with nothing, not even another empty one; rows that repeat a text are

@@ -113,7 +113,7 @@ def links(texts, size, percent):
 def test_jaccard_components(spark, monkeypatch, size, percent, small):
     """With small limits also: signatures of many sets, several blocks of members, several parts of a pivot, several flushes of a task."""
     if small:
-        for name, value in (("DIRECT", 2), ("FLUSH", 300), ("BLOCK_MEMBERS", 3), ("PART", 2), ("SLOT", 7), ("BUCKET_CHARS", 500)):
+        for name, value in (("DIRECT", 2), ("FLUSH", 300), ("BLOCK_MEMBERS", 3), ("PART", 2), ("SLOT", 7), ("BUCKET_CHARS", 500), ("NEAREST", 2)):
             monkeypatch.setattr(jaccard_join, name, value)
     r = np.random.default_rng(size)
     vocabulary = [f"w{i}" for i in range(300)]
