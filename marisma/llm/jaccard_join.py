@@ -24,8 +24,8 @@ FLUSH = 700_000
 DIRECT = 4
 BLOCK_MEMBERS = 8192
 SLOT = 20_000
-#: Pairs of two components that the first search of a torn signature tries, the most alike first; each further search tries so many times as many.
-NEAREST = 16
+#: Pairs of two components that a task's first search of torn signatures tries, the most alike first; how many times as many each further search tries.
+NEAREST, FURTHER = 4, 16
 BUCKET_CHARS = 16 << 20
 #: Pairs with one pivot that one task compares at most.
 PART = 512
@@ -412,9 +412,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 _ACROSS = "sign bigint, member binary, pivot binary"
 
 
+def _fewer(held: dict[tuple[bytes, bytes], tuple[int, set[int]]], most: int) -> set[int]:
+    """Leaves the `most` most alike pairs; returns the signatures of those that give way, which are searched again."""
+    order = sorted(held, key=lambda q: (held[q][0], q))
+    return {s for q in order[most:] for s in held.pop(q)[1]}
+
+
 def _across(percent: int, most: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of members in different components that sizes and sketches don't rule out: of two components the `most` that are most alike.
+        """Pairs of members in different components that sizes and sketches don't rule out: of two components the `most` of all signatures here that are most alike.
 
         Rows of one (sign, b1, b2) are two blocks of the members of one signature, or one block. A row with a sign alone says that pairs of it were left out.
         """
@@ -424,12 +430,13 @@ def _across(percent: int, most: int):
         edges = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
         raw, names, group = rows["sketch"].to_numpy()[order], rows["member"].to_numpy()[order], pd.factorize(rows["component"])[0][order]
         size, part = rows["n"].to_numpy().astype(np.int64)[order], rows["part"].to_numpy()[order]
-        found, cut = set(), set()
+        near: dict[tuple[int, int], dict[tuple[bytes, bytes], tuple[int, set[int]]]] = {}
+        cut: set[int] = set()
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            sign = int(key[2, lo])
             n, p, g, name, some = size[lo:hi], part[lo:hi], group[lo:hi], names[lo:hi], raw[lo:hi]
             least, two = min(map(len, some)), p.max() > p.min()
             bits = np.frombuffer(b"".join(x if len(x) == least else fold(x, least) for x in some), np.uint64).reshape(len(n), -1)
-            near: dict[tuple[int, int], list[tuple[int, bytes, bytes]]] = {}
             for i in np.flatnonzero(p == p.min()):
                 may = (g != g[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
                 may &= (p != p[i]) if two else (np.arange(len(n)) > i)
@@ -445,14 +452,18 @@ def _across(percent: int, most: int):
                 may, far = may[by], far[by]
                 head = np.flatnonzero(np.r_[True, g[may][1:] != g[may][:-1]])
                 for x, y in zip(head, np.r_[head[1:], len(may)], strict=True):
-                    pair = (min(g[i], g[may[x]]), max(g[i], g[may[x]]))
-                    held = near.setdefault(pair, [])
-                    held += [(int(far[k]), max(name[i], name[may[k]]), min(name[i], name[may[k]])) for k in range(x, min(y, x + most)) if name[may[k]] != name[i]]
-                    if len(held) > most or y - x > most:
-                        cut.add(int(key[2, lo]))
-                        held.sort()
-                        del held[most:]
-            found.update((q, r) for held in near.values() for _, q, r in held)
+                    held = near.setdefault((min(g[i], g[may[x]]), max(g[i], g[may[x]])), {})
+                    if y - x > most:
+                        cut.add(sign)
+                    for k in range(x, min(y, x + most)):
+                        two_names = (max(name[i], name[may[k]]), min(name[i], name[may[k]]))
+                        if two_names[0] != two_names[1]:
+                            held.setdefault(two_names, (int(far[k]), set()))[1].add(sign)
+                    if len(held) > 2 * most:
+                        cut |= _fewer(held, most)
+        for held in near.values():
+            cut |= _fewer(held, most)
+        found = {q for held in near.values() for q in held}
         out = pd.DataFrame(sorted(found), columns=["member", "pivot"])
         out.insert(0, "sign", pd.array([pd.NA] * len(out), dtype="Int64"))
         return pd.concat([out, pd.DataFrame({"sign": pd.array(sorted(cut), dtype="Int64"), "member": None, "pivot": None})])
@@ -546,7 +557,7 @@ def _search(docs: DataFrame, size: int, percent: int, every: bool) -> tuple[Data
         if again.isEmpty():
             break
         members = keep(members.join(again, "sign", "left_semi"), "jaccard-members")
-        limit, tried = limit * NEAREST, tried.union(untried)
+        limit, tried = limit * FURTHER, tried.union(untried)
     for used in (found, likely, members):
         drop(used)
     return owners.select("doc_id", "id", "n"), links, roots
