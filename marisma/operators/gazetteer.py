@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marisma.session import ship
+from marisma.session import shared_checkpoints, ship
 
-#: Characters of the terms that one automaton holds; a larger table is cut by the first letters of its terms and each part has its own.
-LIMIT = 32 << 20
+#: Characters of the terms that one automaton holds, and of those that the driver sees at once. Of a larger table terms that are one word each are joined with the words of the texts; the others are cut by their first letters and each part has its own.
+LIMIT = 1 << 20
+#: Rows found that a task holds before it gives them on.
+HELD = 50_000
+#: Kinds of edges whose terms are joined; terms with rarer ones are left to automata.
+EDGES = 8
 # Letters that may not stand beside a term that is a word of its own; terms of at most so many characters always are.
 WORD = "a-z0-9"
 SHORT = 4
@@ -95,48 +99,100 @@ def _share(terms: DataFrame) -> Broadcast:
     return terms.sparkSession.sparkContext.broadcast(rows)
 
 
+def _told(batches: Iterator[pa.RecordBatch], of: Callable[[str], list[tuple]], names: list[str], types: tuple) -> Iterator[pa.RecordBatch]:
+    """What `of` finds in each text (the third column), beside the first two columns; in batches of about HELD rows."""
+    for batch in batches:
+        whose, found = [], []
+        for i, t in enumerate(batch.column(2)):
+            own = of(t.as_py()) if t.is_valid else []
+            whose += [i] * len(own)
+            found += own
+            if len(found) >= HELD or i == len(batch) - 1:
+                cells = [pa.array([f[j] for f in found], k) for j, k in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array(whose, pa.int64())).columns, *cells], names)
+                whose, found = [], []
+
+
+def _named_words(rows: DataFrame, key: str, words: DataFrame, edges: list[str]) -> DataFrame:
+    """key, _text, kind, canonical, at, n for terms that are words: stretches of letters of their edge that no such letter extends, joined by equality."""
+    schema = T.StructType([rows.schema[key], rows.schema["_text"], *T._parse_datatype_string("_edge int, _term string, at int, n int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        stretches = [re.compile(f"[{e}]+") for e in edges]
+
+        def words(t: str) -> list[tuple]:
+            out: list[tuple] = []
+            for e, stretch in enumerate(stretches):
+                own: dict[str, list[int]] = {}
+                for m in stretch.finditer(t):
+                    own.setdefault(m.group(), [m.start(), 0])[1] += 1
+                out += [(e, w, *v) for w, v in own.items()]
+            return out
+
+        return _told(batches, words, schema.fieldNames(), (pa.int32(), pa.string(), pa.int32(), pa.int32()))
+
+    number = F.array_position(F.array(*map(F.lit, edges)), F.col("edge")).cast("int") - 1
+    named = words.select(number.alias("_edge"), F.col("term").alias("_term"), "kind", "canonical")
+    found = rows.mapInArrow(run, schema).join(named, ["_edge", "_term"])
+    return found.groupBy(key, "_text", "kind", "canonical").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"))
+
+
 def mentions(docs: DataFrame, key: str, text: Column, terms: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row for each document, kind and canonical name found: key, kind, canonical, at (its first place in the lower-cased text), n (places).
 
     terms has term (lower case), canonical, kind, edge (letters, as inside the brackets of a pattern, that may not stand beside the term; null where it counts inside words too). Each
     task reads its texts once with an automaton, whose cost does not depend on the number of terms; nothing is exchanged. The automaton is
-    built on the executors from shared rows whose size is checked; a table beyond `limit` characters is cut by first letters, and the texts are read once for each part.
-    Rows with a null text, and those without a hit, give no row; a key that stands twice gives the rows of both.
+    built on the executors from shared rows whose size is checked. Of a table beyond `limit` characters, terms made of letters of their edge alone can only be whole
+    words of a text, so they are joined with its words and never leave the executors; other terms, if still beyond it, are cut by first letters, and the texts are read once for each part.
+    Rows with a null text, and those without a hit, give no row; a key that stands twice with different texts gives the rows of both.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    shared_checkpoints(spark)
     kind = docs.schema[key].dataType
-    rows = docs.select(F.col(key), F.lower(text).alias("_text"))
-    schema = T.StructType([T.StructField(key, kind), *T._parse_datatype_string("kind string, canonical string, at int, n int").fields])
+    lower = F.lower(text)
+    # rows of one key are told apart by their texts, in every reading alike
+    rows = docs.select(F.col(key), F.xxhash64(lower).alias("_text"), lower.alias("_lower"))
+    schema = T.StructType([T.StructField(key, kind), T.StructField("_text", T.LongType()), *T._parse_datatype_string("kind string, canonical string, at int, n int").fields])
+    terms = terms.where("term <> ''").select("term", "canonical", "kind", "edge").checkpoint()
 
     def read(part: DataFrame) -> DataFrame:
         shared = _share(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared)
-            for batch in batches:
-                whose, found = [], []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    if not t or not len(automaton):
-                        continue
-                    own: dict[tuple[str, str], list[int]] = {}
-                    for at, _, canonical, name in _hits(automaton, t):
-                        cell = own.setdefault((name, canonical), [at, 0])
-                        cell[0] = min(cell[0], at)
-                        cell[1] += 1
-                    whose += [i] * len(own)
-                    found += [(*k, *v) for k, v in own.items()]
-                cells = [pa.array([f[j] for f in found], k) for j, k in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose, pa.int64())), *cells], [key, "kind", "canonical", "at", "n"])
+
+            def names(t: str) -> list[tuple]:
+                own: dict[tuple[str, str], list[int]] = {}
+                for at, _, canonical, name in _hits(automaton, t) if len(automaton) else ():
+                    cell = own.setdefault((name, canonical), [at, 0])
+                    cell[0] = min(cell[0], at)
+                    cell[1] += 1
+                return [(*k, *v) for k, v in own.items()]
+
+            return _told(batches, names, schema.fieldNames(), (pa.string(), pa.string(), pa.int32(), pa.int32()))
 
         return rows.mapInArrow(run, schema)
 
-    out = [read(p) for p in _parts(terms, limit)]
+    out, apart = [], True
+    if (terms.agg(F.sum(F.length("term"))).first()[0] or 0) > limit:
+        own = F.coalesce(F.rlike("term", F.concat(F.lit("^["), "edge", F.lit("]+\\z"))), F.lit(False))
+        edges = [r["edge"] for r in terms.where(own).groupBy("edge").count().orderBy(F.desc("count"), "edge").limit(EDGES).collect()]
+        if edges:
+            own &= F.coalesce(F.col("edge").isin(*edges), F.lit(False))
+            words, terms = terms.where(own), terms.where(~own)
+            out.append(_named_words(rows, key, words, edges))
+            apart = terms.select("kind", "canonical").intersect(words.select("kind", "canonical")).isEmpty()
+    parts = [] if out and terms.isEmpty() else _parts(terms, limit)
+    out += [read(p) for p in parts]
     whole = out[0]
     for other in out[1:]:
         whole = whole.union(other)
-    if len(out) > 1:  # a name whose variants lie in several parts
-        whole = whole.groupBy(key, "kind", "canonical").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"))
-    return whole
+    if len(parts) > 1 or not apart:  # a name whose variants lie in several parts
+        whole = whole.groupBy(key, "_text", "kind", "canonical").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"))
+    return whole.drop("_text")
 
 
 def entities(found: DataFrame, key: str) -> DataFrame:

@@ -37,6 +37,20 @@ def test_mentions(spark, limit):
     assert {(x.id, x.kind, x.canonical): (x["at"], x.n) for x in got} == plain(texts, terms) and len(got) == len(plain(texts, terms))
 
 
+def test_large_tables_stay_on_executors(spark, monkeypatch):
+    """Terms that are words are joined: the driver never sees more than the rest of the table, and names of both kinds count once."""
+    terms = [(f"w{i}", f"n{i % 9}", "ORG", "a-z0-9") for i in range(400)] + [(f"é{i}", f"n{i % 9}", "ORG", "a-zé0-9") for i in range(50)] + [("w7 ", "n7", "ORG", None), ("w3 x", "m", "ORG", "a-z0-9")]
+    r = random.Random(8)
+    texts = TEXTS + [r.choice([" ", "-", "é"]).join(r.choice(["w%d", "é%d", "xw%d", "w%d x", "W%d"]) % r.randrange(420) for _ in range(40)) for _ in range(60)]
+    seen = []
+    share = gazetteer._share
+    monkeypatch.setattr(gazetteer, "_share", lambda t: (seen.append(t.count()), share(t))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = gazetteer.mentions(df, "id", F.col("t"), spark.createDataFrame(terms, gazetteer.TERMS), 100).collect()
+    assert {(x.id, x.kind, x.canonical): (x["at"], x.n) for x in got} == plain(texts, terms) and len(got) == len(plain(texts, terms))
+    assert sum(seen) == 2
+
+
 def test_empty_tables(spark):
     terms = spark.createDataFrame([], gazetteer.TERMS)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, t string")
