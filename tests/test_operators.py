@@ -200,3 +200,29 @@ def test_origin_names():
     from marisma.operators import filters
 
     assert [filters.origin_id(x) for x in ("Redes", "red", "prensa", "radio", None, " ")] == ["social", "social", "prensa", None, None, None]
+
+
+def test_cosine_tiles(spark):
+    """Ties and several tiles of rows and queries; no product is larger than a tile, however many queries there are."""
+    import numpy as np
+
+    from marisma.operators import relations
+
+    r = np.random.default_rng(2)
+    vectors = [[1.0, 0.0, 0.0]] * 300 + [[0.0, 0.0, 0.0]] * 2 + r.integers(-3, 4, (5000, 3)).astype(float).tolist()
+    ids = list(range(len(vectors)))
+    df = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "i long, v array<double>").repartition(2).cache()
+    asked = df.where("i < 1300")
+    x = np.array(vectors)
+    with np.errstate(invalid="ignore"):
+        c = np.round(x[:1300] @ x.T / np.linalg.norm(x, axis=1) / np.linalg.norm(x[:1300], axis=1)[:, None], 9)
+    np.fill_diagonal(c, np.nan)
+    got = {}
+    for row in relations.cosine_pairs(asked, df, "i", "v", most=4).collect():
+        got.setdefault(row.query, {})[row.turn] = (row.match, round(row.cosine, 6))
+    for q in range(0, 1300, 13):
+        want = [(int(m), round(float(c[q, m]), 6)) for m in np.lexsort((x[:, 0] * 0 + ids, -np.nan_to_num(c[q], nan=-3)))[:4] if not np.isnan(c[q, m])]
+        assert [got.get(q, {})[t] for t in sorted(got.get(q, {}))] == want
+    near = relations.cosine_pairs(asked, df, "i", "v", least=0.99)
+    assert near.count() == int((np.nan_to_num(c, nan=-3) >= 0.99).sum())
+    assert relations.TILE[0] * relations.TILE[1] <= 1 << 20
