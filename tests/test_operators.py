@@ -226,3 +226,30 @@ def test_cosine_tiles(spark):
     near = relations.cosine_pairs(asked, df, "i", "v", least=0.99)
     assert near.count() == int((np.nan_to_num(c, nan=-3) >= 0.99).sum())
     assert relations.TILE[0] * relations.TILE[1] <= 1 << 20
+
+
+def test_similar_meets_few_rows(spark):
+    """As scores of all pairs; a query meets a few rows of each kind, however many sources share its tags."""
+    import random
+
+    from marisma.operators import stories
+
+    r = random.Random(6)
+    rows = [(i, r.sample(["a", "b", "c"], r.randint(0, 3)), r.choice(["h1", "h2", "h3", None]), r.choice([None, *(f"s{k}" for k in range(120))])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i long, tags array<string>, h string, s string")
+    top = stories.similar(df.where("i % 20 = 0"), df, "i", "tags", "h", "s", 3)
+    want = set()
+    for q, x, qh, qs in rows[::20]:
+        scored = [(-(4 * len(set(x) & set(y)) + 8 * (qh is not None and qh == h) + (qs is not None and qs == s)), m) for m, y, h, s in rows if m != q]
+        want |= {(q, m, -n) for n, m in sorted(x for x in scored if x[0] < 0)[:3]}
+    assert {tuple(x) for x in top.collect()} == want
+    plan = top._jdf.queryExecution().executedPlan()
+    counts, todo = [], [plan.executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName():
+            counts.append(node.metrics().apply("numOutputRows").value())
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+    assert counts and sum(counts) < 75 * 200
