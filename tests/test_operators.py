@@ -253,3 +253,16 @@ def test_similar_meets_few_rows(spark):
         if "QueryStage" in node.nodeName():
             todo.append(node.plan())
     assert counts and sum(counts) < 75 * 200
+
+
+def test_claims_read_sentences_once(spark):
+    """Rows without a claim get their first characters, those that repeat a key too; the texts are split once."""
+    from marisma.operators import reviews
+
+    bare = "nothing of the kind here"
+    claim = "Se confirma un brote en la granja grande."
+    rows = [(1, f"{claim} {bare}. {claim}"), (2, bare), (2, bare), (3, " "), (4, None), (5, claim + " Hay cuarentena en todo el estado."), (6, "brote")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    out = reviews.claims(df, "i", F.col("t"), F.array().cast("array<string>"), {}, {}, {})
+    assert sorted((r.i, r.turn, r.kind) for r in out.collect()) == [(1, 1, "brote"), (2, 1, ""), (2, 1, ""), (5, 1, "brote"), (5, 2, "medida_oficial"), (6, 1, "")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
