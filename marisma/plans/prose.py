@@ -50,9 +50,8 @@ def severity_told(spark, d):
     """Why the claims of whole articles weigh what they do."""
     from marisma.operators import assessment
 
-    c = _claims(spark, d)
-    told = c.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "", "titulo").otherwise(F.col("kind")))).alias("kinds"), F.array_sort(F.collect_set("predicate")).alias("preds"))
-    rows = told.join(assessment.severity(c, "doc_id", "kind", "predicate", "verifiable"), "doc_id")
+    kinds = F.array_sort(F.collect_set(F.when(F.col("kind") == "", "titulo").otherwise(F.col("kind"))))
+    rows = _claims(spark, d).groupBy("doc_id").agg(kinds.alias("kinds"), F.array_sort(F.collect_set("predicate")).alias("preds"), assessment.gravest("kind", "predicate", "verifiable").alias("severity"))
     return rows.select("doc_id", prose.severity_part(F.col("kinds"), F.col("preds"), F.col("severity")).alias("why"))
 
 

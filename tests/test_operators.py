@@ -266,3 +266,46 @@ def test_claims_read_sentences_once(spark):
     out = reviews.claims(df, "i", F.col("t"), F.array().cast("array<string>"), {}, {}, {})
     assert sorted((r.i, r.turn, r.kind) for r in out.collect()) == [(1, 1, "brote"), (2, 1, ""), (2, 1, ""), (5, 1, "brote"), (5, 2, "medida_oficial"), (6, 1, "")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_contrast_makes_each_pair_once(spark):
+    from marisma.operators import reviews
+
+    claims = spark.createDataFrame([(1, "Gripe aviar en aves de Texas"), (2, "Nada"), (3, None)], "id int, claim string")
+    said = "SENASICA confirma la gripe aviar en aves de corral de Texas este lunes. La plaza abrió con pocos cambios en la semana."
+    evidence = spark.createDataFrame([(1, said, "a", 1), (1, "corto", "b", 2), (2, said, "c", 1), (3, None, "d", 1)], "id int, snippet string, title string, n int")
+    peers = spark.createDataFrame([(2, "x", 9)], "id int, title string, peer int")
+    out = reviews.contrast(claims, evidence, peers, "id")
+    assert {r["id"]: (r["status"], r["title"], r["snippet"], r["peers"]) for r in out.collect()} == {1: ("hit", "a", said.split(" La plaza")[0] + " La plaza abrió con pocos cambios en la semana.", 0), 2: ("peer", None, None, 1), 3: ("none", None, None, 0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3
+    assert len(plan) < 200_000
+
+
+def test_few_needles_like_many(spark):
+    from marisma.functions import facts
+
+    texts = ["gripe aviar", "la gripes, aviares", "hog cholera", "xhog cholerax", "nws.", "ánws nws", "h5n1-h5n2", "usa u.s. ee.uu", "méxico new mexico nuevo méxico", "", None, "swine\nhpai", "_hpai hpaiá"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for named in (facts.DISEASES, facts.PLACES):
+        assert sum(map(len, named.values())) <= facts.FEW
+        got = rows.select(facts.canonical(F.col("t"), named).alias("few"), facts._all_at_once(F.col("t"), named).alias("many")).collect()
+        assert all(r["few"] == r["many"] for r in got)
+
+
+def test_signs_of_claims(spark):
+    from marisma.functions import facts
+
+    low = ["casos confirmados", "un foco", "sacrificio  sanitario", "30 por ciento", "7%", "la frontera", "vacunación", "arma   biológica", "creada artificialmente", "ocultan", "sin nada"]
+    rows = spark.createDataFrame([(t,) for t in low], "low string")
+    kinds = [F.col("low").rlike(p) for p in facts.CLAIM_KINDS.values()]
+    got = rows.select("low", facts.claimed(F.col("low")).alias("may"), F.greatest(*[k.cast("int") for k in kinds]).alias("is")).collect()
+    assert all(r["may"] for r in got if r["is"])
+    assert [r["low"] for r in got if not r["may"]] == ["sin nada"]
+
+
+def test_severity_is_told_in_one_pass(spark):
+    from marisma.plans import prose
+
+    plan = prose.severity_told(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 1
