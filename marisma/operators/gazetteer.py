@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -19,6 +19,8 @@ from marisma.session import shared_checkpoints, ship
 LIMIT = 1 << 20
 #: Rows found that a task holds before it gives them on.
 HELD = 50_000
+#: Characters of texts whose places a task of spans() holds before it gives them on.
+PIECE = 1 << 20
 #: Kinds of edges whose terms are joined; terms with rarer ones are left to automata.
 EDGES = 8
 # Letters that may not stand beside a term that is a word of its own; terms of at most so many characters always are.
@@ -201,10 +203,11 @@ def entities(found: DataFrame, key: str) -> DataFrame:
     return found.select(key, F.concat(F.lit("ENT-"), mark).alias("entity_id"), "kind", F.col("canonical").alias("value")).distinct()
 
 
-def spans(rows: DataFrame, text: Column, terms: Iterable[tuple[str, str, str, str | None]], name: str = "found") -> DataFrame:
+def spans(rows: DataFrame, text: Column, terms: Iterable[tuple[str, str, str, str | None]], name: str = "found", keep: Sequence[str] | None = None) -> DataFrame:
     """rows with all places of a small list of terms (term, canonical, kind, edge) in the lower-cased text: array<struct<at, till, canonical, kind>>, by place.
 
-    The list is part of the plan, so its size is checked; a table of terms goes to mentions().
+    The list is part of the plan, so its size is checked; a table of terms goes to mentions(). Of rows only the columns in `keep` go to Python and back, all where it
+    is None: a text that is looked through need not be carried beside itself. A batch is read in stretches of about PIECE characters.
     """
     terms = [tuple(t) for t in terms]
     if sum(len(t[0]) for t in terms) > 1 << 16:
@@ -213,18 +216,24 @@ def spans(rows: DataFrame, text: Column, terms: Iterable[tuple[str, str, str, st
     ship(spark)
     shared = spark.sparkContext.broadcast(terms)
     cell = pa.struct([("at", pa.int32()), ("till", pa.int32()), ("canonical", pa.string()), ("kind", pa.string())])
-    schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(f"{name} array<struct<at: int, till: int, canonical: string, kind: string>>").fields])
+    rows = rows.select(*(rows.columns if keep is None else keep), F.lower(text).alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string(f"{name} array<struct<at: int, till: int, canonical: string, kind: string>>").fields])
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared)
         for batch in batches:
-            size, flat = [], []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
+            texts, begin, read, size, flat = batch.column(batch.num_columns - 1), 0, 0, [], []
+            for i, x in enumerate(texts, 1):
+                t = x.as_py()
                 own = sorted(_hits(automaton, t)) if t and len(automaton) else []
                 size.append(len(own))
                 flat += own
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            values = pa.StructArray.from_arrays([pa.array([f[j] for f in flat], cell.field(j).type) for j in range(4)], fields=list(cell))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), values)], [f.name for f in schema.fields])
-
-    return rows.withColumn("_text", F.lower(text)).mapInArrow(run, schema)
+                read += len(t or "")
+                if read >= PIECE or i == len(texts):
+                    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                    values = pa.StructArray.from_arrays([pa.array([f[j] for f in flat], cell.field(j).type) for j in range(4)], fields=list(cell))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, i - begin).columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), values)], names)
+                    begin, read, size, flat = i, 0, [], []
+
+    return rows.mapInArrow(run, schema)

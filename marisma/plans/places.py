@@ -80,7 +80,7 @@ from r join {_PLACE_ROWS} on t.place_id = r.place""")
 def places_resolved(spark, d):
     """Where each article belongs on the map, and all countries that its whole text names."""
     a = articles(spark, d).select("doc_id", F.element_at(F.array(*[F.lit(s) for s in STORED]), F.expr("cast(doc_id % 8 as int) + 1")).alias("stored"), "title", "text")
-    found = gazetteer.spans(a.select("doc_id", "stored", F.concat_ws("\n", "stored", "title", "text").alias("blob")), F.col("blob"), geo.terms()).drop("blob")
+    found = gazetteer.spans(a.select("doc_id", "stored", F.concat_ws("\n", "stored", "title", "text").alias("blob")), F.col("blob"), geo.terms(), keep=["doc_id", "stored"])
     rows = found.select("doc_id", "stored", geo.heard(F.col("found")).alias("h"))
     cs = F.array_join(geo.countries(F.col("h")), "|")
     return rows.select("doc_id", F.when(cs != "", cs).alias("countries"), geo.resolved(F.col("stored"), F.col("h")).alias("p")).select("doc_id", "countries", "p.*")
@@ -95,7 +95,7 @@ def places_map(spark, d):
     from marisma.operators.facets import top_per_group
 
     a = articles(spark, d).select("doc_id", F.element_at(F.array(*[F.lit(s) for s in STORED]), F.expr("cast(doc_id % 8 as int) + 1")).alias("stored"), "title", "text", "risk")
-    found = gazetteer.spans(a.select("doc_id", "stored", "risk", F.concat_ws("\n", "stored", "title", "text").alias("blob")), F.col("blob"), geo.terms()).drop("blob")
+    found = gazetteer.spans(a.select("doc_id", "stored", "risk", F.concat_ws("\n", "stored", "title", "text").alias("blob")), F.col("blob"), geo.terms(), keep=["doc_id", "stored", "risk"])
     rows = found.select("doc_id", "risk", geo.resolved(F.col("stored"), geo.heard(F.col("found")))["place_id"].alias("place_id"))
     first = top_per_group(rows.select("place_id", "doc_id"), ["place_id"], [F.col("doc_id")], 8).groupBy("place_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), "|").alias("articles"))
     n = rows.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("risk"), 1).alias("mean_risk"), F.count_if(F.col("risk") >= 55).alias("alerts"))

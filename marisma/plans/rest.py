@@ -61,7 +61,7 @@ def country_matches(spark, d):
     """Which articles are of a country: by the stored one, or by what their texts and the places of their claims name."""
     claims = _claims(spark, d).where("turn <= 6").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "location"))), lambda c: c["location"]), " ").alias("extra"))
     a = articles(spark, d).join(claims, "doc_id", "left").select("doc_id", "country", F.concat_ws("\n", "country", "title", F.coalesce("extra", F.lit("")), "text").alias("blob"))
-    found = gazetteer.spans(a, F.col("blob"), geo.terms()).select("doc_id", "country", geo.heard(F.col("found")).alias("h"))
+    found = gazetteer.spans(a, F.col("blob"), geo.terms(), keep=["doc_id", "country"]).select("doc_id", "country", geo.heard(F.col("found")).alias("h"))
     raw = F.upper(F.trim("country"))
     # the country of an article is its stored code before any place
     known = F.array_contains(F.array(*[F.lit(c[0]) for c in geo.COUNTRIES]), raw) & ~raw.isin(*geo.NOWHERE)

@@ -103,3 +103,14 @@ def test_review_states(spark):
         0: ("RESPALDADO", 22, "reviewed", "hitl_validado", "a", 1, 1), 1: ("CONTRADICHO", 82, "reviewed", "hitl_descartado", "b", 1, 1), 2: ("REVISIÓN HUMANA", 22, "pending_review", "hitl_modificado", "d", 2, 1),
         3: ("REVISIÓN HUMANA", 50, "reviewed", "hitl_modificado", "e", 2, 1), 4: ("Insuficiente", 50, "reviewed", None, None, 1, 1), 5: ("Insuficiente", 50, None, None, None, 0, 0),
     }
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 20])
+def test_spans_in_stretches(spark, monkeypatch, piece):
+    monkeypatch.setattr(gazetteer, "PIECE", piece)
+    texts = ["texas y méxico", "", None, "nuevo méxico", "x" * 50, "usa, usa"]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "id int, t string, stored string").coalesce(1)
+    rows = gazetteer.spans(df, F.col("t"), geo.terms(), keep=["id"])
+    assert rows.columns == ["id", "found"]
+    assert {r.id: set(r.h) for r in rows.select("id", geo.heard(F.col("found")).alias("h")).collect()} == {i: heard(t or "") for i, t in enumerate(texts)}
+    assert gazetteer.spans(df, F.col("t"), geo.terms()).columns == ["id", "t", "stored", "found"]
