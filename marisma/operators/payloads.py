@@ -41,9 +41,13 @@ def chart(rows: DataFrame, key: str, diseases: Sequence[str], verdicts: Sequence
     counts = articles.facets(rows, wanted)
     place = F.create_map(*[c for facet, (_, keys) in wanted.items() for i, k in enumerate(keys) for c in (F.lit(f"{facet}:{k}"), F.lit(i))])
     counts = counts.withColumn("place", F.element_at(place, F.concat_ws(":", "facet", "key")))
-    part = lambda facet: counts.where(F.col("facet") == facet).select("place", "key", "n")
+    # one aggregate for all facets: a filter by facet would read the articles again for each
+    cell = F.struct("place", "key", "n")
+    listed = lambda facet: F.array_sort(F.collect_list(F.when(F.col("facet") == facet, cell)))
+    named = {"volume_by_verdict": "verdict", "volume_by_origin": "origin", "volume_by_disease": "disease", "risk_histogram": "risk", "stance": "stance"}
+    counts = counts.agg(*[listed(facet).alias(c) for c, facet in named.items()])
     days = articles.daily(rows, "day", key, "title", "risk").select("day", "n", "unknown_risk", "alerts", "mean_risk", "titles")
-    out = one(volume_by_verdict=part("verdict"), volume_by_origin=part("origin"), volume_by_disease=part("disease"), risk_histogram=part("risk"), stance=part("stance"), by_day=days)
+    out = counts.crossJoin(one(by_day=days))
     n = F.aggregate("volume_by_verdict", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
     scored = F.filter("risk_histogram", lambda b: (b["key"] != TRANCHES[-1]) & (b["n"] > 0))
     top = F.array_sort(F.transform(scored, lambda b: F.struct((-b["n"]).alias("m"), b["place"].alias("place"), b["key"].alias("key"))))
