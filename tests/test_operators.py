@@ -309,3 +309,17 @@ def test_severity_is_told_in_one_pass(spark):
 
     plan = prose.severity_told(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation ") == 1
+
+
+def test_charts_count_in_one_pass(spark):
+    from marisma.plans import payloads
+
+    plan = payloads.chart_payload(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 4  # counts, days, their ends, titles
+
+
+def test_peers_read_texts_once(spark):
+    from marisma.plans import articles
+
+    plan = articles.peer_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 0 and "lower(" not in plan
