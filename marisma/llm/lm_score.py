@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from copy import deepcopy
 from functools import lru_cache
 
@@ -34,6 +34,8 @@ BATCH, STEPS, START_IDS, START_MOST = 128, 600, 400_000, 50_000
 GROUP_IDS, LEAST = 1_500_000, 500
 #: Windows that a task holds together while it trains.
 AT_ONCE = 65_536
+#: Windows that are scored together; ids of one class that meet its members together.
+AT_A_TIME, BLOCK = 256, 32
 _COUNTS, _PIECES, _WINDOWS = 0, 1, 2
 
 
@@ -96,55 +98,77 @@ class Model:
         return np.concatenate([self.p[n].ravel() for n in self.NAMES])
 
     def load(self, flat: np.ndarray) -> None:
+        self._lay(flat.astype(np.float32))
+
+    def _lay(self, flat: np.ndarray) -> None:
+        """Weights become views of flat."""
         at = 0
         for n in self.NAMES:
             size = self.p[n].size
-            self.p[n] = flat[at : at + size].reshape(self.p[n].shape).astype(np.float32)
+            self.p[n] = flat[at : at + size].reshape(self.p[n].shape)
             at += size
 
-    def _context(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
+    def _wide(self) -> dict[str, np.ndarray]:
+        """Weights for rows that carry a one behind them, so that biases, and sums over the places seen, come with the same products.
+
+        ask is what queries and keys come to together, give what values and outputs do: both act on the inputs themselves.
+        """
+        p = self.p
+        ask, give = np.zeros((DIM + 1, DIM + 1), np.float32), np.zeros((DIM + 1, DIM + 1), np.float32)
+        np.divide(np.dot(p["q"], p["k"].T), np.float32(np.sqrt(DIM)), out=ask[:DIM, :DIM])
+        give[:DIM, :DIM] = np.dot(p["v"], p["out"])
+        return {
+            "embed": np.concatenate([p["embed"], np.ones((KNOWN + 2, 1), np.float32)], 1), "place": np.concatenate([p["place"], np.zeros((WINDOW, 1), np.float32)], 1).ravel(), "ask": ask, "give": give,
+            "w1": np.concatenate([p["w1"], p["b1"][None]]), "w2": np.concatenate([p["w2"], np.zeros((HIDDEN, 1), np.float32)], 1),
+        }
+
+    def _heads(self) -> dict[str, np.ndarray]:
+        p = self.p
+        return {"class": np.concatenate([p["class_w"], p["class_b"][None]]), "member": np.concatenate([p["member_w"], p["member_b"][:, None]], 1)}
+
+    def _context(self, inputs: np.ndarray, w: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
         """All layers for windows of input ids (windows, WINDOW); queries and later layers for the last NEW places alone."""
-        p, b = self.p, len(inputs)
-        x0 = np.take(p["embed"], inputs, axis=0)
-        x0 += p["place"]
-        flat = x0.reshape(-1, DIM)
-        last = x0[:, -NEW:]
-        q = np.dot(np.ascontiguousarray(last).reshape(-1, DIM), p["q"] / np.float32(np.sqrt(DIM))).reshape(b, NEW, DIM)
-        k = np.dot(flat, p["k"]).reshape(b, WINDOW, DIM)
-        v = np.empty((b, WINDOW, DIM + 1), np.float32)
-        v[:, :, :DIM] = np.dot(flat, p["v"]).reshape(b, WINDOW, DIM)
-        v[:, :, DIM] = 1
-        s = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
-        if s.max() > 60 or s.min() < -60:
+        w, b = w or self._wide(), len(inputs)
+        x0 = np.take(w["embed"], inputs, axis=0)
+        x0.reshape(b, -1)[:] += w["place"]
+        last = np.ascontiguousarray(x0[:, -NEW:]).reshape(-1, DIM + 1)
+        # gradients of the weights s are put behind them
+        q, both = np.dot(last, w["ask"]).reshape(b, NEW, DIM + 1), np.empty((b, 2 * NEW, WINDOW), np.float32)
+        s = both[:, :NEW]
+        np.matmul(q, x0.transpose(0, 2, 1), out=s)
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(s, out=s)
+            s *= _MASK
+            y = np.matmul(s, x0).reshape(-1, DIM + 1)
+        if not _sound(y[:, DIM]):
+            np.matmul(q, x0.transpose(0, 2, 1), out=s)
             s -= np.where(_MASK > 0, s, -np.inf).max(2, keepdims=True)
             np.minimum(s, 0, out=s)
-        np.exp(s, out=s)
-        s *= _MASK
-        z = np.matmul(s, v)
-        total = z[:, :, DIM:]
-        z = z[:, :, :DIM] / total
-        x1 = np.dot(z.reshape(-1, DIM), p["out"]).reshape(b, NEW, DIM)
+            np.exp(s, out=s)
+            s *= _MASK
+            y = np.matmul(s, x0).reshape(-1, DIM + 1)
+        share = 1 / y[:, DIM:]
+        y *= share
+        x1 = np.dot(y, w["give"])
         x1 += last
-        u = np.dot(x1.reshape(-1, DIM), p["w1"])
-        u += p["b1"]
+        u = np.dot(x1, w["w1"])
         np.maximum(u, 0, out=u)
-        x2 = np.dot(u, p["w2"]).reshape(b, NEW, DIM)
-        x2 += x1
-        return {"x0": x0, "q": q, "k": k, "v": v, "s": s, "total": total, "z": z, "x1": x1, "u": u, "x2": x2}
+        wide = np.dot(u, w["w2"])
+        wide += x1
+        return {"x0": x0, "last": last, "q": q, "both": both, "share": share, "y": y, "x1": x1, "u": u, "wide": wide, "x2": wide[:, :DIM].reshape(b, NEW, DIM)}
 
     def log_probability(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of target numbers (RARE: of the class of all others) after contexts x."""
-        p = self.p
+        """Natural logarithm of the probability of target numbers (RARE: of the class of all others) after contexts x, with or without a one behind them."""
+        w = self._heads()
+        if x.shape[1] == DIM:
+            x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
         kind = (target >> _SHIFT).astype(np.uint8)
-        out = _log_share(np.dot(x, p["class_w"]), p["class_b"], kind)
-        order = np.argsort(kind, kind="stable")
-        edges, inner = np.searchsorted(kind[order], np.arange(CLASSES + 1)), np.zeros(len(x), np.float32)
-        sorted_x, member = np.take(x, order, axis=0), np.take(target & (MEMBERS - 1), order)
-        for c in range(CLASSES):
-            a, b = edges[c], edges[c + 1]
-            if a < b:
-                inner[a:b] = _log_share(np.dot(sorted_x[a:b], p["member_w"][c]), p["member_b"][c], member[a:b])
-        out[order] += inner
+        out = _log_share(lambda: np.dot(x, w["class"]), kind)
+        of, row, slot = _blocks(kind)
+        inner = np.zeros(of.size * BLOCK + 1, np.float32)
+        some, member = np.take(x, row, axis=0).reshape(-1, BLOCK, DIM + 1), w["member"][of]
+        inner[:-1] = _log_share(lambda: np.matmul(some, member).reshape(-1, MEMBERS), np.take(target & (MEMBERS - 1), row))
+        out += inner[slot]
         return out
 
     def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -157,113 +181,165 @@ class Model:
         text = np.repeat(np.arange(len(size)), windows)
         begin = (np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * NEW
         start, end = first[text], first[text + 1]
-        logs = np.zeros(len(ids))
-        for i in range(0, len(text), 2048):
+        logs, w = np.zeros(len(ids)), self._wide()
+        for i in range(0, len(text), AT_A_TIME):
             # the input at a place is the id before it; before a text's first id all are BEGIN
-            at = begin[i : i + 2048, None] + np.arange(NEW - WINDOW - 1, NEW - 1)
-            inputs = np.take(numbers, start[i : i + 2048, None] + at, mode="clip")
+            at = begin[i : i + AT_A_TIME, None] + np.arange(NEW - WINDOW - 1, NEW - 1)
+            inputs = np.take(numbers, start[i : i + AT_A_TIME, None] + at, mode="clip")
             inputs[at < 0] = BEGIN
-            scored = (start[i : i + 2048] + begin[i : i + 2048])[:, None] + np.arange(NEW)
-            there = np.flatnonzero(scored < end[i : i + 2048, None])
+            scored = (start[i : i + AT_A_TIME] + begin[i : i + AT_A_TIME])[:, None] + np.arange(NEW)
+            there = np.flatnonzero(scored < end[i : i + AT_A_TIME, None])
             scored = scored.ravel()[there]
-            logs[scored] = self.log_probability(np.take(self._context(inputs)["x2"].reshape(-1, DIM), there, axis=0), numbers[scored])
+            logs[scored] = self.log_probability(np.take(self._context(inputs, w)["wide"], there, axis=0), numbers[scored])
         logs += np.where(numbers == RARE, self.rare_log[ids], 0)
         return np.add.reduceat(logs, first[:-1]) / np.log(10)
 
-    def fit(self, windows: np.ndarray, rate: float, seed: int, steps: int | None = None) -> None:
+    def fit(self, windows: np.ndarray, rate: float, seed: int, steps: int | None = None, least: int | None = None, state: list | None = None) -> list:
         """Adam over windows (n, WINDOW + 1) of numbers: inputs, and one id on the targets; -1 is after a text.
 
-        One pass at one rate, or LEAST steps if that is more; with steps, so many in passes over the windows, at a rate that falls to a twentieth.
+        One pass at one rate, or least (LEAST) steps if that is more; with steps, so many in passes over the windows, at a rate that falls to a twentieth.
+        Gives the state of Adam, from which the next windows go on.
         """
         r = np.random.default_rng(seed)
-        moment = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in self.p.items()}
-        a_pass = -(-len(windows) // BATCH)
-        for step in range(1, (steps or max(a_pass, LEAST)) + 1):
-            turn = (step - 1) % a_pass
+        weights = self.flat()
+        self._lay(weights)
+        done, m, s = state or [0, np.zeros_like(weights), np.zeros_like(weights)]
+        g, a_pass = np.empty_like(weights), -(-len(windows) // BATCH)
+        for i in range(steps or max(a_pass, LEAST if least is None else least)):
+            step, turn = done + i + 1, i % a_pass
             if not turn:
                 order = r.permutation(len(windows))
             now = rate * (1 - 0.95 * step / steps) if steps else rate
-            for n, g in self._gradient(windows[order[turn * BATCH : (turn + 1) * BATCH]]).items():
-                m, s = moment[n]
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                self.p[n] -= now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+            found = self._gradient(windows[order[turn * BATCH : (turn + 1) * BATCH]])
+            np.concatenate([found[n].ravel() for n in self.NAMES], out=g, casting="same_kind")
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            np.square(g, out=g)
+            g *= np.float32(0.01)
+            s *= np.float32(0.99)
+            s += g
+            # the corrections for the moments' start at zero are a factor each
+            np.multiply(s, np.float32(1 / (1 - 0.99**step)), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= np.float32(now / (1 - 0.9**step))
+            weights -= g
+        return [step, m, s]
 
     def _gradient(self, windows: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        inputs, target = np.maximum(windows[:, :-1], 0), windows[:, -NEW:]
-        c = self._context(inputs)
-        there = np.flatnonzero(target.ravel() >= 0)
-        there = there[np.argsort((target.ravel()[there] >> _SHIFT).astype(np.uint8), kind="stable")]
-        x, want = np.take(c["x2"].reshape(-1, DIM), there, axis=0), np.take(target.ravel(), there)
-        n, g = np.float32(max(1, len(want))), {}
-        # targets stand class by class
-        kind = want >> _SHIFT
-        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-        wrong = _wrong(np.dot(x, p["class_w"]), p["class_b"], kind, n)
-        g["class_w"], g["class_b"] = np.dot(x.T, wrong), wrong.sum(0)
-        gx = np.dot(wrong, p["class_w"].T)
-        g["member_w"], g["member_b"] = np.zeros_like(p["member_w"]), np.zeros_like(p["member_b"])
-        for k in range(CLASSES):
-            i, j = edges[k], edges[k + 1]
-            if i < j:
-                wrong = _wrong(np.dot(x[i:j], p["member_w"][k]), p["member_b"][k], want[i:j] & (MEMBERS - 1), n)
-                np.dot(x[i:j].T, wrong, out=g["member_w"][k])
-                g["member_b"][k] = wrong.sum(0)
-                gx[i:j] += np.dot(wrong, p["member_w"][k].T)
-        flat = lambda a: np.ascontiguousarray(a).reshape(-1, a.shape[-1])
-        g2 = np.zeros_like(c["x2"])
-        g2.reshape(-1, DIM)[there] = gx
-        g["w2"] = c["u"].T @ flat(g2)
-        gu = (flat(g2) @ p["w2"].T) * (c["u"] > 0)
-        g["w1"], g["b1"] = flat(c["x1"]).T @ gu, gu.sum(0)
-        g1 = g2 + (gu @ p["w1"].T).reshape(g2.shape)
-        g["out"] = flat(c["z"]).T @ flat(g1)
-        gz = g1 @ p["out"].T
-        share = c["s"] / c["total"]
-        gv = share.transpose(0, 2, 1) @ gz
-        gs = gz @ c["v"][:, :, :DIM].transpose(0, 2, 1)
-        gs = share * (gs - (gs * share).sum(2, keepdims=True))
-        gq, gk = gs @ c["k"] / np.float32(np.sqrt(DIM)), gs.transpose(0, 2, 1) @ c["q"]
-        g0 = np.zeros_like(c["x0"])
-        g0[:, -NEW:] = g1 + gq @ p["q"].T
-        g["q"] = flat(c["x0"][:, -NEW:]).T @ flat(gq)
-        for name, part in (("k", gk), ("v", gv)):
-            g[name] = flat(c["x0"]).T @ flat(part)
-            g0 += part @ p[name].T
-        g["place"] = g0.sum(0)
-        g["embed"] = np.stack([np.bincount(inputs.ravel(), g0[:, :, k].ravel(), KNOWN + 2) for k in range(DIM)], 1).astype(np.float32)
+        p, w, b = self.p, self._wide() | self._heads(), len(windows)
+        inputs, target = np.maximum(windows[:, :-1], 0), windows[:, -NEW:].ravel()
+        c = self._context(inputs, w)
+        x0, both, y, x1, u, x2 = c["x0"], c["both"], c["y"], c["x1"], c["u"], c["wide"]
+        there = target >= 0
+        n, g = np.float32(1 / max(1, np.count_nonzero(there))), {}
+        # places after a text are of no class, and weigh nothing
+        kind = np.where(there, target >> _SHIFT, CLASSES + 1).astype(np.uint8)
+        wrong = _wrong(lambda: np.dot(x2, w["class"]), np.minimum(kind, CLASSES), there * n)
+        wide = np.dot(x2.T, wrong)
+        g["class_w"], g["class_b"] = wide[:DIM], wide[DIM]
+        g2 = np.dot(wrong, w["class"].T)
+        of, row, slot = _blocks(kind)
+        weight = np.zeros(of.size * BLOCK + 1, np.float32)
+        weight[slot] = n
+        x, member = np.take(x2, row, axis=0).reshape(-1, BLOCK, DIM + 1), w["member"][of]
+        wrong = _wrong(lambda: np.matmul(x, member).reshape(-1, MEMBERS), np.take(target & (MEMBERS - 1), row), weight[:-1]).reshape(-1, BLOCK, MEMBERS)
+        mine = (of == np.arange(CLASSES)[:, None]).astype(np.float32)
+        wide = np.dot(mine, np.matmul(x.transpose(0, 2, 1), wrong).reshape(len(of), (DIM + 1) * MEMBERS)).reshape(w["member"].shape)
+        g["member_w"], g["member_b"] = wide[:, :DIM], wide[:, DIM]
+        gx = np.zeros((of.size * BLOCK + 1, DIM + 1), np.float32)
+        np.matmul(wrong, member.transpose(0, 2, 1), out=gx[:-1].reshape(-1, BLOCK, DIM + 1))
+        g2 += np.take(gx, slot, axis=0)
+        g["w2"] = np.dot(u.T, g2)[:, :DIM]
+        gu = np.dot(g2, w["w2"].T)
+        gu *= u > 0
+        wide = np.dot(x1.T, gu)
+        g["w1"], g["b1"] = wide[:DIM], wide[DIM]
+        g2 += np.dot(gu, w["w1"].T)
+        ggive = np.dot(y.T, g2)[:DIM, :DIM]
+        # behind the gradient of each sum over places: what takes the softmax's mean off those of its weights
+        own = np.dot(g2, w["give"].T)
+        own[:, DIM] = -np.einsum("ij,ij->i", own, y)
+        behind = np.empty((b, 2 * NEW, DIM + 1), np.float32)
+        np.multiply(own.reshape(b, NEW, DIM + 1), c["share"].reshape(b, NEW, 1), out=behind[:, :NEW])
+        behind[:, NEW:] = c["q"]
+        gs = both[:, NEW:]
+        np.matmul(behind[:, :NEW], x0.transpose(0, 2, 1), out=gs)
+        gs *= both[:, :NEW]
+        g0 = np.matmul(both.transpose(0, 2, 1), behind)
+        gq = np.matmul(gs, x0).reshape(-1, DIM + 1)
+        gask = np.dot(c["last"].T, gq)[:DIM, :DIM] / np.float32(np.sqrt(DIM))
+        g2 += np.dot(gq, w["ask"].T)
+        g0[:, -NEW:] += g2.reshape(b, NEW, DIM + 1)
+        g["q"], g["k"], g["v"], g["out"] = gask @ p["k"], gask.T @ p["q"], ggive @ p["out"].T, p["v"].T @ ggive
+        g["place"] = np.dot(np.ones(b, np.float32), g0.reshape(b, -1)).reshape(WINDOW, -1)[:, :DIM]
+        cell = np.take(_CELLS, inputs.ravel(), axis=0)
+        g["embed"] = np.bincount(cell.ravel(), g0.ravel(), _CELLS.size).reshape(_CELLS.shape)[:, :DIM].astype(np.float32)
         return g
 
 
 #: Which places of a window each of its last NEW places sees.
 _MASK = np.tri(NEW, WINDOW, WINDOW - NEW, dtype=np.float32)
 _SHIFT = MEMBERS.bit_length() - 1
-
-
-def _hold(logits: np.ndarray) -> None:
-    """Rows far from zero are moved, so that their exponentials neither overflow nor vanish."""
-    if logits.size and (logits.max() > 60 or logits.min() < -60):
+#: Where the weights of each number's input, and a one, stand one after another.
+_CELLS = np.arange((KNOWN + 2) * (DIM + 1)).reshape(-1, DIM + 1)
+
+
+def _sound(sums: np.ndarray) -> bool:
+    """Whether sums of exponentials neither overflowed nor vanished."""
+    return bool(sums.min(initial=1) > 1e-20 and sums.max(initial=1) < 1e30)
+
+
+def _softmax(make: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits that make gives, and their sum in each row; rows are moved by their largest if need be."""
+    e = make()
+    ones = np.ones(e.shape[1], np.float32)
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(e, out=e)
+        sums = np.dot(e, ones)
+    if not _sound(sums):
+        e = make()
+        e -= e.max(1, keepdims=True)
+        np.exp(e, out=e)
+        sums = np.dot(e, ones)
+    return e, sums
+
+
+def _wrong(make: Callable[[], np.ndarray], which: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Softmax of the logits that make gives less one at one column of each row, times the row's weight."""
+    e, sums = _softmax(make)
+    e *= (weight / sums)[:, None]
+    e.ravel()[np.arange(0, e.size, e.shape[1]) + which] -= weight
+    return e
+
+
+def _log_share(make: Callable[[], np.ndarray], which: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax, at one column of each row, of the logits that make gives."""
+    e, sums = _softmax(make)
+    at = np.arange(0, e.size, e.shape[1]) + which
+    own = np.take(e.ravel(), at)
+    if own.min(initial=1) < 1e-30:
+        logits = make()
         logits -= logits.max(1, keepdims=True)
+        return np.take(logits.ravel(), at) - np.log(np.exp(logits).sum(1))
+    return np.log(own / sums)
 
 
-def _wrong(logits: np.ndarray, bias: np.ndarray, which: np.ndarray, n: np.float32) -> np.ndarray:
-    """Softmax of logits + bias less one at one column of each row, over n."""
-    logits += bias
-    _hold(logits)
-    np.exp(logits, out=logits)
-    logits /= np.dot(logits, np.full(logits.shape[1], n, np.float32))[:, None]
-    logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + which] -= 1 / n
-    return logits
+def _blocks(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows dealt by class to blocks of BLOCK places: class of each block; row at each place (0 where none is); place of each row.
 
-
-def _log_share(logits: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of logits + bias at one column of each row."""
-    logits += bias
-    _hold(logits)
-    own = np.take(logits.ravel(), np.arange(0, logits.size, logits.shape[1]) + which)
-    np.exp(logits, out=logits)
-    return own - np.log(np.dot(logits, np.ones(logits.shape[1], np.float32)))
+    Rows of no class that has members have one place after all others.
+    """
+    order = np.argsort(kind, kind="stable")
+    n = np.bincount(kind, minlength=CLASSES)[:CLASSES]
+    blocks = -(-n // BLOCK)
+    known, places = n.sum(), blocks.sum() * BLOCK
+    to = np.arange(known) + np.repeat((np.cumsum(blocks) - blocks) * BLOCK - np.cumsum(n) + n, n)
+    row, slot = np.zeros(places, np.int64), np.full(len(kind), places)
+    row[to] = order[:known]
+    slot[order[:known]] = to
+    return np.repeat(np.arange(CLASSES), blocks), row, slot
 
 
 def _gather(path: str):
@@ -332,6 +408,26 @@ def _numbered(model: Model, payloads: list[bytes]) -> np.ndarray:
     return np.where(w == -1, -1, np.where(w == -2, BEGIN, model.number[np.maximum(w, 0)]))
 
 
+def _learn(model: Model, payloads: list[bytes], rate: float, seed: int) -> int:
+    """One pass over all windows of a group's texts, or LEAST steps in all if that is more; how many windows there are.
+
+    They are held in pieces of about AT_ONCE; a piece goes on where the one before ended, and has its share of LEAST.
+    """
+    width = np.dtype(_width(len(model.number))).itemsize
+    whole = sum(-(-len(p) // (width * NEW)) for p in payloads)
+    held, n, state = [], 0, None
+    for i, payload in enumerate(payloads):
+        held.append(payload)
+        n += len(payload)
+        if n >= AT_ONCE * NEW * width or i + 1 == len(payloads):
+            windows = _numbered(model, held)
+            held, n = [], 0
+            for k in range(0, len(windows), AT_ONCE):
+                piece = windows[k : k + AT_ONCE]
+                state = model.fit(piece, rate, seed, least=LEAST * len(piece) // whole, state=state)
+    return whole
+
+
 def train(gathered: DataFrame, size: int) -> Model:
     """A model of the gathered counts and texts.
 
@@ -366,17 +462,8 @@ def train(gathered: DataFrame, size: int) -> Model:
 
         def learn(rows: pd.DataFrame) -> pd.DataFrame:
             # a copy: another task of the same Python process starts from the round's weights too
-            own, held, seen, n = deepcopy(shared.value), [], 0, 0
-            payloads = [p for _, p in sorted(zip(rows["key"], map(bytes, rows["payload"]), strict=True))]
-            for i, payload in enumerate(payloads):
-                held.append(payload)
-                n += len(payload)
-                if n >= AT_ONCE * NEW * 2 or i + 1 == len(payloads):
-                    windows = _numbered(own, held)
-                    held, n = [], 0
-                    for k in range(0, len(windows), AT_ONCE):
-                        own.fit(windows[k : k + AT_ONCE], 0.01 / (1 + turn), turn)
-                    seen += len(windows)
+            own = deepcopy(shared.value)
+            seen = _learn(own, [p for _, p in sorted(zip(rows["key"], map(bytes, rows["payload"]), strict=True))], 0.01 / (1 + turn), turn)
             return pd.DataFrame({"weights": [own.flat().tobytes()], "n": [seen]})
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

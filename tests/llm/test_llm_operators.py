@@ -327,6 +327,39 @@ def test_each_id_is_learned_once(spark):
     assert got == counts
 
 
+def test_a_group_is_learned_in_one_pass(monkeypatch):
+    """A group held in pieces is passed over once; what is left for the last piece is not gone over again and again."""
+    monkeypatch.setattr(lm_score, "AT_ONCE", 256)
+    monkeypatch.setattr(lm_score, "LEAST", 3)
+    m = lm_score.Model(np.arange(3000, 0, -1).astype(float))
+    seen, gradient = [], m._gradient
+    monkeypatch.setattr(m, "_gradient", lambda w: (seen.append(len(w)), gradient(w))[1])
+    payloads = [(np.arange(n) % 3000).astype("<u2").tobytes() for n in (24 * 200, 24 * 57, 30)]
+    assert lm_score._learn(m, payloads, 0.01, 0) == 259
+    assert sum(seen) == 259
+    seen.clear()
+    assert lm_score._learn(m, payloads[2:], 0.01, 0) == 2
+    assert seen == [2] * 3
+
+
+def test_far_logits():
+    """Logits beyond what exponentials hold give the same shares as in double precision, alone and beside others."""
+    r = np.random.default_rng(31)
+    for logits in (r.normal(size=(7, 5)) * 3, r.normal(size=(7, 5)) * 200, np.vstack([r.normal(size=(3, 5)) + 300, r.normal(size=(3, 5)) - 300, [[0, -110, -120, -1, -2]] * 4])):
+        which = r.integers(0, 5, len(logits))
+        log = logits - logits.max(1, keepdims=True)
+        log -= np.log(np.exp(log).sum(1, keepdims=True))
+        make = lambda: logits.astype(np.float32)  # noqa: B023, E731
+        assert lm_score._log_share(make, which) == pytest.approx(log[np.arange(len(log)), which], rel=1e-4, abs=1e-4)
+        want = (np.exp(log) - np.eye(5)[which]) * 0.5
+        assert lm_score._wrong(make, which, np.full(len(log), 0.5, np.float32)) == pytest.approx(want, abs=1e-4)
+    m = lm_score.Model(r.zipf(1.5, 3000).astype(float))
+    w = r.integers(0, lm_score.KNOWN + 1, (4, lm_score.WINDOW))
+    near = m._context(w)["x2"]
+    m.p["q"] = m.p["q"] * np.float32(1e4)
+    assert np.isfinite(near).all() and np.isfinite(m._context(w)["x2"]).all()
+
+
 def test_scores_against_plain_attention():
     """Each id's probability from its window alone, one place at a time, with the whole softmax."""
     r = np.random.default_rng(21)
