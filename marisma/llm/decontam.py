@@ -21,7 +21,13 @@ RANK, MORE = 64, 8
 ITEMS_AT_ONCE = 5000
 #: Windows that lie near an item, whose words are compared together.
 CANDIDATES = 100_000
+#: So many of them, and so many of their words, are held side by side.
+LANES, CELLS = 4096, 1 << 20
+#: Ranges that begin in the same so many words are first taken as one.
+NEAR = 64
 _SUM = "n bigint, total binary"
+#: Sums of what lies before each place of a stretch of running sums.
+_BELOW = np.tri(16, 16, -1, dtype=np.float32)
 
 
 @dataclass
@@ -73,23 +79,57 @@ def lcs_bounds(item: np.ndarray, codes: np.ndarray, left: np.ndarray, right: np.
 
     A longer item's is at most the sum over its pieces of 64 words. row has a zero for each code, before and after.
     """
-    out = np.zeros(len(left), np.int64)
-    for i in range(0, len(item), 64):
-        piece = item[i : i + 64]
-        np.bitwise_or.at(row, piece, np.uint64(1) << np.arange(len(piece), dtype=np.uint64))
-        full = np.uint64((1 << len(piece)) - 1)
-        for j in range(0, len(left), 2048):
-            at = left[j : j + 2048] + np.arange((right[j : j + 2048] - left[j : j + 2048]).max(initial=0))[:, None]
-            places = row[np.where(at < right[j : j + 2048], codes[np.minimum(at, len(codes) - 1)], 0)]
-            v = np.full(places.shape[1], full)
-            for u in places:
-                u &= v
-                v = (v + u) | (v ^ u)
-            out[j : j + 2048] += len(piece) - np.bitwise_count(v & full).astype(np.int64)
-        row[piece] = 0
+    return bounds_of([item], np.zeros(len(left), np.int64), codes, left, right, row)
+
+
+def bounds_of(items: list[np.ndarray], which: np.ndarray, codes: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """lcs_bounds of ranges each with the item that `which` names: ranges of all items go through the words side by side."""
+    out = np.zeros(len(which), np.int64)
+    pieces = np.array([-(-len(c) // 64) for c in items], np.int64)[which]
+    lane = np.repeat(np.arange(len(which)), pieces)
+    piece = np.arange(len(lane)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    # an item's ranges stand together, beside those of items that are about as long
+    order = np.lexsort((piece, which[lane], np.array([len(c) for c in items])[which[lane]]))
+    padded, i = np.append(codes, 0), 0
+    while i < len(order):
+        most = int((right - left)[lane[order[i : i + LANES]]].max())
+        own, part = (x[order[i : i + max(1, min(LANES, CELLS // max(1, most)))]] for x in (lane, piece))
+        i += len(own)
+        lo, hi, of = left[own], right[own], which[own]
+        at = np.arange((hi - lo).max())[:, None]
+        places, full = np.empty((len(at), len(own)), np.uint64), np.empty(len(own), np.uint64)
+        edges = np.flatnonzero(np.r_[True, (np.diff(of) != 0) | (np.diff(part) != 0), True])
+        for e, f in zip(edges[:-1], edges[1:], strict=True):
+            words = items[of[e]][part[e] * 64 : part[e] * 64 + 64]
+            np.bitwise_or.at(row, words, np.uint64(1) << np.arange(len(words), dtype=np.uint64))
+            here = lo[e:f] + at
+            np.putmask(here, here >= hi[e:f], len(codes))
+            places[:, e:f] = np.take(row, np.take(padded, here))
+            row[words] = 0
+            full[e:f] = (1 << len(words)) - 1
+        v = full.copy()
+        for u in places:
+            u &= v
+            v = (v + u) | (v ^ u)
+        np.add.at(out, own, np.bitwise_count(full).astype(np.int64) - np.bitwise_count(v & full))
     return out
 
 
+def may_hold(items: list[np.ndarray], which: np.ndarray, least: np.ndarray, codes: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which ranges may have a longest common subsequence of at least `least` with their item, by bounds_of.
+
+    Ranges of one item that begin near each other are first taken as one, which holds what any of them holds.
+    """
+    order = np.lexsort((left, which))
+    head = np.flatnonzero(np.r_[len(order) > 0, (np.diff(which[order]) != 0) | (np.diff(left[order] // NEAR) != 0)][: len(order)])
+    if not len(head):
+        return order
+    # an item has one least
+    wide = bounds_of(items, which[order[head]], codes, left[order[head]], np.maximum.reduceat(right[order], head), row) >= least[order[head]]
+    order = order[np.repeat(wide, np.diff(np.append(head, len(order))))]
+    return np.sort(order[bounds_of(items, which[order], codes, left[order], right[order], row) >= least[order]])
+
+
 def windows(first: np.ndarray, size: int, step: int, overlap: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, begin and end of windows of `size` words each `step` words; the last window of a text ends with it (is shorter, without overlap), a shorter text is one."""
     n = np.diff(first)
@@ -127,15 +167,27 @@ def _total(rows: DataFrame) -> tuple[int, np.ndarray | None]:
     return sum(r["n"] for r in got), sum((np.frombuffer(r["total"]) for r in got), np.zeros(1)) if got else None
 
 
+def _running(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Running sums of the rows of table at codes, a row of zeros first: inside stretches by one product each, then over the stretches."""
+    n, size = len(codes), len(_BELOW)
+    inside = np.matmul(_BELOW, np.take(table, np.pad(codes, (0, size - n % size)), axis=0).reshape(-1, size, table.shape[1]))
+    inside[1:] += np.cumsum(inside[:-1, -1] + np.take(table, codes[size - 1 : n - n % size : size], axis=0), axis=0)[:, None]
+    return inside.reshape(-1, table.shape[1])
+
+
 def _project(table: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Sums of the rows of table at the codes begin..end, in ascending order; row 0 is zero."""
-    out = np.zeros((len(begin), table.shape[1]), np.float32)
+    """Sums of the rows of table at the codes begin..end, in ascending order; row 0 is zero, so that only other codes are looked up."""
+    out = np.empty((len(begin), table.shape[1]), np.float32)
+    if not len(begin):
+        return out
+    known = codes[begin[0] : end.max()] != 0
+    before = np.concatenate([[0], np.cumsum(known)])
+    codes, begin, end = codes[begin[0] : end.max()][known], before[begin - begin[0]], before[end - begin[0]]
     # running sums over short stretches: overlapping windows take each word once
     for i in range(0, len(begin), 512):
         lo, hi = begin[i : i + 512], end[i : i + 512]
-        running = np.zeros((hi.max() - lo[0] + 1, table.shape[1]), np.float32)
-        np.cumsum(np.take(table, codes[lo[0] : hi.max()], axis=0), axis=0, out=running[1:])
-        out[i : i + 512] = running[hi - lo[0]] - running[lo - lo[0]]
+        running = _running(table, codes[lo[0] : hi.max()])
+        np.subtract(np.take(running, hi - lo[0], axis=0), np.take(running, lo - lo[0], axis=0), out=out[i : i + 512])
     return out
 
 
@@ -280,7 +332,7 @@ def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str,
                     x = _project(table, codes, begin[some], end[some])
                     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                     near = x @ vectors.T
-                    a, q = np.nonzero(near >= cosine)
+                    a, q = np.divmod(np.flatnonzero(near >= cosine), len(vectors))
                     tried.append((some[a], q, near[a, q]))
                     if i + 1024 < len(likely) and sum(len(t[0]) for t in tried) < CANDIDATES:
                         continue
@@ -291,13 +343,8 @@ def _find(rows: DataFrame, items: Items, schema: str, kind: str, item_kind: str,
                     left = np.maximum(first[text[at]], begin[at] - lo - length)
                     right = np.minimum(first[text[at] + 1], begin[at] - lo + sizes[item] + length)
                     may = np.flatnonzero(known[right] - known[left] >= least[item])
-                    order = may[np.argsort(item[may], kind="stable")]
-                    edges = np.flatnonzero(np.r_[True, np.diff(item[order]) != 0, True]) if len(order) else []
-                    good = [np.zeros(0, np.int64)]
-                    for e, f in zip(edges[:-1], edges[1:], strict=True):
-                        k, group = item[order[e]], order[e:f]
-                        good.append(group[lcs_bounds(own.codes[k], codes, left[group], right[group], row) >= least[k]])
-                    for c in np.sort(np.concatenate(good)):
+                    # words that no item has are in no common subsequence
+                    for c in may[may_hold(own.codes, item[may], least[item[may]], codes[codes != 0], known[left[may]], known[right[may]], row)]:
                         k, t = int(item[c]), int(text[at[c]])
                         held = found.get((t, k), (0.0, 0.0, 0.0))
                         if held[1] == 1.0:

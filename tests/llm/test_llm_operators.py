@@ -445,6 +445,61 @@ def test_lcs_bounds():
         assert (got >= want).all() and (n > 64 or (got == want).all()) and not row.any()
 
 
+def test_bounds_of_items_side_by_side(monkeypatch):
+    """Ranges of short and long items, in small pieces and together, have the bounds they have alone."""
+    r = np.random.default_rng(41)
+    codes = r.integers(0, 60, 3000)
+    items = [r.integers(1, 60, n) for n in (3, 12, 63, 64, 65, 200)]
+    which = r.integers(0, len(items), 300)
+    left = r.integers(0, 2900, 300)
+    right = np.minimum(left + r.integers(0, 300, 300), 3000)
+    want = np.zeros(300, np.int64)
+    for c in range(300):
+        item = items[which[c]]
+        want[c] = sum(decontam.lcs(item[i : i + 64], codes[left[c] : right[c]]) for i in range(0, len(item), 64))
+    for lanes, cells in ((4096, 1 << 20), (7, 1 << 20), (4096, 1000), (1, 1)):
+        monkeypatch.setattr(decontam, "LANES", lanes)
+        monkeypatch.setattr(decontam, "CELLS", cells)
+        row = np.zeros(61, np.uint64)
+        assert (decontam.bounds_of(items, which, codes, left, right, row) == want).all() and not row.any()
+    assert len(decontam.bounds_of(items, which[:0], codes, left[:0], right[:0], row)) == 0
+
+
+def test_ranges_are_taken_together(monkeypatch):
+    """Near ranges of an item are looked at as one first; what is found is what each range alone holds."""
+    r = np.random.default_rng(43)
+    codes = r.integers(0, 400, 4000)
+    items = [r.integers(1, 400, n) for n in (12, 30, 90)]
+    for i, at in enumerate((500, 1500, 2500)):
+        codes[at : at + len(items[i])] = np.where(r.random(len(items[i])) < 0.7, items[i], 0)
+    left = np.tile(np.arange(0, 3800, 8), 3)
+    which = np.repeat(np.arange(3), len(left) // 3)
+    right = np.minimum(left + np.array([60, 80, 140])[which], 4000)
+    least = np.array([6, 15, 45])[which]
+    row, lanes, bounds = np.zeros(401, np.uint64), [], decontam.bounds_of
+    want = np.flatnonzero(bounds(items, which, codes, left, right, row) >= least)
+    assert {0, 1, 2} == set(which[want])
+    monkeypatch.setattr(decontam, "bounds_of", lambda *x: (lanes.append(len(x[1])), bounds(*x))[1])
+    mixed = r.permutation(len(left))
+    got = decontam.may_hold(items, which[mixed], least[mixed], codes, left[mixed], right[mixed], row)
+    assert np.sort(mixed[got]).tolist() == want.tolist() and sum(lanes) < len(left) / 3
+    assert not len(decontam.may_hold(items, which[:0], least[:0], codes, left[:0], right[:0], row))
+
+
+def test_sums_over_windows():
+    """Sums over windows of words that items have or not, also of none and of a whole stretch."""
+    r = np.random.default_rng(42)
+    table = r.normal(size=(50, 9)).astype(np.float32)
+    table[0] = 0
+    for share in (0, 0.4, 1):
+        for n in (1, 15, 16, 17, 900):
+            codes = np.where(r.random(n) < share, r.integers(1, 50, n), 0)
+            _, begin, end = decontam.windows(np.array([0, n // 3, n // 3, n]), 24, 8)
+            want = [table[codes[a:b]].sum(0) for a, b in zip(begin, end)]
+            assert decontam._project(table, codes, begin, end) == pytest.approx(np.array(want), abs=1e-3)
+    assert decontam._project(table, codes, begin[:0], end[:0]).shape == (0, 9)
+
+
 def test_decontamination(spark, awkward):
     r = np.random.default_rng(9)
     word = lambda: "".join(r.choice(["ba", "ko", "ti", "ru", "se"], r.integers(1, 5)))
