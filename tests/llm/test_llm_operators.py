@@ -6,10 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marisma.llm import bytetext, decontam, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, quality_cnn, url_filter
+from marisma.session import ship
 
 AZ = {c: c + 32 for c in range(65, 91)}
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, pos int, key string, n_dropped string, hash string"
@@ -236,6 +238,26 @@ def test_languages(spark, awkward):
     assert language_id.predict_languages(awkward.limit(0)).count() == 0
 
 
+def test_python_holds_few_texts_at_once(spark):
+    ship(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    docs = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    got = docs.mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(x.n for x in got) == 9000 and max(x.size for x in got) < 5_000_000
+
+
+def test_powers_are_no_longer_than_needed(monkeypatch):
+    monkeypatch.setattr(bytetext, "_POWERS", {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)})
+    for n in (2, 70_001, 262_142):
+        data = np.frombuffer(b"ab " * n, np.uint8)[:n]
+        assert len(np.unique(bytetext.words(data, np.array([0, n])).hash)) == 1
+        assert n < len(bytetext._POWERS["up"]) == len(bytetext._POWERS["down"]) <= max(2 * n, 1 << 16)
+
+
 def test_quality(spark, awkward):
     r = np.random.default_rng(5)
     rows, labels = [], []
