@@ -268,6 +268,18 @@ def test_claims_read_sentences_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
 
 
+def test_severity_of_all_claims(spark):
+    """Conspiracies are the last kind: the gravest claim is found behind any number of others if claims are not cut."""
+    from marisma.operators import assessment, reviews
+
+    many = " ".join(f"Se confirma un brote en la granja {i}." for i in range(12)) + " Todo fue una creada artificial según dicen."
+    df = spark.createDataFrame([(1, many), (2, "nothing of the kind here")], "i int, t string")
+    found = {most: reviews.claims(df, "i", F.col("t"), F.array().cast("array<string>"), {}, {}, {}, most=most) for most in (8, None)}
+    grave = {m: dict(map(tuple, assessment.severity(c, "i", "kind", "predicate", "verifiable").collect())) for m, c in found.items()}
+    assert grave == {8: {1: 45, 2: 35}, None: {1: 80, 2: 35}}
+    assert sorted((r.i, r.turn) for r in found[None].collect()) == [(1, n) for n in range(1, 14)] + [(2, 1)]
+
+
 def test_contrast_makes_each_pair_once(spark):
     from marisma.operators import reviews
 
